@@ -40,3 +40,16 @@ def group_moments(ff: DataFrame, by: str = "cluster", dims: int | None = None) -
 def within_squares(moments: DataFrame) -> DataFrame:
     """Add ``ss``: the group's sum of squared distances to its own mean."""
     return moments.withColumn("ss", F.col("n") * F.aggregate("std", F.lit(0.0), lambda acc, s: acc + s * s))
+
+
+def group_boxes(points: DataFrame, by: list[str], dims: int, *extra) -> DataFrame:
+    """Bounding box ``lo, hi`` (arrays) per group, with further aggregates."""
+    x = F.col("features")
+    if dims <= UNROLL:
+        return points.groupBy(*by).agg(
+            F.array(*[F.min(x[j]) for j in range(dims)]).alias("lo"),
+            F.array(*[F.max(x[j]) for j in range(dims)]).alias("hi"),
+            *extra,
+        )
+    boxed = points.groupBy(*by).agg(Summarizer.metrics("min", "max").summary(array_to_vector("features")).alias("s"), *extra)
+    return boxed.withColumns({"lo": vector_to_array("s.min"), "hi": vector_to_array("s.max")}).drop("s")
