@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +21,9 @@ CENTER_SCHEMA = "cluster int, center array<double>"
 SHIPPED_VALUES = 2_000_000
 # Up to this many terms distances are plain compiled arithmetic.
 UNROLL_TERMS = 256
-PARALLEL_FITS = 4
+# Starting centres are drawn from at most this many rows.
+SAMPLE_ROWS = 20_000
+VALUES_PER_TASK = 2_000_000
 
 
 def centers_frame(spark: SparkSession, centers: Sequence[Sequence[float]]) -> DataFrame:
@@ -144,45 +143,160 @@ class KMeansFit:
 def kmeans(
     ff: DataFrame, k: int = 3, max_iter: int = 300, tol: float = 1e-4, n_init: int = 10, seed: int = 42
 ) -> KMeansFit:
-    """Best of ``n_init`` k-means|| fits; clusters numbered by centre order."""
-    data = ff.select(array_to_vector("features").alias("vector")).persist()
-    try:
-        data.count()
-
-        def fit(s):
-            model = KMeans(featuresCol="vector", k=k, maxIter=max_iter, tol=tol, seed=s).fit(data)
-            centers = sorted(tuple(float(x) for x in c) for c in model.clusterCenters())
-            return model.summary.trainingCost, centers, model.summary.numIter
-
-        # The fits are independent jobs; a few at a time fill the cluster.
-        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            inherit = inheritable_thread_target(ff.sparkSession)
-            runs = [pool.submit(inherit(fit), seed + i) for i in range(n_init)]
-            cost, centers, n_iter = min((r.result() for r in runs), key=lambda r: (r[0], r[1]))
-    finally:
-        data.unpersist()
+    """Best of ``n_init`` k-means++ starts; clusters numbered by centre order."""
+    cost, points, n_iter = _fit_best(ff, [k], max_iter, tol, n_init, seed)[k]
     return KMeansFit(
-        labels=_assign_small(ff, range(len(centers)), centers),
-        centers=centers_frame(ff.sparkSession, centers),
+        labels=_assign_small(ff, range(len(points)), points),
+        centers=centers_frame(ff.sparkSession, points),
         inertia=cost,
         n_iter=n_iter,
-        n_clusters=len(centers),
+        n_clusters=len(points),
     )
 
 
+def _fit_best(
+    ff: DataFrame, ks: Sequence[int], max_iter: int, tol: float, n_init: int, seed: int
+) -> dict[int, tuple[float, list[list[float]], int]]:
+    """(inertia, sorted centres, rounds) per k.
+
+    All starts of all k share their passes: a round scans the rows once, moves
+    every run that has not settled, and brings back k x d sums per run.
+    """
+    data = ff.select("features").persist()
+    try:
+        sample = _start_sample(ff, max(ks), seed)
+        middle, spread = sample.mean(axis=0), float(sample.var(axis=0).mean())
+        runs = [(k, _plus_plus(sample, k, np.random.default_rng(seed + i))) for k in ks for i in range(n_init)]
+        centers = [start - middle for _, start in runs]
+        # Few rows make few tasks: a round over little data is all task overhead.
+        work = data.count() * (len(middle) + sum(len(c) for c in centers))
+        tasks = max(1, work // VALUES_PER_TASK)
+        rows = data.coalesce(tasks)
+        rounds = [0] * len(runs)
+        moving = set(range(len(runs)))
+        for _ in range(max_iter):
+            if not moving:
+                break
+            for i, (sums, counts, _) in _round(rows, tasks, {i: centers[i] for i in moving}, middle).items():
+                moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers[i])
+                shift = float(((moved - centers[i]) ** 2).sum())
+                centers[i], rounds[i] = moved, rounds[i] + 1
+                if shift <= tol * spread:
+                    moving.discard(i)
+        costs = {i: cost for i, (_, _, cost) in _round(rows, tasks, dict(enumerate(centers)), middle).items()}
+    finally:
+        data.unpersist()
+    best = {}
+    for k in ks:
+        i = min((i for i, (run_k, _) in enumerate(runs) if run_k == k), key=lambda i: (costs[i], i))
+        points = sorted((centers[i] + middle).tolist())
+        best[k] = (costs[i], points, rounds[i])
+    return best
+
+
+def _start_sample(ff: DataFrame, k: int, seed: int) -> np.ndarray:
+    """A bounded hash sample of rows to draw the starting centres from.
+
+    Only the start rests on it; every round and the result use all rows.
+    """
+    rows = min(SAMPLE_ROWS, max(k, SHIPPED_VALUES // width(ff)))
+    order = F.xxhash64("row_id", F.lit(seed))
+    sample = np.array([r["features"] for r in ff.orderBy(order).limit(rows).select("features").collect()], dtype=float)
+    if len(np.unique(sample, axis=0)) < k:
+        # Copies fill the sample: look for further distinct points.
+        others = ff.select("features").distinct().limit(k).collect()
+        sample = np.vstack([sample, [r["features"] for r in others]])
+    return sample
+
+
+def _plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ (Arthur and Vassilvitskii, 2007); fewer centres if points run out."""
+    chosen = [sample[rng.integers(len(sample))]]
+    gap = ((sample - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and gap.sum() > 0:
+        chosen.append(sample[rng.choice(len(sample), p=gap / gap.sum())])
+        gap = np.minimum(gap, ((sample - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def _round(
+    data: DataFrame, tasks: int, centers: dict[int, np.ndarray], middle: np.ndarray
+) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """Per run: sums of the rows by nearest centre, their counts, and the cost.
+
+    Each task folds its rows into one small table per run before the shuffle.
+    """
+    result: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
+    dims = len(middle)
+    batch: dict[int, np.ndarray] = {}
+    for i, points in [*centers.items(), (-1, None)]:
+        if points is None or (sum(len(p) for p in batch.values()) + len(points)) * dims > SHIPPED_VALUES:
+            if batch:
+                result.update(_shared_pass(data, tasks, batch, middle))
+            batch = {}
+        if points is not None:
+            batch[i] = points
+    return result
+
+
+def _shared_pass(data, tasks, centers, middle):
+    dims = len(middle)
+    stacked = np.vstack(list(centers.values()))
+    lengths = (stacked**2).sum(axis=1)
+    ends = np.cumsum([len(p) for p in centers.values()])
+    slices = [(i, end - len(p), end) for (i, p), end in zip(centers.items(), ends)]
+    step = max(1, 4_000_000 // len(stacked))
+
+    def fold(batches):
+        sums = np.zeros((len(stacked), dims))
+        counts = np.zeros(len(stacked))
+        costs = np.zeros(len(slices))
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            for at in range(0, len(values), step):
+                x = values[at : at + step] - middle
+                closeness = lengths - 2.0 * (x @ stacked.T)
+                own = (x * x).sum(axis=1)
+                for s, (_, low, high) in enumerate(slices):
+                    near = closeness[:, low:high].argmin(axis=1)
+                    costs[s] += np.maximum(own + closeness[np.arange(len(x)), low + near], 0.0).sum()
+                    counts[low:high] += np.bincount(near, minlength=high - low)
+                    for j in range(dims):
+                        sums[low:high, j] += np.bincount(near, weights=x[:, j], minlength=high - low)
+        table = np.column_stack([sums, counts])
+        rows, columns = np.nonzero(table)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([rows, np.arange(len(slices))]), pa.int32()),
+                pa.array(np.concatenate([columns, np.full(len(slices), -1)]), pa.int32()),
+                pa.array(np.concatenate([table[rows, columns], costs])),
+            ],
+            ["row", "position", "value"],
+        )
+
+    folded = data.mapInArrow(fold, "row int, position int, value double")
+    # Bounded by the centres: (d + 1) values per centre and a cost per run. The
+    # tables of very few tasks are added up right here instead of in a shuffle.
+    if tasks * stacked.size > SHIPPED_VALUES:
+        folded = folded.groupBy("row", "position").agg(F.sum("value").alias("value"))
+    cells = folded.toArrow()
+    row, position, value = (np.asarray(cells.column(c)) for c in ("row", "position", "value"))
+    table, costs = np.zeros((len(stacked), dims + 1)), np.zeros(len(slices))
+    inner = position >= 0
+    np.add.at(table, (row[inner], position[inner]), value[inner])
+    np.add.at(costs, row[~inner], value[~inner])
+    return {i: (table[low:high, :dims], table[low:high, dims], float(costs[s])) for s, (i, low, high) in enumerate(slices)}
+
+
 def inertia(labelled: DataFrame, dims: int | None = None) -> DataFrame:
     """One row: sum of squared distances of the rows to their own cluster's mean."""
     return within_squares(group_moments(labelled, dims=dims)).agg(F.sum("ss").alias("inertia"))
 
 
 def elbow_costs(ff: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int = 42) -> DataFrame:
-    """Cost per k on one cached frame: ``(k, inertia)``."""
-    cached = ff.select("row_id", "features").persist()
-    try:
-        rows = [(k, kmeans(cached, k, n_init=n_init, seed=seed).inertia) for k in ks]
-    finally:
-        cached.unpersist()
-    return ff.sparkSession.createDataFrame(rows, "k int, inertia double")
+    """Cost per k, all k fitted over the same passes: ``(k, inertia)``."""
+    best = _fit_best(ff, list(ks), 300, 1e-4, n_init, seed)
+    return ff.sparkSession.createDataFrame([(k, cost) for k, (cost, _, _) in best.items()], "k int, inertia double")
 
 
 def knee(costs: DataFrame, compat: bool = False) -> DataFrame:
