@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
         try:
             table = read_table(spark, path)
             rows.append((*head, counts.get(_plain(path), 0), len(table.columns), len(numeric_columns(table)), None))
-        except PySparkException:
+        except (PySparkException, Py4JJavaError):
             rows.append((*head, None, None, None, "Could not read file"))
     return spark.createDataFrame(rows, LISTING_SCHEMA)
 
