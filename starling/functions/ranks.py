@@ -11,7 +11,7 @@ from starling.session import cut_lineage
 
 
 def with_dense_index(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
-    """Add 0-based positions in ``order``.
+    """Add 0-based positions in ``order``, which should be unique per row.
 
     Rows are range-partitioned and numbered inside their partition; only one
     count per partition reaches the driver. The ranged rows are written to the

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from starling.functions.blocks import block_pairs, distances
 from starling.functions.ranks import with_dense_index
-from starling.functions.vectors import hash_uniform, squared_distance_dims
+from starling.functions.sampling import broadcast_if_small, hash_sample
+from starling.functions.vectors import squared_distance_dims
 from starling.operators.kmeans import assign, small_centers
 from starling.operators.moments import group_moments, within_squares
 from starling.operators.prepare import width
+from starling.session import cut_lineage
 
 NOISE = -1
 NOISE_POLICIES = ("drop", "skip", "as_cluster")
@@ -42,9 +44,7 @@ def silhouette_rows(labelled: DataFrame) -> DataFrame:
     score 0, and with fewer than two labels a, b and the score are NULL.
     """
     # A point with copies becomes one weighted row before anything is paired.
-    points = labelled.groupBy("features", "cluster").agg(
-        F.min("row_id").alias("row_id"), F.count("*").cast("double").alias("weight")
-    )
+    points = _weighted_points(labelled)
     point_scores = _point_silhouettes(points)
     return labelled.select("row_id", "features", "cluster").join(
         points.select("features", "cluster", F.col("row_id").alias("point")), ["features", "cluster"]
@@ -53,6 +53,12 @@ def silhouette_rows(labelled: DataFrame) -> DataFrame:
     )
 
 
+def _weighted_points(labelled: DataFrame) -> DataFrame:
+    return cut_lineage(labelled.groupBy("features", "cluster").agg(
+        F.min("row_id").alias("row_id"), F.count("*").cast("double").alias("weight")
+    ))
+
+
 def _distance_sums(left, right):
     """Weighted distance sums of the left rows to each label in the right block."""
     order = np.argsort(right["cluster"], kind="stable")
@@ -94,7 +100,7 @@ def _point_silhouettes(points: DataFrame) -> DataFrame:
         points.select("row_id", "features"), points, _distance_sums, f"row_id {id_type}, label int, total double"
     )
     totals = partial.groupBy("row_id", "label").agg(F.sum("total").alias("total"))
-    sizes = points.groupBy("cluster").agg(F.sum("weight").alias("n"))
+    sizes = broadcast_if_small(points.groupBy("cluster").agg(F.sum("weight").alias("n")), 2)
     return _scores_from_sums(totals.join(points.select("row_id", "cluster"), "row_id"), sizes)
 
 
@@ -116,21 +122,15 @@ def silhouette(labelled: DataFrame, mode: str = "exact", sample_rows: int = 1000
         return _sampled_silhouette(labelled, sample_rows, seed)
     if mode != "exact":
         raise ValueError(f"Unknown silhouette mode: {mode}")
-    points = labelled.groupBy("features", "cluster").agg(
-        F.min("row_id").alias("row_id"), F.count("*").cast("double").alias("weight")
-    ).persist()
-    try:
-        scored = _point_silhouettes(points).join(points.select("row_id", "weight"), "row_id")
-        return scored.agg((F.sum(F.col("silhouette") * F.col("weight")) / F.sum("weight")).alias("s")).first()["s"]
-    finally:
-        points.unpersist()
+    points = _weighted_points(labelled)
+    scored = _point_silhouettes(points).join(points.select("row_id", "weight"), "row_id")
+    return scored.agg((F.sum(F.col("silhouette") * F.col("weight")) / F.sum("weight")).alias("s")).first()["s"]
 
 
 def _sampled_silhouette(labelled: DataFrame, sample_rows: int, seed: int) -> float | None:
-    order = hash_uniform(seed, F.col("row_id"))
     dims = width(labelled)
     sample_rows = max(1, min(sample_rows, SAMPLE_VALUES // dims))
-    chosen = labelled.select("row_id", "features", "cluster").orderBy(order, "row_id").limit(sample_rows).collect()
+    chosen = hash_sample(labelled.select("row_id", "features", "cluster"), sample_rows, seed=seed)
     spark = labelled.sparkSession
     # Bounded by sample_rows x dims <= SAMPLE_VALUES numbers.
     picked = spark.sparkContext.broadcast(np.array([r["features"] for r in chosen], dtype=float))
@@ -149,7 +149,7 @@ def _sampled_silhouette(labelled: DataFrame, sample_rows: int, seed: int) -> flo
     sums = labelled.select("features", "cluster").mapInPandas(partial, "pick int, label int, total double")
     totals = sums.groupBy("pick", "label").agg(F.sum("total").alias("total"))
     labels = spark.createDataFrame([(i, r["cluster"]) for i, r in enumerate(chosen)], "pick int, cluster int")
-    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n"))
+    sizes = broadcast_if_small(cut_lineage(labelled.groupBy("cluster").agg(F.count("*").alias("n"))), 2)
     scored = _scores_from_sums(totals.join(labels, "pick").withColumnRenamed("pick", "row_id"), sizes)
     return scored.agg(F.avg("silhouette").alias("s")).first()["s"]
 
@@ -186,8 +186,9 @@ def davies_bouldin(labelled: DataFrame) -> float | None:
     table = table.persist()
     try:
         gap = F.sqrt(squared_distance_dims(F.col("features"), F.col("center"), dims))
+        centers = broadcast_if_small(table.select("cluster", "center"), dims)
         spreads = (
-            labelled.select("features", "cluster").join(table.select("cluster", "center"), "cluster")
+            labelled.select("features", "cluster").join(centers, "cluster")
             .groupBy("cluster").agg(F.avg(gap).alias("spread"))
             .join(table.select("cluster", "center"), "cluster")
             .select(F.col("cluster").alias("row_id"), F.col("center").alias("features"), "spread")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starling.functions.blocks import block_pairs, distances
+from starling.functions.sampling import hash_sample
 from starling.functions.vectors import squared_distance_to
 from starling.operators.moments import group_moments, within_squares
 from starling.operators.prepare import width
@@ -162,16 +163,16 @@ def _fit_best(
     All starts of all k share their passes: a round scans the rows once, moves
     every run that has not settled, and brings back k x d sums per run.
     """
-    data = ff.select("features").persist()
+    data = ff.select("row_id", "features").persist()
     try:
-        sample = _start_sample(ff, max(ks), seed)
+        sample = _start_sample(data, max(ks), seed)
         middle, spread = sample.mean(axis=0), float(sample.var(axis=0).mean())
         runs = [(k, _plus_plus(sample, k, np.random.default_rng(seed + i))) for k in ks for i in range(n_init)]
         centers = [start - middle for _, start in runs]
         # Few rows make few tasks: a round over little data is all task overhead.
         work = data.count() * (len(middle) + sum(len(c) for c in centers))
         tasks = max(1, work // VALUES_PER_TASK)
-        rows = data.coalesce(tasks)
+        rows = data.select("features").coalesce(tasks)
         rounds = [0] * len(runs)
         moving = set(range(len(runs)))
         for _ in range(max_iter):
@@ -200,8 +201,7 @@ def _start_sample(ff: DataFrame, k: int, seed: int) -> np.ndarray:
     Only the start rests on it; every round and the result use all rows.
     """
     rows = min(SAMPLE_ROWS, max(k, SHIPPED_VALUES // width(ff)))
-    order = F.xxhash64("row_id", F.lit(seed))
-    sample = np.array([r["features"] for r in ff.orderBy(order).limit(rows).select("features").collect()], dtype=float)
+    sample = np.array([r["features"] for r in hash_sample(ff.select("row_id", "features"), rows, seed=seed)], dtype=float)
     if len(np.unique(sample, axis=0)) < k:
         # Copies fill the sample: look for further distinct points.
         others = ff.select("features").distinct().limit(k).collect()

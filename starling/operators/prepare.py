@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from starling.functions.quantiles import exact_quantiles
 from starling.functions.vectors import hash_normal, hash_uniform, l2_normalize
 
+WIDTH = "width"
 IMPUTE_STRATEGIES = ("mean", "median", "mode")
 
 
@@ -51,11 +52,20 @@ def to_features(df: DataFrame, columns: Sequence[str], id_col: str, keep: Sequen
         features = F.col(columns[0]).cast("array<double>")
     else:
         features = F.array(*[F.col(c).cast("double") for c in columns])
+        return df.select(F.col(id_col).alias("row_id"), with_width(features, len(columns)), *keep)
     return df.select(F.col(id_col).alias("row_id"), features.alias("features"), *keep)
 
 
+def with_width(features: Column, dims: int) -> Column:
+    """The ``features`` column with its length noted in the schema."""
+    return features.alias("features", metadata={WIDTH: dims})
+
+
 def width(ff: DataFrame) -> int:
-    """Number of features, read from one row."""
+    """Number of features, from the schema if it is noted there, else from one row."""
+    noted = ff.schema["features"].metadata.get(WIDTH)
+    if noted is not None:
+        return noted
     row = ff.select(F.size("features").alias("d")).first()
     if row is None:
         raise ValueError("the feature frame is empty")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from starling.functions.vectors import squared_distance_dims
 from starling.operators.moments import UNROLL, group_moments
-from starling.operators.prepare import width
+from starling.operators.prepare import width, with_width
 
 
 @dataclass(frozen=True)
@@ -26,10 +26,12 @@ class PcaModel:
 
     def project(self, ff: DataFrame) -> DataFrame:
         """Centred rows times the components."""
-        return ff.withColumn("features", self._linear(self.components.T, -self.mean @ self.components.T)(F.col("features")))
+        project = self._linear(self.components.T, -self.mean @ self.components.T)
+        return ff.withColumns({"features": with_width(project(F.col("features")), len(self.components))})
 
     def back_project(self, projected: DataFrame) -> DataFrame:
-        return projected.withColumn("features", self._linear(self.components, self.mean)(F.col("features")))
+        restore = self._linear(self.components, self.mean)
+        return projected.withColumns({"features": with_width(restore(F.col("features")), len(self.mean))})
 
     def reconstruction_error(self, ff: DataFrame) -> DataFrame:
         """``(row_id, error)``: mean squared error of projecting there and back."""

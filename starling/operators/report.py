@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starling.operators.moments import group_moments
@@ -27,13 +27,12 @@ def size_distribution(labelled: DataFrame) -> DataFrame:
 def cluster_report(labelled: DataFrame) -> DataFrame:
     """Per cluster: name, size, percent, centre and population std arrays."""
     moments = group_moments(labelled)
-    # Over the k-row aggregate only.
-    everything = Window.partitionBy(F.lit(0))
+    total = labelled.count()
     return moments.select(
         F.when(F.col("cluster") == NOISE, "noise").otherwise(F.concat(F.lit("cluster_"), F.col("cluster").cast("string"))).alias("name"),
         "cluster",
         F.col("n").alias("size"),
-        (F.col("n") * 100.0 / F.sum("n").over(everything)).alias("percent"),
+        (F.col("n") * 100.0 / F.lit(total)).alias("percent"),
         "center",
         "std",
     )
@@ -77,7 +76,7 @@ def centroid_heatmap(labelled: DataFrame, features: Sequence[str], top: int = 50
             cells.groupBy("position").agg(F.var_pop("value").alias("spread"))
             .orderBy(F.desc("spread"), F.desc("position")).limit(top).select("position")
         )
-        cells = cells.join(keep, "position", "left_semi")
+        cells = cells.join(F.broadcast(keep), "position", "left_semi")
     return cells.select(
         "cluster", display_name(F.col("cluster")).alias("name"), "position",
         F.element_at(names, F.col("position") + 1).alias("feature"), "value",
@@ -90,9 +89,10 @@ def feature_importance(labelled: DataFrame, features: Sequence[str]) -> DataFram
         "n", F.posexplode(F.arrays_zip("center", "std")).alias("position", "v")
     )
     n, mean, std = F.col("n"), F.col("v.center"), F.col("v.std")
-    everything = Window.partitionBy("position")
-    grand = F.sum(n * mean).over(everything) / F.sum(n).over(everything)
-    sums = moments.withColumn("_between", n * (mean - grand) * (mean - grand)).withColumn("_within", n * std * std)
+    # One row per feature, so the width of the table bounds it.
+    grand = moments.groupBy("position").agg((F.sum(n * mean) / F.sum(n)).alias("grand"))
+    gap = mean - F.col("grand")
+    sums = moments.join(F.broadcast(grand), "position").withColumns({"_between": n * gap * gap, "_within": n * std * std})
     names = F.array(*[F.lit(f) for f in features])
     total = F.sum("_between") + F.sum("_within")
     return sums.groupBy("position").agg(

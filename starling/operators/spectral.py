@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starling.functions.blocks import distances
-from starling.functions.vectors import hash_uniform
+from starling.functions.sampling import hash_sample
 from starling.operators.kmeans import kmeans
+from starling.session import cut_lineage
 
 MAX_LANDMARKS = 2000
 
@@ -34,8 +35,8 @@ def spectral(ff: DataFrame, k: int = 8, gamma: float = 1.0, landmarks: int = 100
     """
     if landmarks > MAX_LANDMARKS:
         raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
-    points = ff.groupBy("features").agg(F.min("row_id").alias("id"), F.count("*").alias("n"))
-    picked = points.orderBy(hash_uniform(seed, F.col("id")), "id").limit(landmarks + 1).collect()
+    points = cut_lineage(ff.groupBy("features").agg(F.min("row_id").alias("id"), F.count("*").alias("n")))
+    picked = hash_sample(points, landmarks + 1, "id", seed)
     exact = len(picked) <= landmarks
     picked = sorted(picked[:landmarks], key=lambda r: r["id"])
     embedding = _extension(
