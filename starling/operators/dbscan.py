@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starling.functions.ranks import with_dense_index
+from starling.functions.sampling import broadcast_if_small
 from starling.functions.vectors import squared_distance_dims, total
 from starling.operators.components import connected_components
 from starling.operators.evaluate import label_counts
@@ -33,6 +34,8 @@ GRID_DIMS = 3
 # Pairs of boxes are split further while one of them stands for more point pairs.
 POINT_PAIRS = 250_000
 SPLIT = 4
+# Join keys holding more cells or points than this are split over salts.
+CROWD = 50_000
 
 
 @dataclass(frozen=True)
@@ -90,9 +93,12 @@ def _points_and_cells(ff: DataFrame, dims: int, side: float) -> tuple[DataFrame,
     distinct = ff.groupBy("features").agg(F.min("row_id").alias("pid"), F.count("*").alias("weight"))
     distinct = cut_lineage(distinct.withColumn("cell", _grid(side, dims)))
     cells = cut_lineage(
-        group_boxes(distinct, ["cell"], dims, F.min("pid").alias("cid"), F.sum("weight").alias("cell_rows"))
+        group_boxes(
+            distinct, ["cell"], dims,
+            F.min("pid").alias("cid"), F.sum("weight").alias("cell_rows"), F.count("*").alias("cell_points"),
+        )
     )
-    return distinct.join(cells.select("cell", "cid", "cell_rows"), "cell"), cells
+    return distinct.join(cells.select("cell", "cid", "cell_rows", "cell_points"), "cell"), cells
 
 
 def _box_gap(lo1, hi1, lo2, hi2, dims: int) -> Column:
@@ -108,7 +114,7 @@ def _box_reach(lo1, hi1, lo2, hi2, dims: int) -> Column:
 
 
 def _near_cells(cells: DataFrame, dims: int, eps: float) -> DataFrame:
-    """``(cid, other, lo, hi, cell_rows of other)`` for boxes within eps.
+    """``(cid, other, lo, hi, cell_rows, cell_points of other)`` for boxes within eps.
 
     Candidates meet in an equi-join on coarse cells wider than eps, over the
     dimensions the data spreads most in. Leaving dimensions out only adds
@@ -119,14 +125,51 @@ def _near_cells(cells: DataFrame, dims: int, eps: float) -> DataFrame:
     step = math.isqrt(dims) + 1
     coarse = [F.floor(F.col("cell")[j] / step) for j in axes]
     moves = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    left = cells.select("cid", F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), *[c.alias(f"c{i}") for i, c in enumerate(coarse)])
-    for i in range(len(axes)):
-        left = left.withColumn("_m", F.explode(moves)).withColumn(f"c{i}", F.col(f"c{i}") + F.col("_m")).drop("_m")
-    right = cells.select(F.col("cid").alias("other"), "lo", "hi", "cell_rows", *[c.alias(f"c{i}") for i, c in enumerate(coarse)])
+    keys = [f"c{i}" for i in range(len(axes))]
+    right = cells.select(
+        F.col("cid").alias("other"), "lo", "hi", "cell_rows", "cell_points", *[c.alias(k) for c, k in zip(coarse, keys)]
+    )
+    left = cells.select("cid", F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), *[c.alias(k) for c, k in zip(coarse, keys)])
+    for key in keys:
+        left = left.withColumn("_m", F.explode(moves)).withColumn(key, F.col(key) + F.col("_m")).drop("_m")
+    crowds = right.groupBy(*keys).agg(F.count("*").alias("_n"))
+    if (crowds.agg(F.max("_n")).first()[0] or 0) > CROWD:
+        crowded = cut_lineage(
+            crowds.where(F.col("_n") > CROWD).select(*keys, F.ceil(F.col("_n") / CROWD).cast("int").alias("salts"))
+        )
+        # A crowded coarse cell becomes a square of (left, right) salt pairs.
+        left = _salted(left, crowded, keys, "cid", "l_salt", "r_salt")
+        right = _salted(right, crowded, keys, "other", "r_salt", "l_salt")
+        keys = [*keys, "l_salt", "r_salt"]
     return (
-        left.join(right, [f"c{i}" for i in range(len(axes))])
+        left.join(right, keys)
         .where((F.col("cid") != F.col("other")) & (_box_gap("lo1", "hi1", "lo", "hi", dims) <= eps * eps))
-        .select("cid", "other", "lo", "hi", "cell_rows")
+        .select("cid", "other", "lo", "hi", "cell_rows", "cell_points")
+    )
+
+
+def _salted(side: DataFrame, crowded: DataFrame, keys: list[str], key: str, own: str, other: str) -> DataFrame:
+    """Give rows of crowded keys one salt of their own and a copy per partner salt."""
+    marked = side.join(broadcast_if_small(crowded, len(keys) + 1), keys, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    return marked.withColumns({
+        own: F.pmod(F.xxhash64(key), F.col("salts")).cast("int"),
+        other: F.explode(F.sequence(F.lit(0), F.col("salts") - 1)),
+    }).drop("salts")
+
+
+def _point_pairs(reach: DataFrame, points: DataFrame, dims: int, eps: float) -> DataFrame:
+    """Reach rows with each point of the other cell that lies within eps.
+
+    A crowded cell's points are split over salts by their number, so no single
+    task meets all of them.
+    """
+    salts = F.ceil(F.col("cell_points") / CROWD).cast("int")
+    asking = reach.where("not whole").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("cell_points", "weight")
+    asked = points.select(
+        F.col("cid").alias("other"), "features", "weight", F.pmod(F.xxhash64("pid"), salts).cast("int").alias("salt")
+    )
+    return asking.join(asked, ["other", "salt"]).where(
+        squared_distance_dims(F.col("x"), F.col("features"), dims) <= eps * eps
     )
 
 
@@ -144,19 +187,15 @@ def _mark_core(points: DataFrame, near: DataFrame, dims: int, eps: float, min_sa
     dense = points.where(F.col("cell_rows") >= min_samples)
     sparse = points.where(F.col("cell_rows") < min_samples)
     reach = _reachable(sparse.select("pid", "features", "cid"), near.withColumnRenamed("cell_rows", "rows"), dims, eps)
-    reach = cut_lineage(reach.select("pid", "x", "other", "whole", "rows"))
-    one_by_one = (
-        reach.where("not whole").join(points.select(F.col("cid").alias("other"), "features", "weight"), "other")
-        .where(squared_distance_dims(F.col("x"), F.col("features"), dims) <= eps * eps)
-        .select("pid", F.col("weight").alias("rows"))
-    )
+    reach = cut_lineage(reach.select("pid", "x", "other", "whole", "rows", "cell_points"))
+    one_by_one = _point_pairs(reach.drop("rows"), points, dims, eps).select("pid", F.col("weight").alias("rows"))
     own = sparse.select("pid", F.col("cell_rows").alias("rows"))
     core = (
         reach.where("whole").select("pid", "rows").unionByName(one_by_one).unionByName(own)
         .groupBy("pid").agg(F.sum("rows").alias("rows"))
         .select("pid", (F.col("rows") >= min_samples).alias("core"))
     )
-    columns = ["pid", "features", "weight", "cell", "cid", "core"]
+    columns = ["pid", "features", "weight", "cell", "cid", "cell_points", "core"]
     return dense.withColumn("core", F.lit(True)).select(*columns).unionByName(sparse.join(core, "pid").select(*columns))
 
 
@@ -234,14 +273,9 @@ def _border_clusters(points: DataFrame, clusters: DataFrame, near: DataFrame, di
     """``(pid, border)``: lowest cluster with a core point within eps."""
     outside = points.where("not core").select("pid", "features", "cid")
     at_home = outside.join(clusters.select("cid", "cluster"), "cid").select("pid", "cluster")
-    boxes = near.select("cid", "other").join(clusters.select(F.col("cid").alias("other"), "lo", "hi", "cluster"), "other")
-    reach = cut_lineage(_reachable(outside, boxes, dims, eps).select("pid", "x", "other", "whole", "cluster"))
-    core = points.where("core").select(F.col("cid").alias("other"), "features")
-    one_by_one = (
-        reach.where("not whole").join(core, "other")
-        .where(squared_distance_dims(F.col("x"), F.col("features"), dims) <= eps * eps)
-        .select("pid", "cluster")
-    )
+    boxes = near.select("cid", "other", "cell_points").join(clusters.select(F.col("cid").alias("other"), "lo", "hi", "cluster"), "other")
+    reach = cut_lineage(_reachable(outside, boxes, dims, eps).select("pid", "x", "other", "whole", "cluster", "cell_points"))
+    one_by_one = _point_pairs(reach, points.where("core"), dims, eps).select("pid", "cluster")
     return (
         reach.where("whole").select("pid", "cluster").unionByName(one_by_one).unionByName(at_home)
         .groupBy("pid").agg(F.min("cluster").alias("border"))

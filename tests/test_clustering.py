@@ -144,8 +144,9 @@ def test_dbscan_known_run(golden_ff):
     assert (scores["n_clusters"], scores["n_labels"]) == (1, 2)
 
 
-@pytest.mark.parametrize("d, eps, min_samples", [(1, 0.02, 4), (2, 0.06, 5), (3, 0.15, 6)])
-def test_dbscan_equals_brute_force(spark, d, eps, min_samples):
+@pytest.mark.parametrize("d, eps, min_samples, crowd", [(1, 0.02, 4, 50_000), (2, 0.06, 5, 4), (3, 0.15, 6, 50_000), (5, 0.3, 5, 20)])
+def test_dbscan_equals_brute_force(spark, monkeypatch, d, eps, min_samples, crowd):
+    monkeypatch.setattr(dbscan, "CROWD", crowd)
     x = clumps(d=d)
     got = labels_of(dbscan.dbscan_labels(frame_of(spark, x), eps, min_samples))
     assert (got == brute_dbscan(x, eps, min_samples)).all()
