@@ -40,7 +40,7 @@ def test_file_listing_keeps_errors(spark, tmp_path):
     (tmp_path / "c.txt").write_text("ignored")
     rows = {r["filename"]: r for r in list_files(spark, str(tmp_path)).collect()}
     assert set(rows) == {"a.csv", "b.parquet"}
-    assert (rows["a.csv"]["n_rows"], rows["a.csv"]["n_numeric"], rows["a.csv"]["size"]) == (2, 2, 24)
+    assert (rows["a.csv"]["n_rows"], rows["a.csv"]["n_numeric"], rows["a.csv"]["size"]) == (2, 2, 22)
     assert rows["b.parquet"]["error"] == "Could not read file"
 
 
