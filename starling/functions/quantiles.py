@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # `percentile` keeps one entry per distinct value in a single buffer, so it is
 # used only up to this many rows; more rows are narrowed down first.
 BUFFER_ROWS = 1_000_000
+BRACKET_ROWS = 100_000
 
 
 def exact_quantiles(
@@ -28,44 +30,87 @@ def exact_quantiles(
         grid = F.array(*[F.lit(p) for p in probabilities])
         row = df.agg(*[F.percentile(F.col(c).cast("double"), grid).alias(f"q{i}") for i, c in enumerate(small)]).first()
         result.update({c: list(row[i]) if row[i] is not None else [None] * len(probabilities) for i, c in enumerate(small)})
-    for i, c in enumerate(columns):
-        if c not in result:
-            values = df.select(F.col(c).cast("double").alias("x")).where("x is not null")
-            result[c] = [_narrow(values, sizes[i], p, buffer_rows) for p in probabilities]
+    large = [(c, sizes[i]) for i, c in enumerate(columns) if c not in result]
+    if large:
+        targets = [_Target(c, n, p) for c, n in large for p in probabilities]
+        _narrow(df, targets, min(buffer_rows, BRACKET_ROWS))
+        for c, _ in large:
+            result[c] = [t.value for t in targets if t.column == c]
     return result
 
 
-def _narrow(values: DataFrame, n: int, probability: float, buffer_rows: int) -> float:
-    """Shrink a bracket around the wanted ranks until its distinct values are few."""
-    position = probability * (n - 1)
-    first = math.floor(position)
-    second = min(first + 1, n - 1)
-    low, high, below, inside = None, None, 0, n
-    while inside > buffer_rows:
-        bracket = values if low is None else values.where(F.col("x").between(low, high))
-        at = (first - below) / inside
-        margin = 0.002
-        while True:
-            cuts = bracket.agg(
-                F.percentile_approx("x", F.array(F.lit(max(at - margin, 0.0)), F.lit(min(at + margin, 1.0))), 10_000),
-                F.min("x"),
-                F.max("x"),
-            ).first()
-            new_low = cuts[0][0] if at - margin > 0 else cuts[1]
-            new_high = cuts[0][1] if at + margin < 1 else cuts[2]
-            count = bracket.agg(
-                F.count_if(F.col("x") < new_low), F.count_if(F.col("x").between(new_low, new_high))
-            ).first()
-            new_below, new_inside = below + count[0], count[1]
-            if new_below <= first and second < new_below + new_inside:
-                break
-            margin *= 4
-        if new_low == new_high:
-            return new_low
-        if new_inside == inside:
+@dataclass
+class _Target:
+    """One wanted quantile and the bracket its ranks are known to lie in."""
+
+    column: str
+    rows: int
+    probability: float
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    inside: int = 0
+    margin: float = 0.002
+    settled: bool = False
+    value: float | None = None
+
+    def __post_init__(self):
+        self.inside = self.rows
+        self.position = self.probability * (self.rows - 1)
+        self.first = math.floor(self.position)
+        self.second = min(self.first + 1, self.rows - 1)
+
+    @property
+    def at(self) -> float:
+        """Where in the bracket the wanted rank lies, from 0 to 1."""
+        return (self.first - self.below) / self.inside
+
+    def values(self) -> Column:
+        x = F.col(self.column).cast("double")
+        return x if self.low is None else F.when(x.between(self.low, self.high), x)
+
+
+def _narrow(df: DataFrame, targets: list[_Target], buffer_rows: int) -> None:
+    """Shrink all brackets together, then read the quantiles out of them.
+
+    A round costs two scans for all columns and quantiles at once: one proposes
+    tighter brackets by an approximate percentile, one counts what they hold. A
+    proposal that misses the wanted ranks is widened, so the result is exact.
+    """
+    while True:
+        moving = [t for t in targets if t.value is None and not t.settled and t.inside > buffer_rows]
+        if not moving:
             break
-        low, high, below, inside = new_low, new_high, new_below, new_inside
-    bracket = values if low is None else values.where(F.col("x").between(low, high))
-    return bracket.groupBy("x").agg(F.count("*").alias("n")).agg(
-        F.expr(f"percentile(x, {(position - below) / max(inside - 1, 1)!r}D, n)")
-    ).first()[0]
+        proposals = []
+        for t in moving:
+            edges = F.array(F.lit(max(t.at - t.margin, 0.0)), F.lit(min(t.at + t.margin, 1.0)))
+            proposals += [F.percentile_approx(t.values(), edges, 10_000), F.min(t.values()), F.max(t.values())]
+        row = df.agg(*[p.alias(f"p{i}") for i, p in enumerate(proposals)]).first()
+        bounds = [
+            (
+                row[3 * i][0] if t.at - t.margin > 0 else row[3 * i + 1],
+                row[3 * i][1] if t.at + t.margin < 1 else row[3 * i + 2],
+            )
+            for i, t in enumerate(moving)
+        ]
+        counts = []
+        for t, (low, high) in zip(moving, bounds):
+            counts += [F.count_if(t.values() < low), F.count_if(t.values().between(low, high))]
+        row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
+        for i, (t, (low, high)) in enumerate(zip(moving, bounds)):
+            below, inside = t.below + row[2 * i], row[2 * i + 1]
+            if not (below <= t.first and t.second < below + inside):
+                t.margin *= 4
+            elif low == high:
+                t.value = low
+            else:
+                # No change means that copies of very few values fill the bracket.
+                t.settled = inside == t.inside
+                t.low, t.high, t.below, t.inside, t.margin = low, high, below, inside, 0.002
+    last = [t for t in targets if t.value is None]
+    if last:
+        row = df.agg(*[
+            F.percentile(t.values(), F.lit((t.position - t.below) / max(t.inside - 1, 1))).alias(f"v{i}") for i, t in enumerate(last)
+        ]).first()
+        for i, t in enumerate(last):
+            t.value = row[i]

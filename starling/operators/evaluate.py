@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,7 @@ from starling.functions.blocks import block_pairs, distances
 from starling.functions.ranks import with_dense_index
 from starling.functions.sampling import broadcast_if_small, hash_sample
 from starling.functions.vectors import squared_distance_dims
-from starling.operators.kmeans import assign, small_centers
+from starling.operators.kmeans import assign, centers_frame, fit_each_k
 from starling.operators.moments import group_moments, within_squares
 from starling.operators.prepare import width
 from starling.session import cut_lineage
@@ -304,6 +306,17 @@ def evaluate_model(ff: DataFrame, centers: DataFrame, true_col: str | None = Non
     return metrics
 
 
+def elbow_scores(
+    ff: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int = 42, silhouette_mode: str = "exact", sample_rows: int = 1000
+) -> DataFrame:
+    """``(k, inertia, silhouette)`` per k, the k-means fits sharing their passes."""
+    rows = []
+    for k, (cost, points, _) in fit_each_k(ff, ks, n_init=n_init, seed=seed).items():
+        labelled = assign(ff.select("row_id", "features"), centers_frame(ff.sparkSession, points))
+        rows.append((k, cost, silhouette(labelled, silhouette_mode, sample_rows)))
+    return ff.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+
+
 def nt_xent(views: DataFrame, temperature: float = 0.07, batch_rows: int = 128) -> DataFrame:
     """Contrastive loss of two views ``(row_id, z1, z2)`` per batch.
 
@@ -337,6 +350,6 @@ def nt_xent(views: DataFrame, temperature: float = 0.07, batch_rows: int = 128)
 
 
 __all__ = [
-    "adjusted_rand", "calculate_metrics", "calinski_harabasz", "davies_bouldin", "evaluate_model", "label_agreement",
-    "label_counts", "normalized_mutual_info", "nt_xent", "silhouette", "silhouette_rows", "small_centers",
+    "adjusted_rand", "calculate_metrics", "calinski_harabasz", "davies_bouldin", "elbow_scores", "evaluate_model", "label_agreement",
+    "label_counts", "normalized_mutual_info", "nt_xent", "silhouette", "silhouette_rows",
 ]

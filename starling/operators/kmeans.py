@@ -145,7 +145,7 @@ def kmeans(
     ff: DataFrame, k: int = 3, max_iter: int = 300, tol: float = 1e-4, n_init: int = 10, seed: int = 42
 ) -> KMeansFit:
     """Best of ``n_init`` k-means++ starts; clusters numbered by centre order."""
-    cost, points, n_iter = _fit_best(ff, [k], max_iter, tol, n_init, seed)[k]
+    cost, points, n_iter = fit_each_k(ff, [k], max_iter, tol, n_init, seed)[k]
     return KMeansFit(
         labels=_assign_small(ff, range(len(points)), points),
         centers=centers_frame(ff.sparkSession, points),
@@ -155,8 +155,8 @@ def kmeans(
     )
 
 
-def _fit_best(
-    ff: DataFrame, ks: Sequence[int], max_iter: int, tol: float, n_init: int, seed: int
+def fit_each_k(
+    ff: DataFrame, ks: Sequence[int], max_iter: int = 300, tol: float = 1e-4, n_init: int = 10, seed: int = 42
 ) -> dict[int, tuple[float, list[list[float]], int]]:
     """(inertia, sorted centres, rounds) per k.
 
@@ -295,7 +295,7 @@ def inertia(labelled: DataFrame, dims: int | None = None) -> DataFrame:
 
 def elbow_costs(ff: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int = 42) -> DataFrame:
     """Cost per k, all k fitted over the same passes: ``(k, inertia)``."""
-    best = _fit_best(ff, list(ks), 300, 1e-4, n_init, seed)
+    best = fit_each_k(ff, list(ks), n_init=n_init, seed=seed)
     return ff.sparkSession.createDataFrame([(k, cost) for k, (cost, _, _) in best.items()], "k int, inertia double")
 
 
@@ -322,6 +322,6 @@ def elbow(ff: DataFrame, max_k: int = 20, n_init: int = 10, seed: int = 42) -> t
 
 
 __all__ = [
-    "KMeansFit", "assign", "centers_frame", "elbow", "elbow_costs", "first_distinct_rows",
+    "KMeansFit", "assign", "centers_frame", "elbow", "elbow_costs", "first_distinct_rows", "fit_each_k",
     "inertia", "kmeans", "kmeans_lloyd", "knee", "small_centers", "width",
 ]

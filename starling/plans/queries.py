@@ -16,7 +16,7 @@ from starling.operators.moments import group_moments
 from starling.operators.spectral import spectral
 from starling.plans import sql as S
 from starling.plans.run import run, run_batch
-from starling.session import scratch_path
+from starling.session import cut_lineage, scratch_path
 from starling.sources import generate
 from starling.sources.store import CenterModel, Store, latest, live_models, write_labelled
 from starling.sources.tables import list_files, read_table
@@ -65,10 +65,11 @@ def part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    """Per-order measures, aggregated once and written: fitting reads them several times."""
+    return cut_lineage(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("sum_quantity"), F.avg("l_extendedprice").alias("avg_price"),
         F.avg("l_discount").alias("avg_discount"), F.count("*").cast("double").alias("n_lines"),
-    )
+    ))
 
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -631,6 +632,12 @@ def elbow_table(spark, sf_dir):
     return elbow_costs(order_features(spark, sf_dir), range(2, 6), n_init=2).withColumn("inertia", rnd("inertia", 4))
 
 
+@query()
+def elbow_scores(spark, sf_dir):
+    scores = evaluate.elbow_scores(part_features(spark, sf_dir), range(2, 5), n_init=2)
+    return scores.select("k", rnd("inertia", 4).alias("inertia"), rnd("silhouette", 4).alias("silhouette"))
+
+
 @query(f"WITH RECURSIVE {S.PART}, {S.dbscan(DBSCAN_EPS, DBSCAN_MIN)} SELECT row_id, cluster FROM lab")
 def dbscan_part(spark, sf_dir):
     return dbscan_labels(part_features(spark, sf_dir), DBSCAN_EPS, DBSCAN_MIN).select("row_id", "cluster")

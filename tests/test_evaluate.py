@@ -114,3 +114,9 @@ def test_report_and_sizes(known):
     summary = report.report_summary(noisy, "x", evaluate.calculate_metrics(noisy))
     assert summary["features"] == 5 and summary["noise_points"] == 30
     assert report.scatter_frame(noisy, fraction=0.5).count() < 300
+
+
+def test_elbow_scores(golden_ff):
+    rows = evaluate.elbow_scores(golden_ff, [2, 3], n_init=3).orderBy("k").collect()
+    assert [r["k"] for r in rows] == [2, 3] and rows[0]["inertia"] > rows[1]["inertia"]
+    assert rows[1]["silhouette"] == pytest.approx(0.4533, abs=3e-4)

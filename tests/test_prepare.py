@@ -81,10 +81,11 @@ def test_quantiles_agree_with_numpy_on_both_ways(spark, buffer_rows):
     rng = np.random.default_rng(3)
     # A third of all rows are one value.
     values = np.concatenate([rng.normal(0, 10, 4000), np.full(2000, 1.5)])
-    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(5)
+    df = spark.createDataFrame([(float(v), i % 3) for i, v in enumerate(values)], "x double, y int").repartition(5)
     probabilities = [0.0, 0.01, 0.25, 0.4, 0.5, 0.61803, 0.75, 0.999, 1.0]
-    got = exact_quantiles(df, ["x"], probabilities, buffer_rows)["x"]
-    assert got == pytest.approx(list(np.quantile(values, probabilities)), abs=1e-12)
+    got = exact_quantiles(df, ["x", "y"], probabilities, buffer_rows)
+    assert got["x"] == pytest.approx(list(np.quantile(values, probabilities)), abs=1e-12)
+    assert got["y"] == pytest.approx(list(np.quantile(np.arange(6000) % 3, probabilities)), abs=1e-12)
 
 
 def test_outliers_are_removed_column_by_column(spark):
