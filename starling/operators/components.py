@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     and a lost executor costs one round at most.
     """
     stars = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    stars = _settle_small(stars) if stars.count() <= SMALL_GRAPH_EDGES else _settle_by_rounds(stars)
+    stars = _settle_small(stars) if stars.count() <= SMALL_GRAPH_EDGES else settle_by_rounds(stars)
     return nodes.select("node").join(
         stars.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left"
     ).select("node", F.coalesce("component", "node").alias("component"))
@@ -49,7 +49,8 @@ def _settle_small(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame(stars[stars.u != stars.v], edges.schema)
 
 
-def _settle_by_rounds(stars: DataFrame) -> DataFrame:
+def settle_by_rounds(stars: DataFrame) -> DataFrame:
+    """Stars ``(u, v)``, ``v`` the smallest node of u's component, from edges ``u > v``."""
     signature = _signature(stars)
     for _ in range(MAX_ROUNDS):
         stars = cut_lineage(_small_star(_large_star(stars)))
