@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starling.llm import simhash
+from starling.llm import simhash, substrings
 from starling.llm.common import read
 
 QUERIES: dict = {}
@@ -21,3 +21,32 @@ def query(fn):
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left after cutting repeated 20-word windows."""
+    cut = substrings.cut_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "__cut.n_words", "__cut.n_removed", "__cut.kept_sha256")
+
+
+ORACLE["op10_substrings"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (
+    SELECT doc_id, i, count(*) OVER f AS n, md5(string_agg(word, ' ') OVER f) AS s FROM t
+    WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+),
+q AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM g WHERE n = 20),
+c AS (
+    SELECT t.doc_id, t.i, t.word,
+        max(coalesce(q.r, 0)) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > 1 AS cut
+    FROM t LEFT JOIN q USING (doc_id, i)
+),
+k AS (
+    SELECT doc_id, count(*) FILTER (cut) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT cut), '')) AS kept_sha256
+    FROM c GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
