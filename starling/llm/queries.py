@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starling.llm import decontaminate, simhash, substrings, toxicity
+from starling.llm import decontaminate, mixing, simhash, substrings, toxicity
 from starling.llm.common import read
 
 QUERIES: dict = {}
@@ -86,3 +86,60 @@ FROM d LEFT JOIN e USING (doc_id) LEFT JOIN k USING (doc_id)
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs and block ranks in which every document is drawn, at a mix of 0.95 of the largest entropy."""
+    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"), F.col("mix_block").alias("block"), F.col("mix_rank").alias("block_rank"))
+
+
+ORACLE["op5_mixing"] = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+    FROM documents
+),
+s AS (SELECT source, n, n / sum(n) OVER () AS p, greatest(1, least(100000, n // 100000)) AS n_blocks FROM (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS n FROM d GROUP BY source) WHERE n > 0),
+g AS (SELECT count(*) AS k, 0.95 * ln(count(*)) AS target, -sum(p * ln(p)) AS h, min(p) AS low FROM s),
+e(i, lo, hi) AS (
+    SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+    UNION ALL
+    SELECT i + 1, CASE WHEN h >= (SELECT target FROM g) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN h >= (SELECT target FROM g) THEN hi ELSE (lo + hi) / 2 END
+    FROM (SELECT i, lo, hi, ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) AS h FROM e, s GROUP BY i, lo, hi)
+    WHERE i < 40
+),
+r(i, lo, hi) AS (
+    SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+    UNION ALL
+    SELECT i + 1, CASE WHEN q > 4 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN q > 4 THEN hi ELSE (lo + hi) / 2 END
+    FROM (SELECT i, lo, hi, max(pow(p, (lo + hi) / 2) / p) / sum(pow(p, (lo + hi) / 2)) AS q FROM r, s GROUP BY i, lo, hi)
+    WHERE i < 40
+),
+a AS (
+    SELECT CASE WHEN k < 2 THEN 1 ELSE round(greatest(
+        CASE WHEN h >= target THEN 1 ELSE (SELECT (lo + hi) / 2 FROM e WHERE i = 40) END,
+        CASE WHEN 1 / (low * k) <= 4 THEN 0 ELSE (SELECT (lo + hi) / 2 FROM r WHERE i = 40) END), 6) END AS a
+    FROM g
+),
+w AS (SELECT source, n, n_blocks, CAST(floor(round(pow(p, a) / sum(pow(p, a)) OVER (), 9) * (SELECT CAST(sum(n) AS DOUBLE) FROM s)) AS BIGINT) AS budget FROM s, a),
+pl AS (SELECT source, n_blocks, budget // n AS epochs, budget % n AS rest FROM w),
+b AS (SELECT d.*, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % n_blocks AS block, epochs, rest FROM d JOIN pl ON d.source IS NOT DISTINCT FROM pl.source),
+z AS (SELECT source, block, epochs, rest, sum(n_tokens) AS tokens FROM b GROUP BY ALL),
+t AS (SELECT *, unnest(range(1, epochs + 1 + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch FROM z),
+u AS (
+    SELECT *, row_number() OVER o AS rank, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM t WINDOW o AS (PARTITION BY source, epoch ORDER BY md5('mix|' || epoch || '|' || coalesce(source, '') || '|' || block), block)
+),
+v AS (
+    SELECT source, block, epoch, rank, NOT (epoch <= epochs OR before + tokens <= rest) AS cut, rest - before AS room
+    FROM u WHERE epoch <= epochs OR before + tokens <= rest OR before < rest
+),
+j AS (
+    SELECT b.doc_id, b.source, b.n_tokens, v.epoch, v.block, v.rank, v.cut, v.room,
+        sum(b.n_tokens) OVER (PARTITION BY v.source, v.epoch, v.cut ORDER BY b.digest, b.doc_id ROWS UNBOUNDED PRECEDING) AS upto
+    FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source AND b.block = v.block
+)
+SELECT doc_id, source, n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(block AS INTEGER) AS block, CAST(rank AS INTEGER) AS block_rank
+FROM j WHERE NOT cut OR upto <= room
+"""
