@@ -129,3 +129,11 @@ def _hits(keyed: DataFrame, targets: DataFrame, lengths: list[int]) -> DataFrame
     rows = near.select("key_id", "key_hash", F.explode(windows).alias("w")).select("key_id", "key_hash", "w.*").distinct()
     size = targets.agg(F.sum(F.length("window") + 48)).first()[0]
     return rows.join(measured(targets, size), ["length", "window"]).select("key_id", "key_hash", "start", "length", F.col("item_id").cast("string").alias("item_id"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the contaminated rows; all columns are kept."""
+    found = contamination(docs, items, id_col, text_col, **options).where("contaminated")
+    bad = cut_lineage(found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
+    return docs.join(measured(bad, 32 * bad.count()), same, "left_anti")

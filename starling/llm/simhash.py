@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starling.llm.common import record_batches, utf8
+from starling.llm.common import has_repeats, measured, record_batches, utf8
 from starling.operators.components import settle_by_rounds
 from starling.session import cut_lineage
 
@@ -216,3 +217,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = cut_lineage(rooted.join(named, "root").select("fp", "component_id"))
     return prints.join(labels, "fp").select("doc_id", hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the smallest id.
+
+    Null ids come last and rows that share an id are ordered by fingerprint, so
+    of repeated rows one is left. All columns are kept.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
+    if not has_repeats(docs, id_col):
+        kept = cut_lineage(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")))
+        return docs.join(measured(kept, 16 * kept.count()), F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    groups = found.select("fingerprint", "doc_id", "component_id").groupBy("fingerprint").agg(F.min("component_id").alias("__group"), F.min("doc_id"))
+    groups = cut_lineage(groups.select(F.col("fingerprint").alias("__print"), F.coalesce(F.col("__group").cast("string"), F.col("fingerprint")).alias("__group")))
+
+    @F.pandas_udf("string")
+    def printed(text: pd.Series) -> pd.Series:
+        return pd.Series([f"{fingerprint(t, shingle):016x}" for t in text], dtype=object)
+
+    # Only the ids travel until the row to keep is known; a row is named by its id and its text.
+    named = docs.withColumn("__own", printed(F.col(text_col))).withColumn("__text", F.coalesce(F.md5(text_col), F.lit("")))
+    grouped = named.select(F.col(id_col).cast("long").alias("__id"), "__text", F.col("__own").alias("__print")).join(groups, "__print")
+    best = cut_lineage(grouped.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__print", "__text")).alias("b")).select("b.__id", F.col("b.__text").alias("__best")))
+    kept = named.join(best, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__best")), "left_semi")
+    return kept.dropDuplicates([id_col, "__text"]).drop("__own", "__text")
