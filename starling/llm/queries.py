@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starling.llm import decontaminate, mixing, simhash, substrings, toxicity
+from starling.llm import decontaminate, mixing, simhash, substrings, toxicity, warc
 from starling.llm.common import read
 
 QUERIES: dict = {}
@@ -143,3 +143,19 @@ j AS (
 SELECT doc_id, source, n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(block AS INTEGER) AS block, CAST(rank AS INTEGER) AS block_rank
 FROM j WHERE NOT cut OR upto <= room
 """
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to WARC archives and read back."""
+    return warc.archived_pages(read(spark, sf_dir, "pages")).drop("error")
+
+
+ORACLE["op1_warc"] = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS keeper FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+    CASE WHEN n >= 1000 AND keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
+FROM g
+"""
