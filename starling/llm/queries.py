@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starling.llm import decontaminate, mixing, simhash, substrings, toxicity, warc
+from starling.llm import decontaminate, mixing, quality, simhash, substrings, toxicity, warc
 from starling.llm.common import read
 
 QUERIES: dict = {}
@@ -159,3 +159,9 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
     CASE WHEN n >= 1000 AND keeper <> page_id THEN keeper END AS refers_to
 FROM g
 """
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
