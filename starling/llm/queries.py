@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starling.llm import chat, decontaminate, mixing, quality, simhash, substrings, topk, toxicity, warc
+from starling.llm import chat, decontaminate, html, mixing, quality, simhash, substrings, topk, toxicity, warc
 from starling.llm.common import read
 
 QUERIES: dict = {}
@@ -215,3 +215,10 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
     CAST(sum(length(role) + length(escaped) + length('<|im_start|><|sep|><|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.main_text(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
