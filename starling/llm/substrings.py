@@ -149,8 +149,10 @@ class Chunk:
         whose context lies inside it; any other window, and one without such a
         start, takes a fixed place.
         """
-        at = np.arange(len(self.words) - NAME_WORDS + 1)
+        at = np.arange(max(0, len(self.words) - NAME_WORDS + 1))
         names, _ = self.hashes(at, at + NAME_WORDS)
+        if not len(self.starts):
+            return self.starts, names
         usable = np.full(len(names), NONE)
         low = low[low < len(names)]
         usable[low] = names[low]

@@ -178,8 +178,10 @@ class Frames:
 def train_dictionary(pages: DataFrame, id_col: str, html_col: str) -> bytes | None:
     """A dictionary from the pages with the smallest hashes of their id; None if they are too few or too alike."""
     order = F.xxhash64(F.lit("dictionary"), id_col)
-    sample = pages.where(F.length(html_col) > 0).select(F.substring(html_col, 1, SAMPLE_BYTES).alias("s"), order.alias("o")).orderBy("o", "s").limit(SAMPLE_PAGES)
-    texts = [utf8(r["s"]) for r in sample.collect()]
+    hashes = pages.where(F.length(html_col) > 0).select(order.alias("o"))
+    last = hashes.orderBy("o").limit(SAMPLE_PAGES).agg(F.max("o")).first()[0]
+    sample = pages.where((F.length(html_col) > 0) & (order <= F.lit(last))).select(F.substring(html_col, 1, SAMPLE_BYTES).alias("s"))
+    texts = sorted(utf8(r["s"]) for r in sample.limit(SAMPLE_PAGES).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes() if len(texts) > 7 else None
     except zstandard.ZstdError:
