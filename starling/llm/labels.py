@@ -31,6 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class:
     for label in (0, 1):
         picked = picked.unionByName(known.where(F.col("label") == label).orderBy("u", "sample_id").limit(per_class))
     picked = cut_lineage(picked)
-    sample = docs.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("sample_id"))
+    texts = docs.select(F.col(id_col).cast("long").alias("text_id"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(picked), F.col("text_id") == F.col("sample_id"))
     weights = {k: counts.get(k, 0) / max(1, min(per_class, counts.get(k, 0))) for k in (0, 1)}
-    return cut_lineage(sample.select("u", "label", F.col(text_col).alias("text"))), weights
+    return cut_lineage(sample.select("u", "label", "text")), weights

@@ -44,7 +44,7 @@ NAME_WORDS = 8
 # Words around a symbol's start that decide whether two rounds start one there.
 LEFT_CONTEXT = 3
 LOW_ROUNDS, HIGH_ROUNDS = 2, 12
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18
 NONE = np.uint64(2**64 - 1)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -157,11 +157,10 @@ class Chunk:
         low = low[low < len(names)]
         usable[low] = names[low]
         places = self.window - NAME_WORDS - LEFT_CONTEXT + 1
-        choices = sliding_window_view(usable, places)[self.starts + LEFT_CONTEXT]
-        best = choices.argmin(axis=1)
+        best = sliding_window_view(usable, places).argmin(axis=1)[self.starts + LEFT_CONTEXT]
         equal = np.concatenate([[0, 0], np.cumsum(self.words[1:] == self.words[:-1])])
         running = equal[self.starts + self.window] > equal[self.starts + 1]
-        unnamed = choices[np.arange(len(best)), best] == NONE
+        unnamed = usable[self.starts + LEFT_CONTEXT + best] == NONE
         best[running | unnamed] = 0
         return self.starts + LEFT_CONTEXT + best, names
 
@@ -354,8 +353,8 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
                 yield from _name_rows(chunk)
 
     names = docs.select("key", "text").mapInArrow(name_batches, "name long, check int, key long, pos int, size int, more array<struct<key:long,pos:int>>")
-    alike = Window.partitionBy("name", "check", F.signum("size"))
-    names = names.withColumn("n", F.count("*").over(alike)).withColumn("r", F.rank().over(alike.orderBy("key", "pos")))
+    alike = Window.partitionBy("name", "check", "block")
+    names = names.withColumn("block", F.signum("size")).withColumn("n", F.count("*").over(alike)).withColumn("r", F.rank().over(alike.orderBy("key", "pos")))
     shared = (F.col("size") == 0) & ((F.col("n") > 1) | F.col("more").isNotNull())
     settled = (F.col("size") < 0) | ((F.col("size") > 0) & (F.col("r") > 1))
     places = F.concat(F.array(F.struct("key", "pos")), F.coalesce("more", F.array().cast("array<struct<key:long,pos:int>>")))
@@ -385,8 +384,8 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 def cut_words(text: str | None, starts, stops) -> tuple[str | None, int, int, str]:
     """The text without the words of the spans, its words, those cut, the digest of the rest.
 
-    White space goes with the word before it, or after it at the text's start;
-    everything else stays as it is.
+    White space goes with the word before it; that at the text's start stays, and
+    so does everything else.
     """
     raw = utf8(text)
     words = raw.split()
