@@ -98,7 +98,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         theirs = np.array([i for i, w in enumerate(words) if w in INSULTS or w in known])
         after = np.clip(np.searchsorted(mine, theirs), 0, len(mine) - 1)
         gaps = np.minimum(np.abs(theirs - mine[after]), np.abs(theirs - mine[np.maximum(after - 1, 0)]))
-        near = 1.0 / float(gaps.min())
+        near = 1.0 / max(1.0, float(gaps.min()))
     hidden = [m.translate(LEET).replace("*", "") for m in _MIXED.findall(text.lower())] + [re.sub(r"[.\-_*]", "", m) for m in _SPACED.findall(text.lower())]
     raw = np.bincount(_KIND[np.frombuffer(utf8(text), dtype=np.uint8)], minlength=8) if text else np.zeros(8)
     n, size = max(1, len(words)), max(1, len(text))
