@@ -246,7 +246,7 @@ def _window_rows(chunk: Chunk, marks: list) -> pa.RecordBatch:
     anchor, _ = chunk.anchors(low)
     marked, open_ = np.zeros(len(chunk.words), dtype=bool), np.ones(len(chunk.words), dtype=bool)
     for doc, (own, starts, stops) in enumerate(marks):
-        marked[chunk.offsets[doc] + np.asarray(own, dtype=np.int64)] = True
+        marked[chunk.offsets[doc] + unpacked(own)] = True
         for a, b in zip(starts, stops):
             open_[chunk.offsets[doc] + a : chunk.offsets[doc] + b] = False
     at = chunk.starts[marked[anchor] & open_[chunk.starts]]
@@ -312,6 +312,27 @@ def _lists_of(keys: np.ndarray, own: np.ndarray, values: np.ndarray) -> pa.ListA
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32))).cast(pa.list_(pa.int32()))
 
 
+STEP = 65535
+
+
+def _packed(keys: np.ndarray, own: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
+    """The rising values of each of ``keys`` as 16-bit steps; a full step only moves on."""
+    before = np.zeros(len(values), dtype=np.int64)
+    same = own[1:] == own[:-1]
+    before[1:][same] = values[:-1][same]
+    full, rest = np.divmod(values - before, STEP)
+    ends = np.cumsum(full + 1)
+    steps = np.full(int(ends[-1]) if len(ends) else 0, STEP, dtype="<u2")
+    steps[ends - 1] = rest
+    offsets = 2 * np.concatenate([[0], ends])[np.append(np.searchsorted(own, keys, side="left"), len(own))]
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(steps.tobytes())])
+
+
+def unpacked(steps: bytes) -> np.ndarray:
+    steps = np.frombuffer(steps, dtype="<u2")
+    return np.cumsum(steps, dtype=np.int64)[steps < STEP]
+
+
 def _span_lists(keys: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
     keys, starts, stops = merge_spans(keys, starts, stops)
     own = np.unique(keys)
@@ -321,7 +342,7 @@ def _span_lists(keys: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.R
 
 def _mark_lists(window: int):
     """Rows (key, pos, size) to each document's settled windows, and the marks that other windows still need."""
-    schema = pa.schema([("key", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("marks", "starts", "stops"))])
+    schema = pa.schema([("key", pa.int64()), ("marks", pa.binary()), *((c, pa.list_(pa.int32())) for c in ("starts", "stops"))])
 
     def lists(keys: np.ndarray, pos: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
         block = size > 0
@@ -336,7 +357,7 @@ def _mark_lists(window: int):
             settled = (at >= 0) & (rank[at] == mark_rank) & (stops[at] > marks - LEFT_CONTEXT)
             mark_keys, marks = mark_keys[~settled], marks[~settled]
         order = np.lexsort((marks, mark_keys))
-        return pa.RecordBatch.from_arrays([pa.array(own), _lists_of(own, mark_keys[order], marks[order]), _lists_of(own, keys, starts), _lists_of(own, keys, stops)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(own), _packed(own, mark_keys[order], marks[order]), _lists_of(own, keys, starts), _lists_of(own, keys, stops)], schema=schema)
 
     return lists
 
@@ -359,8 +380,8 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     settled = (F.col("size") < 0) | ((F.col("size") > 0) & (F.col("r") > 1))
     places = F.concat(F.array(F.struct("key", "pos")), F.coalesce("more", F.array().cast("array<struct<key:long,pos:int>>")))
     found = names.where(shared | settled).select(F.explode(places).alias("p"), F.abs("size").alias("size")).select("p.key", "p.pos", "size")
-    marks = cut_lineage(found.repartition("key").sortWithinPartitions("key").mapInArrow(_per_key(_mark_lists(window)), "key long, marks array<int>, starts array<int>, stops array<int>"))
-    size = marks.agg(F.sum(4 * F.size("marks") + 8 * F.size("starts") + 64)).first()[0]
+    marks = cut_lineage(found.repartition("key").sortWithinPartitions("key").mapInArrow(_per_key(_mark_lists(window)), "key long, marks binary, starts array<int>, stops array<int>"))
+    size = marks.agg(F.sum(F.length("marks") + 8 * F.size("starts") + 64)).first()[0]
 
     def window_batches(batches):
         for batch in batches:
@@ -368,7 +389,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
             for chunk, own in _chunks(columns[0], columns[1], window, list(zip(*columns[2:]))):
                 yield _window_rows(chunk, own)
 
-    marked = docs.select("key", "text").join(measured(marks.where(F.size("marks") > 0), size), "key").select("key", "text", "marks", "starts", "stops")
+    marked = docs.select("key", "text").join(measured(marks.where(F.length("marks") > 0), size), "key").select("key", "text", "marks", "starts", "stops")
     windows = marked.mapInArrow(window_batches, "h1 long, h2 int, key long, start int, stop int")
     order = Window.partitionBy("h1", "h2", F.col("stop") > 0).orderBy("key", "start")
     later = windows.withColumn("r", F.rank().over(order)).where((F.col("r") > 1) | (F.col("stop") > 0))
