@@ -164,6 +164,14 @@ def test_cut_words_keeps_the_rest_as_it_is():
     assert substrings.cut_words(None, None, None)[:3] == (None, 0, 0)
 
 
+def test_marks_pack_and_unpack():
+    keys, own = np.array([3, 5, 8, 9]), np.array([3, 3, 3, 8, 8, 9, 9])
+    values = np.array([0, 7, 200_000, 65535, 131070, 65534, 65536])
+    packed = substrings._packed(keys, own, values).to_pylist()
+    assert [substrings.unpacked(p).tolist() for p in packed] == [[0, 7, 200_000], [], [65535, 131070], [65534, 65536]]
+    assert substrings._packed(keys[:0], own[:0], values[:0]).to_pylist() == []
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).count() == 0
