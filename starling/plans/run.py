@@ -151,7 +151,7 @@ def _spectral(ff, n_clusters, gamma=1.0, **options):
 
 def _hdbscan(ff, **options):
     fit = hdbscan(ff, **options)
-    return fit.labels, None, {"cluster_persistence": fit.persistence, "summaries": fit.summaries}
+    return fit.labels, None, {"cluster_persistence": fit.persistence}
 
 
 def _deep_embedding(ff, n_clusters, **options):

@@ -298,14 +298,29 @@ def test_hdbscan_equals_brute_force(spark):
     fit = hdbscan.hdbscan(frame_of(spark, x), 8)
     # Rows of a chosen cluster that fall out before it splits stay its members.
     assert (labels_of(fit.labels) == brute_hdbscan(x, 8, 8)).all()
-    assert fit.exact and fit.n_clusters == 3 and all(0 < p <= 1 for p in fit.persistence)
+    assert fit.n_clusters == 3 and all(0 < p <= 1 for p in fit.persistence)
 
 
-def test_hdbscan_on_bubbles_labels_every_row(golden_ff):
-    fit = hdbscan.hdbscan(golden_ff, 10, summaries=120)
+def test_hdbscan_over_many_blocks(spark):
+    rng = np.random.RandomState(3)
+    x = np.vstack([rng.normal(m, 1, (3500, 2)) for m in ((0, 0), (40, 0))])
+    fit = hdbscan.hdbscan(frame_of(spark, x.round(4)), 50)
     labels = labels_of(fit.labels)
-    assert not fit.exact and len(labels) == 300
-    assert fit.n_noise == (labels == -1).sum() and fit.n_clusters == labels.max() + 1
+    assert fit.n_clusters == 2 and fit.n_noise == (labels == -1).sum() < 100
+    assert set(labels[:3500]) - {-1} == {0} and set(labels[3500:]) - {-1} == {1}
+
+
+def test_forest_is_a_minimum_spanning_forest():
+    rng = np.random.RandomState(0)
+    a, b, w = rng.randint(0, 30, 200), rng.randint(0, 30, 200), rng.randint(0, 9, 200).astype(float)
+    owner, want, size = list(range(30)), 0.0, 0
+    for i in np.argsort(w, kind="stable"):
+        if owner[a[i]] != owner[b[i]]:
+            owner = [owner[a[i]] if o == owner[b[i]] else o for o in owner]
+            want, size = want + w[i], size + 1
+    got = hdbscan.forest(a, b, w)
+    assert len(got) == size and w[got].sum() == want
+    assert len(hdbscan.forest(a[:0], b[:0], w[:0])) == 0
 
 
 def test_hdbscan_needs_enough_rows(spark):
