@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from starling.functions.vectors import hash_uniform
 from starling.operators import evaluate, prepare, profile, reduce, report, scale, soft
 from starling.operators.dbscan import dbscan_labels
-from starling.operators.hdbscan import hdbscan
+from starling.operators.hdbscan import hdbscan, with_core_distances
 from starling.operators.hierarchical import hierarchical
-from starling.operators.kmeans import assign, elbow_costs, first_distinct_rows, inertia, kmeans, kmeans_lloyd, knee
+from starling.operators.kmeans import assign, elbow, elbow_costs, first_distinct_rows, inertia, kmeans, kmeans_lloyd, knee
 from starling.operators.moments import group_moments
 from starling.operators.spectral import spectral
 from starling.plans import sql as S
@@ -658,6 +659,85 @@ def hdbscan_part(spark, sf_dir):
     return hdbscan(part_features(spark, sf_dir), 10).labels.select("row_id", "cluster")
 
 
+# ------------------------------------------------ clusterings with one right answer
+
+
+def blob_features(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """Four separated squares of points, placed by the table's ids."""
+    group = F.pmod(F.col(key), F.lit(4))
+    noise = lambda j: hash_uniform(42, F.col(key), F.lit("blob"), F.lit(j)) * 2.0 - 1.0
+    x = (group % 2) * 20.0 + noise(0)
+    y = F.floor(group / 2) * 20.0 + noise(1)
+    return table(spark, sf_dir, name).select(F.col(key).cast("long").alias("row_id"), F.array(x, y).alias("features"))
+
+
+def blob_sql(name: str, key: str) -> str:
+    noise = [f"({S.uniform(key, chr(39) + 'blob' + chr(39), str(j), '42')} * 2.0 - 1.0)" for j in range(2)]
+    return (
+        f"blobs AS MATERIALIZED (SELECT {key}::BIGINT AS row_id, {key} % 4 AS g, ({key} % 4) % 2 * 20.0::DOUBLE + {noise[0]} AS f0, "
+        f"({key} % 4) // 2 * 20.0::DOUBLE + {noise[1]} AS f1 FROM {name}), "
+        "named AS MATERIALIZED (SELECT row_id, g, f0, f1, dense_rank() OVER (ORDER BY first) - 1 AS cluster "
+        "FROM (SELECT *, min(row_id) OVER (PARTITION BY g) AS first FROM blobs))"
+    )
+
+
+def named_by_first_row(labelled: DataFrame) -> DataFrame:
+    """Clusters numbered by their smallest row."""
+    firsts = labelled.groupBy("cluster").agg(F.min("row_id").alias("first"))
+    names = firsts.select(F.col("cluster").alias("old"), (F.row_number().over(Window.orderBy("first")) - 1).alias("name"))
+    return labelled.join(F.broadcast(names), F.col("cluster") == F.col("old")).select("row_id", F.col("name").cast("bigint").alias("cluster"))
+
+
+BLOB_LABELS = "SELECT row_id, cluster::BIGINT AS cluster FROM named"
+
+
+@query(f"WITH {blob_sql('orders', 'o_orderkey')} {BLOB_LABELS}")
+def kmeans_blobs(spark, sf_dir):
+    return named_by_first_row(kmeans(blob_features(spark, sf_dir, "orders", "o_orderkey"), 4).labels)
+
+
+@query(f"""WITH {blob_sql('part', 'p_partkey')}, m AS (SELECT g, avg(f0) AS m0, avg(f1) AS m1 FROM named GROUP BY g)
+SELECT count(DISTINCT g)::INTEGER AS k, {S.r('sum((f0 - m0) ** 2 + (f1 - m1) ** 2)', 4)} AS inertia FROM named JOIN m USING (g)""")
+def elbow_blobs(spark, sf_dir):
+    k, costs = elbow(blob_features(spark, sf_dir, "part", "p_partkey"), 8)
+    return costs.where(F.col("k") == k).select(F.col("k").cast("int").alias("k"), rnd("inertia", 4).alias("inertia"))
+
+
+@query(f"WITH {blob_sql('part', 'p_partkey')} {BLOB_LABELS}")
+def ward_blobs(spark, sf_dir):
+    return named_by_first_row(hierarchical(blob_features(spark, sf_dir, "part", "p_partkey"), 4).labels)
+
+
+@query(f"WITH {blob_sql('supplier', 's_suppkey')} SELECT linkage, row_id, cluster::BIGINT AS cluster FROM named, (VALUES ('average'), ('complete'), ('single')) l(linkage)")
+def linkage_blobs(spark, sf_dir):
+    ff = blob_features(spark, sf_dir, "supplier", "s_suppkey")
+    parts = [named_by_first_row(hierarchical(ff, 4, linkage=name).labels).select(F.lit(name).alias("linkage"), "*") for name in ("average", "complete", "single")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {blob_sql('supplier', 's_suppkey')} {BLOB_LABELS}")
+def spectral_blobs(spark, sf_dir):
+    return named_by_first_row(spectral(blob_features(spark, sf_dir, "supplier", "s_suppkey"), 4).labels)
+
+
+@query(f"WITH {blob_sql('part', 'p_partkey')} {BLOB_LABELS}")
+def hdbscan_blobs(spark, sf_dir):
+    return named_by_first_row(hdbscan(blob_features(spark, sf_dir, "part", "p_partkey"), 20).labels)
+
+
+@query(f"WITH {blob_sql('supplier', 's_suppkey')} {BLOB_LABELS}")
+def deep_embedding_blobs(spark, sf_dir):
+    return named_by_first_row(soft.deep_embedding(blob_features(spark, sf_dir, "supplier", "s_suppkey"), 4, latent_dim=2).labels)
+
+
+@query(f"""WITH {blob_sql('part', 'p_partkey')},
+gaps AS (SELECT a.row_id, sqrt((a.f0 - b.f0) ** 2 + (a.f1 - b.f1) ** 2) AS gap FROM named a JOIN named b ON a.row_id <> b.row_id)
+SELECT row_id, {S.r('gap')} AS core FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY gap) AS place FROM gaps) WHERE place = 10""")
+def hdbscan_core_distances(spark, sf_dir):
+    points = blob_features(spark, sf_dir, "part", "p_partkey").withColumn("n", F.lit(1.0))
+    return with_core_distances(points, 10).select("row_id", rnd("core").alias("core"))
+
+
 @query(f"WITH {S.EMBEDDING_CELLS}, {S.EMBEDDING_CENTERS}, {S.EMBEDDING_GAPS}, {S.SOFT} SELECT row_id, cluster::BIGINT AS position, {S.r('q')} AS value FROM soft")
 def soft_assignment(spark, sf_dir):
     return cells(soft.soft_assign(embedding_features(spark, sf_dir), embedding_centers(spark, sf_dir)), "q")
