@@ -24,10 +24,9 @@ def exact_quantiles(
     """Quantiles per column, NULLs ignored; all NULL gives None."""
     columns, probabilities = list(columns), [float(p) for p in probabilities]
     sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    small = [c for i, c in enumerate(columns) if sizes[i] <= buffer_rows]
     result: dict[str, list[float | None]] = {}
-    if small:
-        grid = F.array(*[F.lit(p) for p in probabilities])
+    grid = F.array(*[F.lit(p) for p in probabilities])
+    for small in _groups([(c, sizes[i]) for i, c in enumerate(columns) if sizes[i] <= buffer_rows], buffer_rows):
         row = df.agg(*[F.percentile(F.col(c).cast("double"), grid).alias(f"q{i}") for i, c in enumerate(small)]).first()
         result.update({c: list(row[i]) if row[i] is not None else [None] * len(probabilities) for i, c in enumerate(small)})
     large = [(c, sizes[i]) for i, c in enumerate(columns) if c not in result]
@@ -39,9 +38,21 @@ def exact_quantiles(
     return result
 
 
+def _groups(sized: list[tuple], most: int) -> list[list]:
+    """Runs of items whose sizes add up to ``most`` at most, one item at least."""
+    groups, filled = [], 0
+    for item, size in sized:
+        if not groups or filled + size > most:
+            groups.append([])
+            filled = 0
+        groups[-1].append(item)
+        filled += size
+    return groups
+
+
 @dataclass
 class _Target:
-    """One wanted quantile and the bracket its ranks are known to lie in."""
+    """One wanted quantile and the values, bounds excluded, among which its ranks are known to lie."""
 
     column: str
     rows: int
@@ -51,7 +62,6 @@ class _Target:
     below: int = 0
     inside: int = 0
     margin: float = 0.002
-    settled: bool = False
     value: float | None = None
 
     def __post_init__(self):
@@ -67,18 +77,27 @@ class _Target:
 
     def values(self) -> Column:
         x = F.col(self.column).cast("double")
-        return x if self.low is None else F.when(x.between(self.low, self.high), x)
+        return x if self.low is None else F.when((x > self.low) & (x < self.high), x)
+
+    def decide(self, known: dict[int, float]) -> bool:
+        """Take the value if both ranks it lies between are known."""
+        if self.first in known and self.second in known:
+            low, high = known[self.first], known[self.second]
+            self.value = low + (high - low) * (self.position - self.first)
+        return self.value is not None
 
 
 def _narrow(df: DataFrame, targets: list[_Target], buffer_rows: int) -> None:
     """Shrink all brackets together, then read the quantiles out of them.
 
     A round costs two scans for all columns and quantiles at once: one proposes
-    tighter brackets by an approximate percentile, one counts what they hold. A
-    proposal that misses the wanted ranks is widened, so the result is exact.
+    tighter bounds by an approximate percentile, one counts the values below,
+    on and between them. Copies of the bounds are set apart, so a heavy value is
+    either the answer or gone from the bracket; a proposal that misses the
+    wanted ranks is widened. So the result is exact and every round ends nearer.
     """
     while True:
-        moving = [t for t in targets if t.value is None and not t.settled and t.inside > buffer_rows]
+        moving = [t for t in targets if t.value is None and t.inside > buffer_rows]
         if not moving:
             break
         proposals = []
@@ -95,22 +114,31 @@ def _narrow(df: DataFrame, targets: list[_Target], buffer_rows: int) -> None:
         ]
         counts = []
         for t, (low, high) in zip(moving, bounds):
-            counts += [F.count_if(t.values() < low), F.count_if(t.values().between(low, high))]
+            x = t.values()
+            between = F.when((x > low) & (x < high), x)
+            counts += [F.count_if(x < low), F.count_if(x == low), F.count(between), F.count_if(x == high), F.min(between), F.max(between)]
         row = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first()
         for i, (t, (low, high)) in enumerate(zip(moving, bounds)):
-            below, inside = t.below + row[2 * i], row[2 * i + 1]
-            if not (below <= t.first and t.second < below + inside):
+            under, on_low, inside, on_high, least, most = row[6 * i : 6 * i + 6]
+            start = t.below + under
+            middle = start + on_low
+            end = middle + inside + (on_high if high > low else 0)
+            if not (start <= t.first and t.second < end):
                 t.margin *= 4
-            elif low == high:
-                t.value = low
-            else:
-                # No change means that copies of very few values fill the bracket.
-                t.settled = inside == t.inside
-                t.low, t.high, t.below, t.inside, t.margin = low, high, below, inside, 0.002
-    last = [t for t in targets if t.value is None]
-    if last:
+                continue
+            known = {}
+            for rank in (t.first, t.second):
+                if rank < middle:
+                    known[rank] = low
+                elif rank >= middle + inside:
+                    known[rank] = high
+                elif rank in (middle, middle + inside - 1):
+                    known[rank] = least if rank == middle else most
+            if not t.decide(known):
+                t.low, t.high, t.below, t.inside, t.margin = low, high, middle, inside, 0.002
+    for group in _groups([(t, t.inside) for t in targets if t.value is None], BUFFER_ROWS):
         row = df.agg(*[
-            F.percentile(t.values(), F.lit((t.position - t.below) / max(t.inside - 1, 1))).alias(f"v{i}") for i, t in enumerate(last)
+            F.percentile(t.values(), F.lit((t.position - t.below) / max(t.inside - 1, 1))).alias(f"v{i}") for i, t in enumerate(group)
         ]).first()
-        for i, t in enumerate(last):
+        for i, t in enumerate(group):
             t.value = row[i]

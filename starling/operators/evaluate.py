@@ -131,7 +131,8 @@ def silhouette(labelled: DataFrame, mode: str = "exact", sample_rows: int = 1000
 
 def _sampled_silhouette(labelled: DataFrame, sample_rows: int, seed: int) -> float | None:
     dims = width(labelled)
-    sample_rows = max(1, min(sample_rows, SAMPLE_VALUES // dims))
+    if not 1 <= sample_rows <= max(1, SAMPLE_VALUES // dims):
+        raise ValueError(f"sample_rows must lie in 1..{SAMPLE_VALUES // dims} for {dims} features")
     chosen = hash_sample(labelled.select("row_id", "features", "cluster"), sample_rows, seed=seed)
     spark = labelled.sparkSession
     # Bounded by sample_rows x dims <= SAMPLE_VALUES numbers.
@@ -185,7 +186,7 @@ def calinski_harabasz(labelled: DataFrame) -> float | None:
 def davies_bouldin(labelled: DataFrame) -> float | None:
     """Mean over clusters of the worst (spread_i + spread_j) / centre distance."""
     table, dims = _moment_table(labelled)
-    table = table.persist()
+    table, spreads = table.persist(), None
     try:
         gap = F.sqrt(squared_distance_dims(F.col("features"), F.col("center"), dims))
         centers = broadcast_if_small(table.select("cluster", "center"), dims)
@@ -210,6 +211,8 @@ def davies_bouldin(labelled: DataFrame) -> float | None:
         return ratios.groupBy("row_id").agg(F.max("worst").alias("w")).agg(F.avg("w").alias("s")).first()["s"]
     finally:
         table.unpersist()
+        if spreads is not None:
+            spreads.unpersist()
 
 
 def _pairs(n: Column) -> Column:

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starling.functions.blocks import block_pairs, distances
-from starling.functions.sampling import hash_sample
-from starling.functions.vectors import squared_distance_to
+from starling.functions.vectors import hash_uniform, squared_distance_to
 from starling.operators.moments import group_moments, within_squares
 from starling.operators.prepare import width
 
@@ -22,8 +21,8 @@ CENTER_SCHEMA = "cluster int, center array<double>"
 SHIPPED_VALUES = 2_000_000
 # Up to this many terms distances are plain compiled arithmetic.
 UNROLL_TERMS = 256
-# Starting centres are drawn from at most this many rows.
-SAMPLE_ROWS = 20_000
+# Candidates for starting centres: rounds over all rows, and rows wanted per round for each centre.
+START_ROUNDS, START_FACTOR = 4, 4
 VALUES_PER_TASK = 2_000_000
 
 
@@ -165,14 +164,21 @@ def fit_each_k(
     """
     data = ff.select("row_id", "features").persist()
     try:
-        sample = _start_sample(data, max(ks), seed)
-        middle, spread = sample.mean(axis=0), float(sample.var(axis=0).mean())
-        runs = [(k, _plus_plus(sample, k, np.random.default_rng(seed + i))) for k in ks for i in range(n_init)]
-        centers = [start - middle for _, start in runs]
+        dims, n = width(data), data.count()
+        if not n:
+            raise ValueError("no rows to cluster")
         # Few rows make few tasks: a round over little data is all task overhead.
-        work = data.count() * (len(middle) + sum(len(c) for c in centers))
-        tasks = max(1, work // VALUES_PER_TASK)
+        tasks = max(1, n * dims * (1 + n_init * sum(ks)) // VALUES_PER_TASK)
         rows = data.select("features").coalesce(tasks)
+        sums, counts, _ = _round(rows, tasks, {0: np.zeros((1, dims))}, np.zeros(dims))[0]
+        middle = sums[0] / counts[0]
+        _, _, scatter = _round(rows, tasks, {0: np.zeros((1, dims))}, middle)[0]
+        if not np.isfinite(scatter):
+            raise ValueError("features hold missing or infinite values")
+        spread = scatter / (n * dims)
+        candidates, weights = _start_candidates(data, rows, tasks, max(ks), middle, scatter, seed)
+        runs = [(k, _plus_plus(candidates, weights, k, np.random.default_rng(seed + i))) for k in ks for i in range(n_init)]
+        centers = [start - middle for _, start in runs]
         rounds = [0] * len(runs)
         moving = set(range(len(runs)))
         for _ in range(max_iter):
@@ -181,6 +187,8 @@ def fit_each_k(
             for i, (sums, counts, _) in _round(rows, tasks, {i: centers[i] for i in moving}, middle).items():
                 moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers[i])
                 shift = float(((moved - centers[i]) ** 2).sum())
+                if not np.isfinite(shift):
+                    raise ValueError("centres are not finite: features hold missing or infinite values")
                 centers[i], rounds[i] = moved, rounds[i] + 1
                 if shift <= tol * spread:
                     moving.discard(i)
@@ -195,27 +203,54 @@ def fit_each_k(
     return best
 
 
-def _start_sample(ff: DataFrame, k: int, seed: int) -> np.ndarray:
-    """A bounded hash sample of rows to draw the starting centres from.
+def _start_candidates(data: DataFrame, rows: DataFrame, tasks: int, k: int, middle: np.ndarray, scatter: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows to draw starting centres from, and how many rows are nearest to each.
 
-    Only the start rests on it; every round and the result use all rows.
+    k-means|| (Bahmani et al., 2012) over all rows: a row joins with a chance in
+    proportion to its squared distance from the candidates so far, by a hash of
+    its id. While distinct points are too few for k, the farthest row joins.
     """
-    rows = min(SAMPLE_ROWS, max(k, SHIPPED_VALUES // width(ff)))
-    sample = np.array([r["features"] for r in hash_sample(ff.select("row_id", "features"), rows, seed=seed)], dtype=float)
-    if len(np.unique(sample, axis=0)) < k:
-        # Copies fill the sample: look for further distinct points.
-        others = ff.select("features").distinct().limit(k).collect()
-        sample = np.vstack([sample, [r["features"] for r in others]])
-    return sample
-
-
-def _plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ (Arthur and Vassilvitskii, 2007); fewer centres if points run out."""
-    chosen = [sample[rng.integers(len(sample))]]
-    gap = ((sample - chosen[0]) ** 2).sum(axis=1)
-    while len(chosen) < k and gap.sum() > 0:
-        chosen.append(sample[rng.choice(len(sample), p=gap / gap.sum())])
-        gap = np.minimum(gap, ((sample - chosen[-1]) ** 2).sum(axis=1))
+    dims = len(middle)
+    first = data.select("features", hash_uniform(seed, F.col("row_id"), F.lit("start")).alias("u")).orderBy("u").first()
+    candidates, cost = np.array([first["features"]], dtype=float), max(scatter, 0.0)
+    for turn in range(START_ROUNDS + k):
+        if turn >= START_ROUNDS and len(candidates) >= k:
+            break
+        near = data.sparkSession.sparkContext.broadcast(candidates)
+
+        @F.pandas_udf("double")
+        def gap(features: pd.Series) -> pd.Series:
+            x = np.stack(features.to_numpy())
+            out = np.full(len(x), np.inf)
+            for point in near.value:
+                np.minimum(out, ((x - point) ** 2).sum(axis=1), out=out)
+            return pd.Series(out)
+
+        measured = data.select("features", gap("features").alias("gap"), hash_uniform(seed, F.col("row_id"), F.lit("start"), F.lit(turn)).alias("u"))
+        if turn < START_ROUNDS:
+            # The cost before the last candidates is an upper bound, so this takes a few rows less than the rule.
+            measured = measured.where(F.col("u") * cost < F.col("gap") * (START_FACTOR * k))
+            found = [r["features"] for r in measured.select("features").distinct().collect()]
+        else:
+            top = measured.agg(F.max_by("features", F.struct("gap", "u")).alias("f"), F.max("gap").alias("gap")).first()
+            if not top["gap"]:
+                break
+            found = [top["f"]]
+        if found:
+            candidates = np.unique(np.vstack([candidates, np.array(found, dtype=float).reshape(-1, dims)]), axis=0)
+        if turn + 1 < START_ROUNDS:
+            cost = _round(rows, tasks, {0: candidates - middle}, middle)[0][2]
+    _, counts, _ = _round(rows, tasks, {0: candidates - middle}, middle)[0]
+    return candidates[counts > 0], counts[counts > 0]
+
+
+def _plus_plus(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ (Arthur and Vassilvitskii, 2007) on weighted points; fewer centres if points run out."""
+    chosen = [candidates[rng.choice(len(candidates), p=weights / weights.sum())]]
+    gap = ((candidates - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and (gap * weights).sum() > 0:
+        chosen.append(candidates[rng.choice(len(candidates), p=gap * weights / (gap * weights).sum())])
+        gap = np.minimum(gap, ((candidates - chosen[-1]) ** 2).sum(axis=1))
     return np.array(chosen)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,17 +84,28 @@ def impute_values(df: DataFrame, strategy: str, columns: Sequence[str]) -> dict[
         fills.update(clean.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict())
     elif strategy == "median" and numeric:
         fills.update({c: q[0] for c, q in exact_quantiles(clean, numeric, [0.5]).items()})
-    for c in columns:
-        if c not in fills:
-            # Counted per value first: a hot value becomes one partial row per task.
-            top = (
-                clean.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
-                .orderBy(F.desc("n"), F.asc(c)).select(c).first()
-            )
-            fills[c] = top[0] if top is not None else (0 if c in numeric else "Unknown")
+    modal = [c for c in columns if c not in fills]
+    if modal:
+        # All columns are counted in one pass, per value first: a hot value becomes one partial row per task.
+        pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("exact")) for i, c in enumerate(modal)])
+        counted = clean.select(F.explode(pairs).alias("p")).where(F.col("p.exact").isNotNull()).groupBy("p.c", "p.exact").agg(F.count("*").alias("n"))
+        is_number = F.col("c").isin([i for i, c in enumerate(modal) if c in numeric])
+        number = F.when(is_number, F.col("exact").try_cast("double"))
+        best = counted.groupBy("c").agg(F.min_by("exact", F.struct(-F.col("n"), number, F.col("exact"))).alias("top"))
+        tops = {modal[r["c"]]: r["top"] for r in best.collect()}
+        for c in modal:
+            fills[c] = _typed(tops.get(c), df.schema[c].dataType) if c in tops else (0 if c in numeric else "Unknown")
     return fills
 
 
+def _typed(text: str, kind: T.DataType) -> float | int | Decimal | str:
+    if isinstance(kind, T.IntegralType):
+        return int(text)
+    if isinstance(kind, T.DecimalType):
+        return Decimal(text)
+    return float(text) if isinstance(kind, T.NumericType) else text
+
+
 def impute(df: DataFrame, strategy: str = "mean", columns: Sequence[str] | None = None) -> DataFrame:
     """Fill missing values; fitted constants go into the projection as literals."""
     if columns is None:

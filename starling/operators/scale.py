@@ -46,11 +46,18 @@ class Scaler:
         )
 
 
+def _require_values(columns: Sequence[str], found: Sequence[float | None]) -> None:
+    empty = [c for c, value in zip(columns, found) if value is None]
+    if empty:
+        raise ValueError(f"columns without any value cannot be scaled: {empty}")
+
+
 def fit_scaler(df: DataFrame, columns: Sequence[str], method: str | None = "standard") -> Scaler:
     """Fit in one aggregate; ``None`` or an unknown method leaves the data as it is."""
     columns = list(columns)
     if method == "robust":
         quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+        _require_values(columns, [quartiles[c][0] for c in columns])
         centers = [quartiles[c][1] for c in columns]
         divisors = [quartiles[c][2] - quartiles[c][0] for c in columns]
     elif method in ("standard", "minmax"):
@@ -60,6 +67,7 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], method: str | None = "stan
             *[second(c).cast("double").alias(f"b{i}") for i, c in enumerate(columns)],
         ).first()
         centers = list(row[: len(columns)])
+        _require_values(columns, centers)
         divisors = list(row[len(columns):])
         if method == "minmax":
             divisors = [high - low for low, high in zip(centers, divisors)]

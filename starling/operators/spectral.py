@@ -25,19 +25,22 @@ class SpectralFit:
     exact: bool
 
 
-def spectral(ff: DataFrame, k: int = 8, gamma: float = 1.0, landmarks: int = 1000, n_init: int = 10, seed: int = 42) -> SpectralFit:
+def spectral(ff: DataFrame, k: int = 8, gamma: float = 1.0, landmarks: int | None = None, n_init: int = 10, seed: int = 42) -> SpectralFit:
     """k-means on the leading eigenvectors of the normalised affinity.
 
-    With at most ``landmarks`` distinct points the eigenvectors are exact.
-    Beyond that they are taken on a hash sample of distinct points and carried
-    over to all rows (Nystroem extension): one m x m eigenproblem of bounded
-    size and one pass over the rows.
+    The eigenvectors are exact, for up to ``MAX_LANDMARKS`` distinct points.
+    With ``landmarks`` they are taken on a hash sample of so many distinct
+    points and carried over to all rows (Nystroem extension): one m x m
+    eigenproblem of bounded size and one pass over the rows.
     """
+    asked, landmarks = landmarks, MAX_LANDMARKS if landmarks is None else landmarks
     if landmarks > MAX_LANDMARKS:
         raise ValueError(f"at most {MAX_LANDMARKS} landmarks")
     points = cut_lineage(ff.groupBy("features").agg(F.min("row_id").alias("id"), F.count("*").alias("n")))
     picked = hash_sample(points, landmarks + 1, "id", seed)
     exact = len(picked) <= landmarks
+    if not exact and asked is None:
+        raise ValueError(f"more than {MAX_LANDMARKS} distinct points: choose landmarks to have the eigenvectors sampled")
     picked = sorted(picked[:landmarks], key=lambda r: r["id"])
     embedding = _extension(
         np.array([list(r["features"]) for r in picked], dtype=float), np.array([r["n"] for r in picked], dtype=float), k, gamma

@@ -61,10 +61,9 @@ def prepare_features(
     if not names:
         raise ValueError("No numeric columns found in the dataset")
     clean = df.select(id_col, *[missing_as_null(df, c).cast("double").alias(c) for c in names])
-    if strategy is None:
-        require_complete(clean, names)
-    else:
+    if strategy is not None:
         clean = impute(clean, strategy, names)
+    require_complete(clean, names)
     scaler = fit_scaler(clean, names, scale)
     return to_features(scaler.transform(clean), names, id_col), names, scaler, id_col, df
 
@@ -146,7 +145,7 @@ def _hierarchical(ff, n_clusters=3, **options):
 
 def _spectral(ff, n_clusters, gamma=1.0, **options):
     fit = spectral(ff, n_clusters, gamma=gamma, **options)
-    return fit.labels, None, {"gamma": gamma, "landmarks": fit.landmarks}
+    return fit.labels, None, {"gamma": gamma, "landmarks": fit.landmarks, "exact": fit.exact}
 
 
 def _hdbscan(ff, **options):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the application's steps when the block ends."""
+    try:
+        yield
+    finally:
+        release_scratch(spark)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete the steps this application wrote; results built on them go too."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_application_dir(spark))

@@ -169,3 +169,33 @@ def test_describe_and_preview(spark):
     assert (row["count"], row["mean"], row["q25"], row["std"]) == (4, 1.5, 0.75, pytest.approx(np.std(range(4), ddof=1)))
     assert [r["s"] for r in profile.preview(df, ["id"], rows=2).collect()] == ["short", "a long tex..."]
     assert {r["data_type"]: r["n_columns"] for r in profile.type_histogram(df).collect()} == {"bigint": 1, "string": 1}
+
+
+def test_quantiles_of_two_heavy_values_with_a_distinct_middle(spark):
+    rows = [(0.0,)] * 3000 + [(1.0,)] * 3000 + [(i / 100,) for i in range(1, 100)] + [(None,)]
+    df = spark.createDataFrame(rows, "x double")
+    values = np.array([r[0] for r in rows if r[0] is not None])
+    probabilities = [0.0, 0.1, 0.4921, 0.5, 0.5005, 0.51, 0.9, 1.0]
+    got = exact_quantiles(df, ["x"], probabilities, 10)["x"]
+    assert got == pytest.approx(np.quantile(values, probabilities))
+
+
+def test_quantiles_of_many_columns_share_the_buffer(spark):
+    columns = [f"c{i}" for i in range(60)]
+    df = spark.range(50).select(*[((F.col("id") * (i + 3)) % 50).cast("double").alias(c) for i, c in enumerate(columns)])
+    got = exact_quantiles(df, columns, [0.5], 120)
+    want = df.toPandas().quantile(0.5)
+    assert all(got[c][0] == pytest.approx(want[c]) for c in columns)
+
+
+def test_columns_without_values_are_refused(spark):
+    from starling.operators.scale import fit_scaler
+    from starling.plans.run import run
+
+    df = spark.createDataFrame([(i, float(i), None) for i in range(20)], "id long, x double, empty double")
+    for method in ("standard", "robust", "minmax"):
+        with pytest.raises(ValueError, match="empty"):
+            fit_scaler(df, ["x", "empty"], method)
+    for scale in ("standard", "robust", "minmax", None):
+        with pytest.raises(ValueError, match="empty"):
+            run(df, "kmeans", id_col="id", scale=scale, n_clusters=2)
