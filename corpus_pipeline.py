@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starling.llm import decontaminate, mixing, simhash, substrings, toxicity
-from starling.llm.common import read
+from starling.llm.common import read, short_batches
 from starling.session import cut_lineage
 
 
@@ -18,11 +18,13 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by fingerprints at three bits or fewer."""
+    short_batches(spark)
     return simhash.keep_one(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of 20-word windows that start earlier; ``n_chars`` counts what is left."""
+    short_batches(spark)
     cut = substrings.cut_repeats(docs)
     names = {"text": F.col("__cut.text"), "n_chars": F.length("__cut.text").cast("long")}
     return cut.select(*(names[c].alias(c) if c in names else F.col(c) for c in docs.columns))

@@ -12,7 +12,21 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+# Rows of an Arrow batch: whole texts are long rows, and a batch is held several times over.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches to ``BATCH_ROWS`` rows; a smaller setting stays."""
+    now = int(spark.conf.get(_BATCH_SETTING))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, in a session with short batches."""
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
