@@ -32,10 +32,14 @@ def centers_frame(spark: SparkSession, centers: Sequence[Sequence[float]]) -> Da
 
 def small_centers(centers: DataFrame) -> tuple[list[int], list[list[float]]] | None:
     """Labels and coordinates on the driver, or None when they exceed the bound."""
-    size = centers.agg(F.sum(F.size("center")).alias("v")).first()["v"] or 0
-    if size > SHIPPED_VALUES:
-        return None
-    rows = centers.select("cluster", "center").orderBy("cluster").collect()
+    centers = centers.select("cluster", "center").persist()
+    try:
+        size = centers.agg(F.sum(F.size("center")).alias("v")).first()["v"] or 0
+        if size > SHIPPED_VALUES:
+            return None
+        rows = sorted(centers.collect(), key=lambda r: r["cluster"])
+    finally:
+        centers.unpersist()
     return [r["cluster"] for r in rows], [list(r["center"]) for r in rows]
 
 
@@ -64,9 +68,13 @@ def _assign_small(ff: DataFrame, labels: Sequence[int], points: Sequence[Sequenc
 
     @F.pandas_udf("cluster int, distance double")
     def nearest(features: pd.Series) -> pd.DataFrame:
-        squares = distances(np.stack(features.to_numpy()), matrix, squared=True)
-        best = squares.argmin(axis=1)
-        return pd.DataFrame({"cluster": ids[best], "distance": np.sqrt(squares[np.arange(len(best)), best])})
+        x, step = np.stack(features.to_numpy()), max(1, 1_000_000 // len(matrix))
+        best, least = np.empty(len(x), dtype=int), np.empty(len(x))
+        for at in range(0, len(x), step):
+            squares = distances(x[at : at + step], matrix, squared=True)
+            best[at : at + step] = squares.argmin(axis=1)
+            least[at : at + step] = squares.min(axis=1)
+        return pd.DataFrame({"cluster": ids[best], "distance": np.sqrt(least)})
 
     return ff.withColumn("_n", nearest("features")).select(
         *ff.columns, F.col("_n.cluster").alias("cluster"), F.col("_n.distance").alias("distance")

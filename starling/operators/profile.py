@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from starling.functions.quantiles import exact_quantiles
 from starling.operators.prepare import missing_as_null, numeric_columns
@@ -81,7 +80,3 @@ def preview(df: DataFrame, order: Sequence[str], rows: int = 100, columns: int =
         return F.when(F.length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("..."))).otherwise(text).alias(c)
 
     return df.orderBy(*order).limit(rows).select(*[cell(c) for c in shown])
-
-
-def numeric_schema(df: DataFrame) -> list[T.StructField]:
-    return [f for f in df.schema if isinstance(f.dataType, T.NumericType)]

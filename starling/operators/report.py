@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starling.functions.vectors import hash_uniform
 from starling.operators.moments import group_moments
 from starling.operators.prepare import width
 
@@ -114,7 +115,7 @@ def scatter_frame(
     ``fraction`` draws a sample for tables too long to plot.
     """
     if fraction is not None:
-        labelled = labelled.sample(fraction=fraction, seed=seed)
+        labelled = labelled.where(hash_uniform(seed, F.col("row_id"), F.lit("scatter")) < fraction)
     if coordinates is not None:
         labelled = labelled.select("row_id", "cluster").join(coordinates.select("row_id", "features"), "row_id")
     x = F.col("features")

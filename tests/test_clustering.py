@@ -366,3 +366,33 @@ def test_refinement_follows_the_numeric_gradient(spark, golden_ff):
 def test_deep_embedding_labels_every_row(golden_ff):
     fit = soft.deep_embedding(golden_ff, 3, latent_dim=2, rounds=2, n_init=2)
     assert len(labels_of(fit.labels)) == 300 and len(fit.losses) == 2
+
+
+def test_refinement_with_many_centre_values(spark):
+    rng = np.random.RandomState(5)
+    x = rng.normal(0, 1, (400, 24))
+    points = x[:30].copy()
+    ff = frame_of(spark, x)
+    fit = soft.dec_refine(ff, kmeans.centers_frame(spark, points.tolist()), rounds=2, lr=0.5)
+
+    def q_of(c):
+        kernel = 1 / (1 + ((x[:, None] - c[None]) ** 2).sum(axis=2))
+        return kernel / kernel.sum(axis=1, keepdims=True)
+
+    for loss in fit.losses:
+        q = q_of(points)
+        p = q**2 / q.sum(axis=0)
+        p /= p.sum(axis=1, keepdims=True)
+        assert loss == pytest.approx((p * np.log(p / q)).sum(axis=1).mean())
+        force = 2 * (q - p) / (1 + ((x[:, None] - points[None]) ** 2).sum(axis=2))
+        points = points - 0.5 * (force[:, :, None] * (x[:, None] - points[None])).mean(axis=0)
+    rows = fit.labels.orderBy("row_id").collect()
+    assert np.allclose([r["q"] for r in rows], q_of(points))
+    assert [r["cluster"] for r in rows] == q_of(points).argmax(axis=1).tolist()
+
+
+def test_starts_cover_rare_distinct_points(spark):
+    x = np.vstack([np.zeros((3000, 2)), [[50.0, 0.0]], [[0.0, 50.0]]])
+    fit = kmeans.kmeans(frame_of(spark, x), 3, n_init=3)
+    assert fit.n_clusters == 3 and fit.inertia == pytest.approx(0.0)
+    assert kmeans.kmeans(frame_of(spark, x), 5, n_init=2).n_clusters == 3
