@@ -39,8 +39,9 @@ ID_FORM = "<urn:starling:page:%s>"
 MIN_REVISIT_BYTES = 1000
 # The dictionary is trained on at most so many pages of at most so many bytes each; it does not change what is read back.
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 200, 20_000, 32_768
-# Payload bytes gathered in an archive before the task begins the next file.
+# Lines of an archive file, and frame bytes after which empty frames fill its lines up, so that the next file begins.
 ARCHIVE_ROWS = 4000
+ARCHIVE_BYTES = 64 << 20
 _LINE_FRAME = struct.pack("<II", SKIPPABLE_LOW, 1)
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
@@ -203,14 +204,15 @@ def _page_record(page_id: str, url: str | None, payload: bytes, refers_to: str |
     return record(headers, http if refers_to else http + payload)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2020-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2020-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write a record for each row of ``pages`` below ``path``, each file a ``.warc.zst``.
 
     The payload is the html in UTF-8, null as empty. Of equal payloads of
     ``MIN_REVISIT_BYTES`` or more the record with the largest id is a response
     and records with smaller or null ids revisit it; repeated rows with that id
     are all responses. A group of null ids alone has only responses. A null url
-    leaves the header out. Other columns are not looked at.
+    leaves the header out. Other columns are not looked at. Files hold about
+    ``archive_bytes`` at most, and one record at least.
     """
     digest = F.sha1(F.coalesce(F.col(html_col), F.lit("")))
     plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -224,16 +226,22 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = Frames(dictionary)
-        done = 0
+        lines = size = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 out = []
                 for page_id, url, html, keeper in zip(*(c.to_pylist() for c in part.columns)):
-                    if done % (ARCHIVE_ROWS - 1) == 0:
+                    if not lines:
                         out.append(writer.opening())
-                    done += 1
+                        lines, size = 1, 0
                     out.append(writer.frame(_page_record("" if page_id is None else page_id, url, utf8(html), keeper, date)))
+                    lines, size = lines + 1, size + len(out[-1])
+                    if size >= archive_bytes:
+                        out += [_LINE_FRAME] * (ARCHIVE_ROWS - lines)
+                        lines = ARCHIVE_ROWS
+                    if lines == ARCHIVE_ROWS:
+                        lines = 0
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], schema=schema)
 
     lines = rows.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))

@@ -52,6 +52,18 @@ def test_payloads_come_back_whole(spark, tmp_path):
     assert got == {warc.ID_FORM % i: t for i, _, t, *_ in rows}
 
 
+def test_files_end_at_their_bytes(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "u", "".join(chr(rng.randrange(33, 1000)) for _ in range(400)), "x", 0) for i in range(9000)]
+    frame = spark.createDataFrame(rows, PAGES).coalesce(1)
+    warc.write_archives(frame, str(tmp_path / "rows"))
+    warc.write_archives(frame.limit(40), str(tmp_path / "bytes"), archive_bytes=5000)
+    for name, files, records in (("rows", 3, 9000), ("bytes", 5, 40)):
+        found = warc.read_archives(spark, str(tmp_path / name))
+        assert found.where("error is null").count() == records == found.count()
+        assert len(glob.glob(str(tmp_path / name / "part-*"))) >= files
+
+
 def test_empty_table(spark, tmp_path):
     assert warc.archived_pages(spark.createDataFrame([], PAGES), str(tmp_path / "w")).count() == 0
 
