@@ -184,7 +184,7 @@ def fit_each_k(
         if not np.isfinite(scatter):
             raise ValueError("features hold missing or infinite values")
         spread = scatter / (n * dims)
-        candidates, weights = _start_candidates(data, rows, tasks, max(ks), middle, scatter, seed)
+        candidates, weights = _start_candidates(data, rows, tasks, n, max(ks), middle, scatter, seed)
         runs = [(k, _plus_plus(candidates, weights, k, np.random.default_rng(seed + i))) for k in ks for i in range(n_init)]
         centers = [start - middle for _, start in runs]
         rounds = [0] * len(runs)
@@ -211,7 +211,7 @@ def fit_each_k(
     return best
 
 
-def _start_candidates(data: DataFrame, rows: DataFrame, tasks: int, k: int, middle: np.ndarray, scatter: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _start_candidates(data: DataFrame, rows: DataFrame, tasks: int, n: int, k: int, middle: np.ndarray, scatter: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows to draw starting centres from, and how many rows are nearest to each.
 
     k-means|| (Bahmani et al., 2012) over all rows: a row joins with a chance in
@@ -220,7 +220,8 @@ def _start_candidates(data: DataFrame, rows: DataFrame, tasks: int, k: int, midd
     """
     dims = len(middle)
     first = data.select("features", hash_uniform(seed, F.col("row_id"), F.lit("start")).alias("u")).orderBy("u").first()
-    candidates, cost = np.array([first["features"]], dtype=float), max(scatter, 0.0)
+    candidates = np.array([first["features"]], dtype=float)
+    cost = max(scatter, 0.0) + n * float(((candidates[0] - middle) ** 2).sum())
     for turn in range(START_ROUNDS + k):
         if turn >= START_ROUNDS and len(candidates) >= k:
             break
@@ -236,9 +237,9 @@ def _start_candidates(data: DataFrame, rows: DataFrame, tasks: int, k: int, midd
 
         measured = data.select("features", gap("features").alias("gap"), hash_uniform(seed, F.col("row_id"), F.lit("start"), F.lit(turn)).alias("u"))
         if turn < START_ROUNDS:
-            # The cost before the last candidates is an upper bound, so this takes a few rows less than the rule.
+            # By the rule some START_FACTOR x k rows are expected, however many there are.
             measured = measured.where(F.col("u") * cost < F.col("gap") * (START_FACTOR * k))
-            found = [r["features"] for r in measured.select("features").distinct().collect()]
+            found = [r["features"] for r in measured.select("features").collect()]
         else:
             top = measured.agg(F.max_by("features", F.struct("gap", "u")).alias("f"), F.max("gap").alias("gap")).first()
             if not top["gap"]:

@@ -77,6 +77,7 @@ def run(
     strategy: str | None = "mean",
     scale: str | None = "standard",
     n_components: int | None = None,
+    max_dimensions: int = 1000,
     noise: str = "drop",
     silhouette_mode: str = "exact",
     sample_rows: int = 1000,
@@ -88,7 +89,8 @@ def run(
     """Cluster a table and, with a store, keep the run's record and results.
 
     Without ``n_clusters`` the centre-based algorithms pick k by the elbow.
-    ``silhouette_mode='sampled'`` keeps the scores linear in the rows.
+    Tables wider than ``n_components``, by default ``max_dimensions``, are
+    reduced to that many principal components. ``silhouette_mode='sampled'`` keeps the scores linear in the rows.
     """
     experiment_id = store.start_experiment(algorithm, source_name, parameters) if store else None
     try:
@@ -97,10 +99,8 @@ def run(
             validate(algorithm, parameters)
         ff, names, scaler, _, _ = prepare_features(df, id_col, exclude, strategy, scale)
         ff = cut_lineage(ff)
-        pca = None
-        if n_components is not None:
-            ff, pca = reduce_if_wide(ff, n_components)
-            ff = cut_lineage(ff) if pca is not None else ff
+        ff, pca = reduce_if_wide(ff, max_dimensions if n_components is None else n_components)
+        ff = cut_lineage(ff) if pca is not None else ff
         if algorithm in AUTO_K and parameters.get("n_clusters") is None:
             parameters["n_clusters"] = elbow(ff)[0]
         labelled, centers, extra = _ALGORITHMS[algorithm](ff, **parameters)

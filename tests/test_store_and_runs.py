@@ -176,3 +176,9 @@ def test_scratch_can_be_released(spark):
     from pyspark.errors import AnalysisException
     with pytest.raises(AnalysisException):
         spark.read.parquet(path)
+
+
+def test_wide_tables_are_reduced(spark, golden):
+    result = run(golden, "kmeans", id_col="row_id", n_clusters=3, n_init=2, max_dimensions=2)
+    assert len(result.labels.first()["features"]) == 2 and result.details["pca"] is not None
+    assert "pca" not in run(golden, "kmeans", id_col="row_id", n_clusters=3, n_init=2).details
