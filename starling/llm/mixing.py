@@ -93,8 +93,10 @@ def mix(
     less than the next document of the block in which it ends. Null and empty
     texts have no tokens and go with their block; a source without any tokens is
     drawn in no epoch. A null source is a source of its own. Rows with equal id
-    and token count are drawn together. All columns of ``docs`` are kept.
+    and token count are drawn together. All columns of ``docs`` are kept but
+    those that begin with ``mix_``, which are replaced.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     digest = _digest(F.lit(SEED), F.col(id_col))
     place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
@@ -123,12 +125,12 @@ def mix(
     turns = turns.where(whole | (F.col("before") < F.col("rest"))).select("source", "block", "epoch", "rank", (~whole).alias("cut"), (F.col("rest") - F.col("before")).alias("room"))
     turns = cut_lineage(turns)
 
-    cuts = turns.where("cut").select(F.col("source").alias("cut_source"), F.col("block").alias("cut_block"), "room")
+    cuts = turns.where("cut").select(F.col("source").alias("mix_cut_source"), F.col("block").alias("mix_cut_block"), "room")
     n_cuts = cuts.count()
-    split = placed.join(measured(cuts, 96 * n_cuts + 4 * (total[2] or 0)), F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("block") == F.col("cut_block")))
+    split = placed.join(measured(cuts, 96 * n_cuts + 4 * (total[2] or 0)), F.col("source").eqNullSafe(F.col("mix_cut_source")) & (F.col("block") == F.col("mix_cut_block")))
     grouped = split.groupBy("source", "room", "digest", "id", "n_tokens").agg(F.sum("n_tokens").alias("tokens"))
     running = Window.partitionBy("source").orderBy("digest", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = cut_lineage(grouped.withColumn("upto", F.sum("tokens").over(running)).where(F.col("upto") <= F.col("room")).select(F.col("id").alias("cut_id"), F.col("source").alias("cut_source"), F.col("n_tokens").alias("cut_tokens")))
+    drawn = cut_lineage(grouped.withColumn("upto", F.sum("tokens").over(running)).where(F.col("upto") <= F.col("room")).select(F.col("id").alias("mix_cut_id"), F.col("source").alias("mix_cut_source"), F.col("n_tokens").alias("mix_cut_tokens")))
 
     draws = turns.groupBy(F.col("source").alias("mix_source"), F.col("block").alias("mix_block")).agg(F.collect_list(F.struct("epoch", "rank", "cut")).alias("mix_turns"))
     draws = draws.join(plan.select(F.col("source").alias("s"), "n_blocks"), F.col("mix_source").eqNullSafe(F.col("s"))).drop("s")
@@ -139,6 +141,6 @@ def mix(
     rows = rows.withColumn("mix_at", F.col("mix_place") % F.col("mix_n"))
     rows = rows.join(measured(draws.drop("n_blocks"), size), F.col(source_col).eqNullSafe(F.col("mix_source")) & (F.col("mix_at") == F.col("mix_block")))
     rows = rows.select(*(rows[c] for c in docs.columns), "mix_tokens", "mix_block", F.explode("mix_turns").alias("mix_turn"))
-    same = F.col(id_col).eqNullSafe(F.col("cut_id")) & F.col(source_col).eqNullSafe(F.col("cut_source")) & (F.col("mix_tokens") == F.col("cut_tokens"))
-    rows = rows.join(measured(drawn, 64 * drawn.count() + 64), same, "left").where(~F.col("mix_turn.cut") | F.col("cut_tokens").isNotNull())
+    same = F.col(id_col).eqNullSafe(F.col("mix_cut_id")) & F.col(source_col).eqNullSafe(F.col("mix_cut_source")) & (F.col("mix_tokens") == F.col("mix_cut_tokens"))
+    rows = rows.join(measured(drawn, 64 * drawn.count() + 64), same, "left").where(~F.col("mix_turn.cut") | F.col("mix_cut_tokens").isNotNull())
     return rows.select(*(rows[c] for c in docs.columns), F.col("mix_tokens"), F.col("mix_turn.epoch").cast("int").alias("mix_epoch"), F.col("mix_block").cast("int").alias("mix_block"), F.col("mix_turn.rank").alias("mix_rank"))

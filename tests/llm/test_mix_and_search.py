@@ -151,6 +151,13 @@ def test_mix_matches_brute_force(spark, monkeypatch, options):
     assert sorted(map(repr, found)) == sorted(map(repr, want))
 
 
+def test_mixing_again_replaces_the_columns(spark):
+    rows = [(i, "w " * 40, "l", "ab"[i % 2], 1, 2, 3) for i in range(50)]
+    once = mixing.mix(spark.createDataFrame(rows, DOCS))
+    twice = mixing.mix(once)
+    assert twice.columns == once.columns and sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
+
+
 def test_mix_of_nothing(spark):
     frame = spark.createDataFrame([], DOCS)
     assert mixing.mix(frame).count() == 0
