@@ -3,14 +3,19 @@
 A page becomes blocks of text. Blocks in navigation, headers, footers, sidebars,
 notices, adverts, forms and comments are out, blocks in the page's article are
 in. For every host the tokens of all other visible blocks are put one page after
-another; a suffix array finds the token runs that distinct pages share, and a
-block that such runs cover is boilerplate. What the page's own markup leaves open
-is decided so: it stays only as far as it is not covered.
+another; a suffix array finds the long token runs that pages share. A run is
+boilerplate if pages of ``MANY_TEXTS`` different texts hold it, and a block that
+such runs cover goes. What the page's own markup leaves open is decided so: it
+stays only as far as it is not covered.
+
+Pages that carry one text with another counter, menu or advert count as one: a
+page's text is named by its article, or else by its rarest runs that make up
+``OWN`` of its open tokens, which copies have in common.
 
 A large host is dealt over shards of pages, each with a suffix array of its own.
-Shards report the runs of ``RUN_TOKENS`` tokens that begin their suffixes, once
-each with two pages at most, so runs shared across shards are found as well and
-no task holds a whole host.
+Shards report their runs with the number of their pages; totals go back by host
+and run to the shards that reported the run, so no task holds a whole host or
+more runs than its shard has.
 """
 
 from __future__ import annotations
@@ -30,8 +35,13 @@ from pyspark.sql.types import StringType
 from starling.llm.common import measured, utf8
 from starling.session import cut_lineage
 
-# A run of this many tokens on two distinct pages of a host is a repeat; shorter blocks are covered if a repeat holds them whole.
-RUN_TOKENS = 5
+# A run is this many tokens, or whole neighbouring blocks that are shorter together but have LEAST_TOKENS.
+RUN_TOKENS = 16
+LEAST_TOKENS = 5
+# Boilerplate is what pages of this many different texts hold.
+MANY_TEXTS = 4
+# The rarest tokens that name a page's text are at least this share of its open tokens.
+OWN = 0.25
 # A block goes if at least this share of its tokens is covered.
 COVERED = 0.8
 # Tokens in a shard of a host, on average.
@@ -213,16 +223,15 @@ def _stream(pages: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(tokens), np.concatenate(owner)
 
 
-def _groups(pages: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The shard's suffixes of full length in order, their group of equal first ``RUN_TOKENS`` tokens, and stream and owners."""
-    tokens, owner = _stream(pages)
+def _groups(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stream's suffixes of full length in order, and their group of equal first ``RUN_TOKENS`` tokens."""
     order = suffix_array(tokens)
     prefixes = common_prefixes(tokens, order, RUN_TOKENS)
     group = np.cumsum(prefixes < RUN_TOKENS)
     bad = np.concatenate([[0], np.cumsum(tokens < 0)])
     stop = np.minimum(order + RUN_TOKENS, len(tokens))
     whole = (order + RUN_TOKENS <= len(tokens)) & (bad[stop] == bad[order])
-    return order[whole], group[whole], tokens, owner
+    return order[whole], group[whole]
 
 
 def _run_names(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -233,32 +242,107 @@ def _run_names(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return name.view(np.int64)
 
 
+def _short_runs(pages: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, stops, names)`` of whole neighbouring blocks with ``LEAST_TOKENS`` tokens and fewer than ``RUN_TOKENS``."""
+    starts, stops, names, first = [], [], [], 0
+    for words, lengths in zip(pages["tokens"], pages["lengths"]):
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(int).tolist()
+        for i in range(len(ends) - 1):
+            j = i + 1
+            while j < len(ends) - 1 and ends[j] - ends[i] < LEAST_TOKENS:
+                j += 1
+            if LEAST_TOKENS <= ends[j] - ends[i] < RUN_TOKENS:
+                starts.append(first + ends[i])
+                stops.append(first + ends[j])
+                names.append(xxhash.xxh64_intdigest(words[8 * ends[i] : 8 * ends[j]] + bytes(e - ends[i] for e in ends[i + 1 : j + 1])))
+        first += ends[-1] + 1
+    return np.array(starts, dtype=np.int64), np.array(stops, dtype=np.int64), np.array(names, dtype=np.uint64).view(np.int64)
+
+
+def _all_runs(pages: pd.DataFrame, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(starts, stops, names)`` of every run in the shard's stream."""
+    bad = np.concatenate([[0], np.cumsum(tokens < 0)])
+    starts = np.arange(max(0, len(tokens) - RUN_TOKENS + 1))
+    starts = starts[bad[starts + RUN_TOKENS] == bad[starts]]
+    short = _short_runs(pages)
+    return tuple(np.concatenate(c) for c in zip((starts, starts + RUN_TOKENS, _run_names(tokens, starts)), short))
+
+
+def _frame(columns: dict, **types: str) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series(columns[c], dtype=t) for c, t in types.items()})
+
+
 def _shard_runs(pages: pd.DataFrame) -> pd.DataFrame:
-    """Every run of the shard once, with the smallest and largest page key that holds it."""
-    starts, group, tokens, owner = _groups(pages)
-    if not len(starts):
-        return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("host", object), ("run", "int64"), ("page_a", "int64"), ("page_b", "int64"))})
-    keys = pages["page_key"].to_numpy(dtype=np.int64)[owner[starts]]
-    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    low, high = np.minimum.reduceat(keys, heads), np.maximum.reduceat(keys, heads)
+    """Every run of the shard once, with the number of pages that hold it."""
+    tokens, owner = _stream(pages)
+    starts, group = _groups(tokens)
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
+    place = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(group))))
+    held = np.unique(place * len(pages) + owner[starts])
+    count = np.bincount(held // len(pages), minlength=len(heads))
+    short, _, short_names = _short_runs(pages)
+    pairs = pd.DataFrame({"run": short_names, "page": owner[short]}).drop_duplicates().groupby("run").size()
+    run = np.concatenate([_run_names(tokens, starts[heads]), pairs.index.to_numpy(dtype=np.int64)])
+    count = np.concatenate([count, pairs.to_numpy(dtype=np.int64)])
     if pages["shards"].iloc[0] == 1:  # no other shard can hold the run
-        heads, low, high = heads[low != high], low[low != high], high[low != high]
-    return pd.DataFrame({"host": pages["host"].iloc[0], "run": _run_names(tokens, starts[heads]), "page_a": low, "page_b": high})
+        run, count = run[count > 1], count[count > 1]
+    return _frame({"site": np.full(len(run), pages["site"].iloc[0]), "shard": np.full(len(run), pages["shard"].iloc[0]), "run": run, "pages": count}, site="int64", shard="int64", run="int64", pages="int64")
+
+
+def _known(names: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which names are among ``runs``, and their places in the sorted ``runs``."""
+    at = np.minimum(np.searchsorted(runs, names), len(runs) - 1)
+    return runs[at] == names, at
+
+
+def _shard_texts(pages: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+    """``(site, shard, run, text)``: runs that enough pages hold, with up to ``MANY_TEXTS`` names of texts of the shard's pages.
+
+    ``counted`` has the shard's runs that two pages of the host hold, and how many do.
+    """
+    tokens, owner = _stream(pages)
+    starts, stops, names = _all_runs(pages, tokens)
+    counted = counted.sort_values("run")
+    runs, counts = counted["run"].to_numpy(dtype=np.int64), counted["pages"].to_numpy(dtype=np.int64)
+    found, at = _known(names, runs)
+    starts, stops, names, count = starts[found], stops[found], names[found], counts[at[found]]
+    # A token is as common as the most common run that covers it.
+    common = np.ones(len(tokens), dtype=np.int64)
+    for k in range(RUN_TOKENS):
+        reach = starts + k < stops
+        np.maximum.at(common, starts[reach] + k, count[reach])
+    first = np.searchsorted(owner, np.arange(len(pages)))
+    by_page = np.argsort(owner[starts], kind="stable")
+    page_runs = np.split(by_page, np.searchsorted(owner[starts][by_page], np.arange(1, len(pages))))
+    texts = []
+    for i, (key, article, article_tokens, lengths, numbers) in enumerate(zip(*(pages[c] for c in ("page_key", "article", "article_tokens", "lengths", "numbers")))):
+        is_open = np.repeat(np.asarray(numbers) >= 0, lengths)
+        own = np.sort(common[first[i] : first[i] + len(is_open)][is_open])
+        if article_tokens and article_tokens >= len(own):
+            texts.append(article)
+            continue
+        level = own[max(int(np.ceil(OWN * len(own))) - 1, 0)] if len(own) else 1
+        mine = page_runs[i]
+        inside = is_open[starts[mine] - first[i]] & is_open[stops[mine] - 1 - first[i]]
+        mine = mine[inside & (count[mine] <= level)]
+        # The smallest of the rare runs is the same in copies, whatever else differs on the page.
+        texts.append(int(names[mine].min()) if level > 1 and len(mine) else key)
+    many = count >= MANY_TEXTS
+    seen = pd.DataFrame({"run": names[many], "text": np.array(texts, dtype=np.int64)[owner[starts[many]]]}).drop_duplicates()
+    seen = seen[seen.groupby("run").cumcount() < MANY_TEXTS]
+    return _frame({"site": np.full(len(seen), pages["site"].iloc[0]), "shard": np.full(len(seen), pages["shard"].iloc[0]), "run": seen["run"].to_numpy(), "text": seen["text"].to_numpy()}, site="int64", shard="int64", run="int64", text="int64")
 
 
 def _covered_blocks(pages: pd.DataFrame, shared: np.ndarray) -> list[tuple[int, list[int]]]:
     """For each page key, the open blocks that shared runs cover."""
     tokens, owner = _stream(pages)
     hits = np.zeros(len(tokens) + 1, dtype=np.int64)
-    inside = tokens >= 0
-    bad = np.concatenate([[0], np.cumsum(~inside)])
-    starts = np.arange(max(0, len(tokens) - RUN_TOKENS + 1))
-    starts = starts[bad[starts + RUN_TOKENS] == bad[starts]]
-    starts = starts[np.isin(_run_names(tokens, starts), shared)]
-    np.add.at(hits, starts, 1)
-    np.add.at(hits, starts + RUN_TOKENS, -1)
+    starts, stops, names = _all_runs(pages, tokens)
+    found, _ = _known(names, np.sort(shared))
+    np.add.at(hits, starts[found], 1)
+    np.add.at(hits, stops[found], -1)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(hits[:-1]) > 0)])
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
+    first = np.searchsorted(owner, np.arange(len(pages)))
     out = []
     for i, (key, lengths, numbers) in enumerate(zip(pages["page_key"], pages["lengths"], pages["numbers"])):
         ends = first[i] + np.cumsum(lengths)
@@ -279,38 +363,52 @@ def _page_key(html: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame) -> DataFrame:
-    """``(host, page_key, gone)``: numbers of a page's open blocks that repeat on other pages of its host.
+    """``(host, page_key, gone)``: numbers of a page's open blocks that repeat on other texts of its host.
 
     ``pages`` has ``host``, ``page_key`` and ``html``. Pages with equal keys are
-    copies of one page and do not make each other boilerplate.
+    copies of one page, and pages of one text do not make each other boilerplate.
     """
-    token_type = "host string, page_key long, tokens binary, lengths array<int>, numbers array<int>, n int"
-    schema = pa.schema([("host", pa.string()), ("page_key", pa.int64()), ("tokens", pa.binary()), ("lengths", pa.list_(pa.int32())), ("numbers", pa.list_(pa.int32())), ("n", pa.int32())])
+    token_type = "host string, page_key long, tokens binary, lengths array<int>, numbers array<int>, n int, article long, article_tokens int"
+    schema = pa.schema([("host", pa.string()), ("page_key", pa.int64()), ("tokens", pa.binary()), ("lengths", pa.list_(pa.int32())), ("numbers", pa.list_(pa.int32())), ("n", pa.int32()), ("article", pa.int64()), ("article_tokens", pa.int32())])
     digest = xxhash.xxh64_intdigest
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for host, key, html in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens, lengths, numbers = [], [], []
+                tokens, lengths, numbers, article = [], [], [], []
                 for i, (kind, text) in enumerate(blocks_of(html)):
-                    if kind != KEEP:
+                    if kind == KEEP:
+                        article.append(text)
+                    else:
                         own = [digest(utf8(w)) >> 1 for w in text.split()]
                         tokens += own
                         lengths.append(len(own))
                         numbers.append(i if kind == OPEN else -1)
                 if tokens:
-                    out.append((host, key, np.array(tokens, np.int64).tobytes(), lengths, numbers, len(tokens)))
+                    article = " ".join(article)
+                    out.append((host, key, np.array(tokens, np.int64).tobytes(), lengths, numbers, len(tokens), digest(utf8(article)) >> 1, len(article.split())))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(schema), schema)], schema=schema)
 
     tokens = cut_lineage(pages.select("host", "page_key", "html").mapInArrow(streams, token_type).dropDuplicates(["host", "page_key"]))
     shards = F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARD_TOKENS)).cast("int").alias("shards")
-    plan = cut_lineage(tokens.groupBy("host").agg(shards))
+    # Hosts have numbers, so that rows of runs are short.
+    plan = cut_lineage(tokens.groupBy("host").agg(shards).withColumn("site", F.monotonically_increasing_id()))
     size = 64 * plan.count()
     dealt = tokens.join(measured(plan, size), "host").withColumn("shard", F.pmod("page_key", F.col("shards")).cast("long"))
-    runs = dealt.groupBy("host", "shard").applyInPandas(_shard_runs, "host string, run long, page_a long, page_b long")
-    shared = runs.groupBy("host", "run").agg(F.min("page_a").alias("a"), F.max("page_b").alias("b")).where("a <> b").select("host", "run")
-    spread = cut_lineage(shared.join(measured(plan, size), "host").select("host", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard")))
+    by_shard = dealt.groupBy("site", "shard")
+    runs = cut_lineage(by_shard.applyInPandas(_shard_runs, "site long, shard long, run long, pages long"))
+    # Totals return to the shards that reported the run: no shard gets more runs than it holds.
+    totals = runs.groupBy("site", "run").agg(F.sum("pages").alias("total")).where("total > 1")
+    counted = runs.select("site", "shard", "run").join(totals, ["site", "run"]).select("site", "shard", "run", F.col("total").alias("pages"))
+
+    def texts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        nothing = {"site": [], "shard": [], "run": [], "text": []}
+        return _shard_texts(left, right) if len(left) and len(right) else _frame(nothing, site="int64", shard="int64", run="int64", text="int64")
+
+    seen = cut_lineage(by_shard.cogroup(counted.groupBy("site", "shard")).applyInPandas(texts, "site long, shard long, run long, text long"))
+    shared = seen.groupBy("site", "run").agg(F.countDistinct("text").alias("texts")).where(F.col("texts") >= MANY_TEXTS).select("site", "run")
+    spread = cut_lineage(shared.join(plan, "site").select("site", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard")))
 
     def covered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = _covered_blocks(left, right["run"].to_numpy(dtype=np.int64)) if len(left) and len(right) else []
@@ -318,7 +416,7 @@ def boilerplate(pages: DataFrame) -> DataFrame:
         columns = {"host": ([host] * len(found), object), "page_key": ([k for k, _ in found], "int64"), "gone": ([g for _, g in found], object)}
         return pd.DataFrame({c: pd.Series(v, dtype=t) for c, (v, t) in columns.items()})
 
-    return dealt.groupBy("host", "shard").cogroup(spread.groupBy("host", "shard")).applyInPandas(covered, "host string, page_key long, gone array<int>")
+    return by_shard.cogroup(spread.groupBy("site", "shard")).applyInPandas(covered, "host string, page_key long, gone array<int>")
 
 
 @F.pandas_udf(StringType())
@@ -335,7 +433,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", na
 
     Null and empty pages have an empty text. Pages of one host are compared;
     null and odd urls share the host ''. Repeated rows and copies of a page get
-    equal texts and do not count as repeats of each other. A column called
+    equal texts, and pages of one text do not count as repeats of each other. A column called
     ``name`` is replaced, all others are kept.
     """
     keyed = pages.withColumns({"__host": host_of(F.col(url_col)), "__page": _page_key(F.col(html_col))})

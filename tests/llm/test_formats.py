@@ -159,6 +159,26 @@ def test_repeats_on_a_host_are_boilerplate(spark, monkeypatch, shard_tokens):
     assert {r.page_id: r.text for r in got} == want and got[0].__fields__ == ["page_id", "url", "html", "text", "host"]
 
 
+def prose(rng, n, vocabulary=60):
+    """Words by rank, as in natural language: a few of them make up most of a text."""
+    return " ".join(f"w{min(int(rng.paretovariate(0.9)), vocabulary)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("shard_tokens", [500_000, 900])
+def test_republished_texts_and_common_phrases_stay(spark, monkeypatch, shard_tokens):
+    monkeypatch.setattr(html, "SHARD_TOKENS", shard_tokens)
+    rng = random.Random(9)
+    story, footer = [prose(rng, 70, 10**6), prose(rng, 50, 10**6)], prose(rng, 24, 10**6)
+    pages, want = [], {}
+    for i in range(60):
+        body = story if i < 8 else [prose(rng, 60), prose(rng, 40)]
+        lines = [f"Seen {i} times by {i * i} people", *body, footer]
+        pages.append((i, f"http://one.org/{i}", "".join(f"<div>{b}</div>" for b in lines)))
+        want[i] = "\n".join(lines[:-1])
+    got = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_no_pages(spark):
     assert html.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
