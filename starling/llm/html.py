@@ -408,7 +408,7 @@ def boilerplate(pages: DataFrame) -> DataFrame:
 
     seen = cut_lineage(by_shard.cogroup(counted.groupBy("site", "shard")).applyInPandas(texts, "site long, shard long, run long, text long"))
     shared = seen.groupBy("site", "run").agg(F.countDistinct("text").alias("texts")).where(F.col("texts") >= MANY_TEXTS).select("site", "run")
-    spread = cut_lineage(shared.join(plan, "site").select("site", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard")))
+    spread = seen.select("site", "shard", "run").distinct().join(shared, ["site", "run"]).select("site", "shard", "run")
 
     def covered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = _covered_blocks(left, right["run"].to_numpy(dtype=np.int64)) if len(left) and len(right) else []

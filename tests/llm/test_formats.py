@@ -179,6 +179,24 @@ def test_republished_texts_and_common_phrases_stay(spark, monkeypatch, shard_tok
     assert {r.page_id: r.text for r in got} == want
 
 
+def test_shards_get_only_runs_they_hold(spark, monkeypatch):
+    monkeypatch.setattr(html, "SHARD_TOKENS", 60)
+    sizes = spark.sparkContext.accumulator(0)
+    inner = html._covered_blocks
+
+    def counting(pages, shared):
+        held = set(html._all_runs(pages, html._stream(pages)[0])[2].tolist())
+        sizes.add(sum(r not in held for r in shared.tolist()))
+        return inner(pages, shared)
+
+    monkeypatch.setattr(html, "_covered_blocks", counting)
+    rng = random.Random(3)
+    notices = [prose(rng, 20, 10**6) for _ in range(10)]
+    pages = [(i, f"http://one.org/{i}", f"<div>{prose(rng, 20, 10**6)}</div><div>{notices[i // 6]}</div>") for i in range(60)]
+    got = html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(len(r.text.split()) == 20 for r in got) and sizes.value == 0
+
+
 def test_no_pages(spark):
     assert html.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
