@@ -217,6 +217,13 @@ def test_other_linkages(spark):
         hierarchical.hierarchical(ff, 2, "centroid")
 
 
+def test_single_linkage_is_exact_beyond_one_matrix(spark, golden_ff, monkeypatch):
+    expected = labels_of(hierarchical.hierarchical(golden_ff, 5, "single").labels)
+    monkeypatch.setattr(hierarchical, "LOCAL_MATRIX", 100)
+    monkeypatch.setattr(hdbscan, "FOREST_EDGES", 80)
+    assert (labels_of(hierarchical.hierarchical(golden_ff, 5, "single").labels) == expected).all()
+
+
 def test_summaries_label_every_row(golden_ff, monkeypatch):
     fit = hierarchical.hierarchical(golden_ff, 3, summaries=60)
     sizes = np.bincount(labels_of(fit.labels))
@@ -245,6 +252,31 @@ def test_spectral_separates_rings(spark):
     assert not part.exact and same_partition(labels_of(part.labels), truth)
 
 
+def test_spectral_is_exact_beyond_one_place(spark, golden_ff, monkeypatch):
+    local = spectral.spectral(golden_ff, 3, gamma=0.5, n_init=3)
+    monkeypatch.setattr(spectral, "MAX_LANDMARKS", 100)
+    fit = spectral.spectral(golden_ff, 3, gamma=0.5, n_init=3)
+    assert fit.exact and fit.landmarks == 300 and same_partition(labels_of(fit.labels), labels_of(local.labels))
+    ff, truth = rings(spark)
+    assert same_partition(labels_of(spectral.spectral(ff, 2, gamma=20.0, n_init=3).labels), truth)
+
+
+def test_exact_coordinates_equal_a_dense_solver(spark):
+    rng = np.random.RandomState(3)
+    x, n = rng.normal(0, 1, (150, 2)), rng.randint(1, 4, 150)
+    points = spark.createDataFrame([(i, [float(v) for v in r], int(c)) for i, (r, c) in enumerate(zip(x, n))], "id long, features array<double>, n long")
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1))
+    degree = kernel @ n
+    scale = np.sqrt(n / degree)
+    _, vectors = np.linalg.eigh(kernel * scale[:, None] * scale[None, :])
+    want = vectors[:, ::-1][:, :3] / np.sqrt(n * degree)[:, None]
+    place = {tuple(r): i for i, r in enumerate(x.tolist())}
+    got = np.zeros((150, 3))
+    for r in spectral._exact_coordinates(points, 3, 1.0, 42).collect():
+        got[place[tuple(r["features"])]] = r["coordinates"]
+    assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-5
+
+
 def brute_hdbscan(x, size, min_samples):
     """Top-down over the dendrogram, written independently of the operator."""
     n = len(x)
