@@ -650,7 +650,7 @@ def hierarchical_ward(spark, sf_dir):
 
 @query()
 def spectral_rbf(spark, sf_dir):
-    return spectral(part_features(spark, sf_dir), 4, landmarks=500, n_init=3).labels.select("row_id", "cluster")
+    return spectral(part_features(spark, sf_dir), 4).labels.select("row_id", "cluster")
 
 
 @query()

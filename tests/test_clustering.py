@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starling.operators import components, dbscan, evaluate, hdbscan, hierarchical, kmeans, soft, spectral
+from starling.plans import queries
 from tests.conftest import frame_of, labels_of, matrix_of
 
 # Centres of a known k = 3 run in scaled space.
@@ -261,6 +262,13 @@ def test_spectral_is_exact_beyond_one_place(spark, golden_ff, monkeypatch):
     assert same_partition(labels_of(spectral.spectral(ff, 2, gamma=20.0, n_init=3).labels), truth)
 
 
+def test_spectral_rbf_takes_all_points(spark, monkeypatch):
+    fits = []
+    monkeypatch.setattr(queries, "spectral", lambda *a, **b: fits.append(spectral.spectral(*a, **b)) or fits[-1])
+    labels = queries.QUERIES["spectral_rbf"](spark, "/root/testdata/sf0.01")
+    assert fits[0].exact and fits[0].landmarks > 500 and labels.count() == 2000
+
+
 def test_exact_coordinates_equal_a_dense_solver(spark):
     rng = np.random.RandomState(3)
     x, n = rng.normal(0, 1, (150, 2)), rng.randint(1, 4, 150)
