@@ -12,7 +12,7 @@ from starling.operators import evaluate, prepare, profile, reduce, report, scale
 from starling.operators.dbscan import dbscan_labels
 from starling.operators.hdbscan import hdbscan, with_core_distances
 from starling.operators.hierarchical import hierarchical
-from starling.operators.kmeans import assign, elbow, elbow_costs, first_distinct_rows, inertia, kmeans, kmeans_lloyd, knee
+from starling.operators.kmeans import assign, elbow, first_distinct_rows, inertia, kmeans, kmeans_lloyd, knee
 from starling.operators.moments import group_moments
 from starling.operators.spectral import spectral
 from starling.plans import sql as S
@@ -629,12 +629,13 @@ def elbow_knee(spark, sf_dir):
 
 @query()
 def elbow_table(spark, sf_dir):
-    return elbow_costs(order_features(spark, sf_dir), range(2, 6), n_init=2).withColumn("inertia", rnd("inertia", 4))
+    return elbow(order_features(spark, sf_dir))[1].withColumn("inertia", rnd("inertia", 4))
 
 
 @query()
 def elbow_scores(spark, sf_dir):
-    scores = evaluate.elbow_scores(part_features(spark, sf_dir), range(2, 5), n_init=2)
+    ff = part_features(spark, sf_dir)
+    scores = evaluate.elbow_scores(ff, range(2, max(2, min(20, ff.count() // 2)) + 1))
     return scores.select("k", rnd("inertia", 4).alias("inertia"), rnd("silhouette", 4).alias("silhouette"))
 
 
@@ -767,7 +768,7 @@ def dec_refinement(spark, sf_dir):
 
 @query()
 def deep_embedding(spark, sf_dir):
-    fit = soft.deep_embedding(embedding_features(spark, sf_dir), 5, latent_dim=4, rounds=3, n_init=2)
+    fit = soft.deep_embedding(embedding_features(spark, sf_dir), 5, latent_dim=4)
     return fit.labels.select("row_id", "cluster")
 
 
@@ -791,7 +792,7 @@ def full_run(spark, sf_dir):
 def batch_run(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", *PART_COLUMNS)
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("p_partkey"), "s_nationkey", "s_acctbal")
-    options = {"kmeans": {"n_clusters": 3, "n_init": 2}, "hierarchical": {"n_clusters": 3}}
+    options = {"kmeans": {"n_clusters": 3}, "hierarchical": {"n_clusters": 3}}
     summary = run_batch({"part": part, "supplier": supplier}, ["kmeans", "hierarchical", "unheard_of"], options=options, id_col="p_partkey")
     return summary.select(
         "dataset", "algorithm", rnd(F.try_element_at("metrics", F.lit("silhouette_score")), 4).alias("silhouette"), "error"

@@ -262,6 +262,12 @@ def test_spectral_is_exact_beyond_one_place(spark, golden_ff, monkeypatch):
     assert same_partition(labels_of(spectral.spectral(ff, 2, gamma=20.0, n_init=3).labels), truth)
 
 
+@pytest.mark.parametrize("name", ["elbow_table", "elbow_scores"])
+def test_elbow_queries_try_every_k(spark, name):
+    ks = [r["k"] for r in queries.QUERIES[name](spark, "/root/testdata/sf0.001").select("k").collect()]
+    assert sorted(ks) == list(range(2, 21))
+
+
 def test_spectral_rbf_takes_all_points(spark, monkeypatch):
     fits = []
     monkeypatch.setattr(queries, "spectral", lambda *a, **b: fits.append(spectral.spectral(*a, **b)) or fits[-1])
