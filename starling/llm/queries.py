@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from starling.llm import chat, decontaminate, html, mixing, quality, simhash, substrings, topk, toxicity, warc
+from starling.llm import chat, decontaminate, fim, html, mixing, quality, runs, simhash, substrings, token_files, topk, toxicity, warc
 from starling.llm.common import read
 
 QUERIES: dict = {}
@@ -222,3 +226,76 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     found = html.main_text(read(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document laid out for infilling, and its text rebuilt from that."""
+    found = fim.fill_in_middle(read(spark, sf_dir, "documents"))
+    output, form = F.col("__fim.output"), F.col("__fim.form")
+    return found.select(
+        "doc_id", "__fim.n", "__fim.form", "__fim.prefix_chars", "__fim.middle_chars",
+        F.sha2(output, 256).alias("output_sha256"), F.sha2(fim.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
+ORACLE["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+l AS (
+    SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u,
+        CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+    FROM d
+),
+c AS (SELECT *, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b FROM l),
+p AS (
+    SELECT doc_id, t, CAST(len(u) AS BIGINT) AS n, array_to_string(u[1 : a], '') AS pre, array_to_string(u[a + 1 : b], '') AS mid, array_to_string(u[b + 1 :], '') AS suf,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, read back from the token files."""
+    import public_tokenizers
+
+    found = token_files.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), word_wise=True)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@F.arrow_udf(StringType())
+def _with_period(ids: pa.Array, texts: pa.Array) -> pa.Array:
+    """Texts with a period: in one of ten, by the id, the words from a place on repeat the first ones after it."""
+    rows = []
+    for i, raw in zip(ids.to_pylist(), texts.cast(pa.binary()).to_pylist()):
+        words = (raw or b"").split()
+        h, n = zlib.crc32((i or "").encode()), len(words)
+        if n and h % 10 == 0:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            raw = b" ".join(words[:a] + [words[a + k % p] for k in range(n - a)])
+        rows.append(raw)
+    return pa.array(rows, type=pa.string())
+
+
+@query
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, one in ten of them given a period."""
+    docs = read(spark, sf_dir, "documents")
+    found = runs.with_runs(docs.withColumn("text", _with_period(F.col("doc_id").cast("string"), "text")))
+    spans = F.col("__runs.spans")
+    # The first of the longest: array_max compares field by field.
+    top = F.array_max(F.transform(spans, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform(spans, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size(spans) > 0, "\n").otherwise(""))
+    return found.withColumn("__top", top).select(
+        "doc_id", F.size(spans).cast("long").alias("n_runs"),
+        (-F.col("__top.start")).alias("start"), F.col("__top.length").alias("length"), (-F.col("__top.period")).alias("period"),
+        F.expr("1000 * __top.length div -__top.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("__runs.collapsed", 256).alias("collapsed_sha256"),
+    )
