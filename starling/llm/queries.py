@@ -264,7 +264,7 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, read back from the token files."""
     import public_tokenizers
 
-    found = token_files.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), word_wise=True)
+    found = token_files.token_files(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

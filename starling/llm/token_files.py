@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -10,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,50 +27,102 @@ SMALL_FILE_TOKENS = 1 << 20
 STRIPE_BYTES = 32 << 20
 INDEX_ROWS = 1000
 BLOOM_FALSE_POSITIVES = 0.01
-# Words a task remembers the ids of, and words given to the library at once.
-MEMO_WORDS = 1 << 18
-ENCODE_WORDS = 1 << 13
+# Words a worker remembers the ids of.
+MEMO_WORDS = 1 << 19
 
-_WORD = re.compile(r"[^ \t-\r]+")
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-_PLACED = pa.schema([*_ENCODED, ("part", pa.int32()), ("start_in_part", pa.int64())])
+_PACKED = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+_PLACED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *list(_PACKED)[2:], ("part", pa.int32()), ("start_in_part", pa.int64())])
 _FILE_SQL = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, part int, start_in_part long"
 
+# The normalizer and pre-tokenizer of vocabularies of lower-case words without white space.
+WORD_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+WORD_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# Words of printable ASCII and Latin-1 letters, and what that pattern is for them in lower case.
+_PLAIN_WORD = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+")
+_WORD = re.compile(r"[^ \t-\r]+")
+# White space to Python, but not to Unicode.
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
+    """The library's tokenizer of a file, and whether words can be encoded one by one."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    plain = parts["normalizer"] == WORD_NORMALIZER and parts["pre_tokenizer"] == WORD_SPLITTER
+    marks = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in parts["added_tokens"])
+    return Tokenizer.from_file(path), plain and marks and not parts["post_processor"]
 
 
 class Encoder:
     """Texts to the bytes of their ids, little-endian and 32 bits each, the end id last.
 
-    With ``word_wise`` a text is encoded word by word and words are remembered.
-    That gives the same ids only for tokenizers whose tokens never hold or see
-    ASCII white space, as the ones that drop it; others take the whole text.
+    Most vocabularies see a text's white space, so they are given whole texts.
+    One that drops it (``WORD_NORMALIZER``, ``WORD_SPLITTER``) gives a text the
+    ids of its words, so words are encoded once and remembered; plain words go
+    to the library's model piece by piece.
     """
 
-    def __init__(self, path: str, end_id: int, word_wise: bool):
-        self.tokenizer, self.end, self.word_wise = _tokenizer(path), np.array([end_id], dtype="<u4").tobytes(), word_wise
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for encoding in self.tokenizer.encode_batch(texts, add_special_tokens=False):
-            yield np.array(encoding.ids, dtype="<u4").tobytes()
+    def __init__(self, path: str, end_id: int = END_ID):
+        self.tokenizer, self.word_wise = _tokenizer(path)
+        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.words = _Words(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         if not self.word_wise:
-            return next(self._encode([text])) + self.end
-        words = _WORD.findall(text)
-        new = list(set(words).difference(self.memo))
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo, new = {}, list(set(words))
-        for i in range(0, len(new), ENCODE_WORDS):
-            self.memo.update(zip(new[i : i + ENCODE_WORDS], self._encode(new[i : i + ENCODE_WORDS])))
-        return b"".join(map(self.memo.__getitem__, words)) + self.end
+            return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
+        if len(self.words) > MEMO_WORDS:
+            self.words = _Words(self.tokenizer)
+        words = _WORD.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
+        return b"".join(map(self.words.__getitem__, words)) + self.end
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+class _Words(dict):
+    """The ids' bytes of words, encoded when first asked for."""
+
+    def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.model, self.pieces = tokenizer, tokenizer.model, {}
+        # How the library writes the bytes of a letter beyond ASCII.
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
+
+    def __missing__(self, word: str) -> bytes:
+        if _PLAIN_WORD.fullmatch(word) and "<|" not in word:
+            found = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECE.findall(word.lower())])
+        else:
+            found = _bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self[word] = found
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        written = piece if piece.isascii() else piece.translate(self.written)
+        found = self.pieces[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
+        return found
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str, end_id: int) -> Encoder:
+    """One per Python worker, so that later tasks find the words of earlier ones."""
+    return Encoder(path, end_id)
 
 
 def _id_lists(raw: list[bytes]) -> pa.ListArray:
@@ -76,40 +130,41 @@ def _id_lists(raw: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(np.frombuffer(b"".join(raw), dtype="<i4"), type=pa.int32()))
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = END_ID, word_wise: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids, n_tokens, ids_crc32)`` of every row; null texts are empty and give the end id alone."""
+def _encoded(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, packed, n_tokens, ids_crc32)`` of every row, ``packed`` the ids' bytes as a Zstandard frame."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end_id, word_wise)
+        encoder, pack = _encoder(path, end_id), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             raw = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), _id_lists(raw), [len(r) // 4 for r in raw], [zlib.crc32(r) for r in raw]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, _ENCODED)], schema=_ENCODED)
+            columns = [[pack(r) for r in raw], [len(r) // 4 for r in raw], [zlib.crc32(r) for r in raw]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=f.type) for c, f in zip(columns, list(_PACKED)[1:]))], schema=_PACKED)
 
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, packed binary, n_tokens long, ids_crc32 long")
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one sorted partition with the partition's number and the ids before each row in it."""
-    part, before = TaskContext.get().partitionId(), 0
+    part, before, unpack = TaskContext.get().partitionId(), 0, zstandard.ZstdDecompressor().decompress
     for batch in batches:
         counts = batch.column("n_tokens").to_numpy()
         ends = before + np.cumsum(counts)
-        columns = [*(batch.column(n) for n in _ENCODED.names), pa.array(np.full(len(counts), part), type=pa.int32()), pa.array(ends - counts, type=pa.int64())]
+        ids = _id_lists([unpack(p) for p in batch.column("packed").to_pylist()])
+        places = [pa.array(np.full(len(counts), part), type=pa.int32()), pa.array(ends - counts, type=pa.int64())]
         before = int(ends[-1]) if len(ends) else before
-        yield pa.RecordBatch.from_arrays(columns, schema=_PLACED)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, batch.column("n_tokens"), batch.column("ids_crc32"), *places], schema=_PLACED)
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, path: str, end_id: int = END_ID, word_wise: bool = False, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, folder: str, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
     file_tokens: int = FILE_TOKENS, stripe_bytes: int = STRIPE_BYTES, index_rows: int = INDEX_ROWS,
 ) -> None:
     """Encode every text with the tokenizer file ``path`` and write the ids below ``folder``.
 
     ``folder/ids`` holds ORC files of rows in ascending id order, file after
-    file; null ids come first, rows of one id follow in the order of their
+    file; null texts count as empty, null ids come first, rows of one id follow in the order of their
     length and checksum, and equal rows in any order. Ids of tokens are an
     integer column, so stripes hold them run-length encoded; each stripe has a
     row index and Bloom filters of document ids. ``folder/parts`` holds the
@@ -117,7 +172,7 @@ def write_tokens(
     id with many rows still spreads over files.
     """
     spark = docs.sparkSession
-    step = cut_lineage(encoded(docs, path, end_id, word_wise, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    step = cut_lineage(_encoded(docs, path, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     total = step.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-total // file_tokens), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SMALL_FILE_TOKENS)))
     keys = ["doc_id", "n_tokens", "ids_crc32", "row"]
