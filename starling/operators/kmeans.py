@@ -24,6 +24,8 @@ UNROLL_TERMS = 256
 # Candidates for starting centres: rounds over all rows, and rows wanted per round for each centre.
 START_ROUNDS, START_FACTOR = 4, 4
 VALUES_PER_TASK = 2_000_000
+# Rows that are compared with one run's centres at a time, so that their distances stay in a core's cache.
+FOLD_ROWS = 2048
 
 
 def centers_frame(spark: SparkSession, centers: Sequence[Sequence[float]]) -> DataFrame:
@@ -177,7 +179,15 @@ def fit_each_k(
             raise ValueError("no rows to cluster")
         # Few rows make few tasks: a round over little data is all task overhead.
         tasks = max(1, n * dims * (1 + n_init * sum(ks)) // VALUES_PER_TASK)
+        held, cores = data.rdd.getNumPartitions(), data.sparkSession.sparkContext.defaultParallelism
+        if held < min(tasks, cores):
+            # Many runs over few partitions: deal the rows out once, for all rounds.
+            dealt = data.repartition(min(tasks, cores)).persist()
+            dealt.count()
+            data.unpersist()
+            data, held = dealt, min(tasks, cores)
         rows = data.select("features").coalesce(tasks)
+        tasks = min(tasks, held)
         sums, counts, _ = _round(rows, tasks, {0: np.zeros((1, dims))}, np.zeros(dims))[0]
         middle = sums[0] / counts[0]
         _, _, scatter = _round(rows, tasks, {0: np.zeros((1, dims))}, middle)[0]
@@ -286,28 +296,27 @@ def _round(
 def _shared_pass(data, tasks, centers, middle):
     dims = len(middle)
     stacked = np.vstack(list(centers.values()))
-    lengths = (stacked**2).sum(axis=1)
     ends = np.cumsum([len(p) for p in centers.values()])
     slices = [(i, end - len(p), end) for (i, p), end in zip(centers.items(), ends)]
-    step = max(1, 4_000_000 // len(stacked))
+    # Squared distance less a row's own length, as one product with (row, 1).
+    products = [(np.column_stack([-2.0 * p, (p**2).sum(axis=1)]), low, high) for p, (_, low, high) in zip(centers.values(), slices)]
 
     def fold(batches):
-        sums = np.zeros((len(stacked), dims))
-        counts = np.zeros(len(stacked))
+        table = np.zeros((len(stacked), dims + 1))
         costs = np.zeros(len(slices))
         for batch in batches:
             values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-            for at in range(0, len(values), step):
-                x = values[at : at + step] - middle
-                closeness = lengths - 2.0 * (x @ stacked.T)
-                own = (x * x).sum(axis=1)
-                for s, (_, low, high) in enumerate(slices):
-                    near = closeness[:, low:high].argmin(axis=1)
-                    costs[s] += np.maximum(own + closeness[np.arange(len(x)), low + near], 0.0).sum()
-                    counts[low:high] += np.bincount(near, minlength=high - low)
-                    for j in range(dims):
-                        sums[low:high, j] += np.bincount(near, weights=x[:, j], minlength=high - low)
-        table = np.column_stack([sums, counts])
+            for at in range(0, len(values), FOLD_ROWS):
+                x = np.column_stack([values[at : at + FOLD_ROWS] - middle, np.ones(min(FOLD_ROWS, len(values) - at))])
+                own, turned = (x[:, :dims] ** 2).sum(axis=1), np.ascontiguousarray(x.T)
+                for s, (product, low, high) in enumerate(products):
+                    closeness = product @ turned
+                    least = closeness.min(axis=0)
+                    nearest = closeness == least
+                    if np.count_nonzero(nearest) > len(x):  # ties: the lowest centre
+                        nearest = closeness.argmin(axis=0) == np.arange(high - low)[:, None]
+                    table[low:high] += nearest.astype(float) @ x
+                    costs[s] += np.maximum(own + least, 0.0).sum()
         rows, columns = np.nonzero(table)
         yield pa.RecordBatch.from_arrays(
             [
