@@ -708,9 +708,9 @@ def ward_blobs(spark, sf_dir):
     return named_by_first_row(hierarchical(blob_features(spark, sf_dir, "part", "p_partkey"), 4).labels)
 
 
-@query(f"WITH {blob_sql('supplier', 's_suppkey')} SELECT linkage, row_id, cluster::BIGINT AS cluster FROM named, (VALUES ('average'), ('complete'), ('single')) l(linkage)")
+@query(f"WITH {blob_sql('part', 'p_partkey')} SELECT linkage, row_id, cluster::BIGINT AS cluster FROM named, (VALUES ('average'), ('complete'), ('single')) l(linkage)")
 def linkage_blobs(spark, sf_dir):
-    ff = blob_features(spark, sf_dir, "supplier", "s_suppkey")
+    ff = blob_features(spark, sf_dir, "part", "p_partkey")
     parts = [named_by_first_row(hierarchical(ff, 4, linkage=name).labels).select(F.lit(name).alias("linkage"), "*") for name in ("average", "complete", "single")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starling.operators import components, dbscan, evaluate, hdbscan, hierarchical, kmeans, soft, spectral
+from starling.functions import blocks
+from starling.operators import components, dbscan, evaluate, hdbscan, hierarchical, kmeans, linkage, soft, spectral
 from starling.plans import queries
 from tests.conftest import frame_of, labels_of, matrix_of
 
@@ -218,20 +219,74 @@ def test_other_linkages(spark):
         hierarchical.hierarchical(ff, 2, "centroid")
 
 
-def test_single_linkage_is_exact_beyond_one_matrix(spark, golden_ff, monkeypatch):
-    expected = labels_of(hierarchical.hierarchical(golden_ff, 5, "single").labels)
-    monkeypatch.setattr(hierarchical, "LOCAL_MATRIX", 100)
-    monkeypatch.setattr(hdbscan, "FOREST_EDGES", 80)
-    assert (labels_of(hierarchical.hierarchical(golden_ff, 5, "single").labels) == expected).all()
+def brute_linkage(x, k, linkage):
+    """Merges the first pair in the order of (distance, smaller id, larger id), with plain sums over pairs."""
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    groups = {}
+    for i, row in enumerate(x.tolist()):
+        groups.setdefault(tuple(row), []).append(i)
+    groups = {g[0]: g for g in groups.values()}
+    if linkage == "single":
+        first = sorted(groups)
+        owner, kept = {i: i for i in first}, []
+        for d, a, b in sorted((gap[a, b], a, b) for a in first for b in first if a < b):
+            if owner[a] != owner[b]:
+                kept.append((a, b))
+                owner = {i: owner[a] if o == owner[b] else o for i, o in owner.items()}
+        owner = {i: i for i in first}
+        for a, b in kept[: len(first) - k]:
+            owner = {i: min(owner[a], owner[b]) if o in (owner[a], owner[b]) else o for i, o in owner.items()}
+        merged = {}
+        for i in first:
+            merged.setdefault(owner[i], []).extend(groups[i])
+        groups = merged
+    while len(groups) > k:
+        def far(a, b):
+            part = gap[np.ix_(groups[a], groups[b])]
+            # Steps of 2^-40 make equal means equal.
+            return part.max() if linkage == "complete" else np.floor(part * 2.0**40).sum() / part.size
+
+        _, a, b = min((far(a, b), a, b) for a in groups for b in groups if a < b)
+        groups[a] += groups.pop(b)
+    label = np.empty(len(x), int)
+    for c, members in enumerate(sorted(groups.values(), key=min)):
+        label[members] = c
+    return label
 
 
-def test_summaries_label_every_row(golden_ff, monkeypatch):
-    fit = hierarchical.hierarchical(golden_ff, 3, summaries=60)
-    sizes = np.bincount(labels_of(fit.labels))
-    assert sizes.sum() == 300 and len(sizes) == 3 and fit.summaries == 60
-    monkeypatch.setattr(hierarchical, "LOCAL_MATRIX", 100)
-    with pytest.raises(ValueError, match="summaries"):
-        hierarchical.hierarchical(golden_ff, 3, "average")
+@pytest.mark.parametrize("kind", ["average", "complete", "single"])
+def test_linkages_on_grids_fall_alike_at_every_size(spark, kind, monkeypatch):
+    rng = np.random.RandomState(5)
+    for side, k in ((5, 6), (12, 4)):
+        x = rng.randint(0, side, (63, 2)).astype(float)
+        expected = brute_linkage(x, k, kind)
+        ff = frame_of(spark, x)
+        assert (labels_of(hierarchical.hierarchical(ff, k, kind).labels) == expected).all()
+        with monkeypatch.context() as bound:
+            bound.setattr(linkage, "LOCAL_CLUSTERS", 20 if side > 5 else 5)
+            bound.setattr(blocks, "BLOCK_ROWS", 24)
+            bound.setattr(blocks.block_pairs, "__defaults__", (24,))
+            bound.setattr(hdbscan, "FOREST_EDGES", 20)
+            assert (labels_of(hierarchical.hierarchical(ff, k, kind).labels) == expected).all()
+
+
+def test_average_linkage_beyond_one_place(golden_ff, monkeypatch):
+    expected = labels_of(hierarchical.hierarchical(golden_ff, 5, "average").labels)
+    monkeypatch.setattr(linkage, "LOCAL_CLUSTERS", 150)
+    assert (labels_of(hierarchical.hierarchical(golden_ff, 5, "average").labels) == expected).all()
+
+
+def test_linkages_of_few_points(spark):
+    for kind in ("average", "complete", "single"):
+        assert labels_of(hierarchical.hierarchical(frame_of(spark, [[1.0]] * 3), 2, kind).labels).tolist() == [0, 0, 0]
+        assert labels_of(hierarchical.hierarchical(frame_of(spark, [[0.0], [1.0]]), 5, kind).labels).tolist() == [0, 1]
+
+
+def test_summaries_label_every_row(golden_ff):
+    for kind in ("ward", "average"):
+        fit = hierarchical.hierarchical(golden_ff, 3, kind, summaries=60)
+        sizes = np.bincount(labels_of(fit.labels))
+        assert sizes.sum() == 300 and len(sizes) == 3 and fit.summaries == 60
 
 
 # ------------------------------------------------------------------ spectral, HDBSCAN
