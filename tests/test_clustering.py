@@ -1,11 +1,13 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from starling.functions import blocks
-from starling.operators import components, dbscan, evaluate, hdbscan, hierarchical, kmeans, linkage, soft, spectral
+from starling.operators import components, condense, dbscan, evaluate, hdbscan, hierarchical, kmeans, linkage, soft, spectral
 from starling.plans import queries
 from tests.conftest import frame_of, labels_of, matrix_of
+from tests.plain_condense import plain_condense
 
 # Centres of a known k = 3 run in scaled space.
 KNOWN_CENTERS = [
@@ -424,6 +426,41 @@ def test_forest_is_a_minimum_spanning_forest():
     assert len(hdbscan.forest(a[:0], b[:0], w[:0])) == 0
 
 
+def tree_by_hand(x, n, core):
+    """Kruskal's tree of distinct points in the order of (gap, a, b)."""
+    gap = np.maximum(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), np.maximum(core[:, None], core[None]))
+    owner, kept = list(range(len(x))), []
+    for d, a, b in sorted((gap[a, b], a, b) for a in range(len(x)) for b in range(a + 1, len(x))):
+        if owner[a] != owner[b]:
+            kept.append((d, a, b))
+            owner = [owner[a] if o == owner[b] else o for o in owner]
+    return pd.DataFrame(kept, columns=["gap", "a", "b"])
+
+
+@pytest.mark.parametrize("side, size, copies", [(9, 4, 0), (6, 3, 3), (30, 5, 0)])
+def test_condensed_tree_on_grids_with_ties_and_copies(spark, side, size, copies, monkeypatch):
+    rng = np.random.RandomState(side)
+    x = np.unique(rng.randint(0, side, (90, 2)), axis=0).astype(float)
+    x = x[rng.permutation(len(x))]
+    n = np.ones(len(x)) + rng.randint(0, copies + 1, len(x)) * (rng.rand(len(x)) < 0.3)
+    core = np.where(n >= size, 0.0, np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), axis=1)[:, 2])
+    edges = tree_by_hand(x, n, core)
+    points = spark.createDataFrame([(i, float(a), float(c)) for i, (a, c) in enumerate(zip(n, core))], "row_id long, n double, core double")
+    want, want_shares = plain_condense(edges, core, n, size)
+    for bound in (500_000, 30, 0) if copies else (500_000,):
+        monkeypatch.setattr(condense, "LOCAL_EDGES", bound)
+        labels, shares, noise = condense.condense(spark.createDataFrame(edges, "gap double, a long, b long"), points, size)
+        got = np.array([r["cluster"] for r in labels.orderBy("row_id").collect()])
+        assert (got == want).all() and np.allclose(shares, want_shares) and noise == n[want == -1].sum()
+
+
+def test_condensed_tree_without_meetings(spark):
+    points = spark.createDataFrame([(i, 1.0, 1.0) for i in range(4)], "row_id long, n double, core double")
+    chain = spark.createDataFrame([(float(i), i, i + 1) for i in range(1, 3)] + [(0.5, 0, 1)], "gap double, a long, b long")
+    labels, shares, noise = condense.condense(chain, points, 3)
+    assert {r["cluster"] for r in labels.collect()} == {-1} and shares == [] and noise == 4
+
+
 def test_hdbscan_needs_enough_rows(spark):
     fit = hdbscan.hdbscan(frame_of(spark, [[0.0], [1.0]]), 5)
     assert fit.n_clusters == 0 and fit.n_noise == 2
