@@ -16,12 +16,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starling.functions.ranks import with_dense_index
-from starling.functions.sampling import broadcast_if_small
-from starling.functions.vectors import squared_distance_dims, total
+from starling.functions.sampling import broadcast_if_small, hash_sample
+from starling.functions.vectors import dot, squared_distance, squared_distance_dims, total
 from starling.operators.components import connected_components
 from starling.operators.evaluate import label_counts
 from starling.operators.moments import group_boxes
@@ -29,8 +30,12 @@ from starling.operators.prepare import width
 from starling.session import cut_lineage
 
 NOISE = -1
-# Neighbouring coarse cells are enumerated over at most this many dimensions.
+# Cells meet by at most this many measures, each of which leaves less than this share of the pairs.
 GRID_DIMS = 3
+PRUNES = 0.9
+# Pivots, and the cells they are chosen from: a choice that only steers which pairs are compared.
+PIVOTS, PIVOT_SAMPLE = 8, 1000
+SPELLED_DIMS = 16
 # Pairs of boxes are split further while one of them stands for more point pairs.
 POINT_PAIRS = 250_000
 SPLIT = 4
@@ -85,8 +90,7 @@ def _cell_side(eps: float, dims: int) -> float:
 
 
 def _grid(side: float, dims: int) -> Column:
-    x = F.col("features")
-    return F.array(*[F.floor(x[j] / F.lit(side)) for j in range(dims)])
+    return F.transform("features", lambda x: F.floor(x / F.lit(side)))
 
 
 def _points_and_cells(ff: DataFrame, dims: int, side: float) -> tuple[DataFrame, DataFrame]:
@@ -102,34 +106,78 @@ def _points_and_cells(ff: DataFrame, dims: int, side: float) -> tuple[DataFrame,
 
 
 def _box_gap(lo1, hi1, lo2, hi2, dims: int) -> Column:
-    """Squared smallest distance between two boxes."""
+    """Squared smallest distance between two boxes; folded over arrays where spelled out it would not compile."""
+    if dims > SPELLED_DIMS:
+        outside = F.zip_with(F.zip_with(lo2, hi1, lambda a, b: a - b), F.zip_with(lo1, hi2, lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+        return dot(outside, outside)
     gaps = [F.greatest(F.col(lo2)[j] - F.col(hi1)[j], F.col(lo1)[j] - F.col(hi2)[j], F.lit(0.0)) for j in range(dims)]
     return total([g * g for g in gaps])
 
 
 def _box_reach(lo1, hi1, lo2, hi2, dims: int) -> Column:
     """Squared largest distance between two boxes."""
+    if dims > SPELLED_DIMS:
+        across = F.zip_with(F.zip_with(hi2, lo1, lambda a, b: a - b), F.zip_with(hi1, lo2, lambda a, b: a - b), lambda a, b: F.greatest(a, b))
+        return dot(across, across)
     spans = [F.greatest(F.col(hi2)[j] - F.col(lo1)[j], F.col(hi1)[j] - F.col(lo2)[j]) for j in range(dims)]
     return total([s * s for s in spans])
 
 
-def _near_cells(cells: DataFrame, dims: int, eps: float) -> DataFrame:
-    """``(cid, other, lo, hi, cell_rows, cell_points of other)`` for boxes within eps.
+def _keyed(cells: DataFrame, dims: int, eps: float) -> tuple[DataFrame, list[str], float]:
+    """Cells with bucket columns to meet by, their distances to the pivots ``to``, and the buckets' width.
 
-    Candidates meet in an equi-join on coarse cells wider than eps, over the
-    dimensions the data spreads most in. Leaving dimensions out only adds
-    candidates; the boxes decide.
+    Neither a coordinate of a box's middle nor the middle's distance from a
+    fixed pivot can differ by more than the middles' own distance, and middles
+    of boxes within eps are at most ``width`` apart. So near boxes lie in equal
+    or adjacent buckets of that width of each such measure. The measures that
+    leave the fewest pairs are the keys; coordinates do in few dimensions,
+    rings around pivots where coordinates do not separate.
     """
-    spans = cells.agg(*[(F.max(F.col("hi")[j]) - F.min(F.col("lo")[j])).alias(f"s{j}") for j in range(dims)]).first()
-    axes = sorted(range(dims), key=lambda j: -(spans[j] or 0.0))[:GRID_DIMS]
-    step = math.isqrt(dims) + 1
-    coarse = [F.floor(F.col("cell")[j] / step) for j in axes]
+    half = F.zip_with("lo", "hi", lambda a, b: (b - a) / 2)
+    cells = cut_lineage(cells.withColumns({"middle": F.zip_with("lo", "hi", lambda a, b: (a + b) / 2), "radius": F.sqrt(dot(half, half))}))
+    step = (eps + 2 * (cells.agg(F.max("radius")).first()[0] or 0.0)) * (1 + 1e-9)
+    pivots = _pivots(np.array([r["middle"] for r in hash_sample(cells.select("cid", "middle"), PIVOT_SAMPLE, key="cid")]))
+    cells = cells.withColumn("to", F.array(*[F.sqrt(squared_distance(F.col("middle"), F.array(*map(F.lit, p.tolist())))) for p in pivots]))
+    cells = cells.withColumn("buckets", F.transform(F.concat("middle", "to"), lambda x: F.floor(x / F.lit(step))))
+    counts = cells.select(F.posexplode("buckets").alias("measure", "bucket")).groupBy("measure", "bucket").agg(F.count("*").cast("double").alias("n"))
+    beside = F.lag("n").over(Window.partitionBy("measure").orderBy("bucket")), F.lag("bucket").over(Window.partitionBy("measure").orderBy("bucket"))
+    met = F.col("n") * (F.col("n") + F.when(beside[1] == F.col("bucket") - 1, 2 * beside[0]).otherwise(0.0))
+    left = counts.withColumn("met", met).groupBy("measure").agg(F.sum("met").alias("met"), F.sum("n").alias("n")).orderBy("met", "measure").limit(GRID_DIMS).collect()
+    chosen = [r["measure"] for i, r in enumerate(left) if i == 0 or r["met"] < PRUNES * r["n"] ** 2]
+    keys = [f"c{i}" for i in range(len(chosen))]
+    return cells.withColumns({k: F.col("buckets")[j] for k, j in zip(keys, chosen)}).drop("middle", "radius", "buckets"), keys, step
+
+
+def _pivots(points: np.ndarray) -> np.ndarray:
+    """Points far from each other, the first far from the first one given."""
+    gap = ((points - points[0]) ** 2).sum(axis=1)
+    chosen = [int(gap.argmax())]
+    while len(chosen) < min(PIVOTS, len(points)):
+        gap = ((points - points[chosen[-1]]) ** 2).sum(axis=1) if len(chosen) == 1 else np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+        chosen.append(int(gap.argmax()))
+    return points[chosen]
+
+
+def candidates(ff: DataFrame, eps: float) -> DataFrame:
+    """One row: the cells, the ordered pairs of cells that meet in the join, and those whose boxes are within eps."""
+    dims = width(ff)
+    _, cells = _points_and_cells(ff, dims, _cell_side(eps, dims))
+    met, near = _near_cells(cells, dims, eps, count=True), _near_cells(cells, dims, eps)
+    return cells.agg(F.count("*").alias("cells")).crossJoin(met.agg(F.count("*").alias("met"))).crossJoin(near.agg(F.count("*").alias("near")))
+
+
+def _near_cells(cells: DataFrame, dims: int, eps: float, count: bool = False) -> DataFrame:
+    """``(cid, other, lo, hi, cell_rows, cell_points of other)`` for boxes within eps; with ``count`` for all that meet.
+
+    Candidates meet in an equi-join on buckets; the pivots and the boxes decide.
+    """
+    if not cells.limit(1).count():
+        return cells.select("cid", F.col("cid").alias("other"), "lo", "hi", "cell_rows", "cell_points")
+    cells, keys, step = _keyed(cells, dims, eps)
+    cells = cut_lineage(cells)
     moves = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    keys = [f"c{i}" for i in range(len(axes))]
-    right = cells.select(
-        F.col("cid").alias("other"), "lo", "hi", "cell_rows", "cell_points", *[c.alias(k) for c, k in zip(coarse, keys)]
-    )
-    left = cells.select("cid", F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), *[c.alias(k) for c, k in zip(coarse, keys)])
+    right = cells.select(F.col("cid").alias("other"), "lo", "hi", "cell_rows", "cell_points", "to", *keys)
+    left = cells.select("cid", F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.col("to").alias("to1"), *keys)
     for key in keys:
         left = left.withColumn("_m", F.explode(moves)).withColumn(key, F.col(key) + F.col("_m")).drop("_m")
     crowds = right.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -141,11 +189,11 @@ def _near_cells(cells: DataFrame, dims: int, eps: float) -> DataFrame:
         left = _salted(left, crowded, keys, "cid", "l_salt", "r_salt")
         right = _salted(right, crowded, keys, "other", "r_salt", "l_salt")
         keys = [*keys, "l_salt", "r_salt"]
-    return (
-        left.join(right, keys)
-        .where((F.col("cid") != F.col("other")) & (_box_gap("lo1", "hi1", "lo", "hi", dims) <= eps * eps))
-        .select("cid", "other", "lo", "hi", "cell_rows", "cell_points")
-    )
+    pairs = left.join(right, keys).where(F.col("cid") != F.col("other"))
+    if not count:
+        within = F.forall(F.zip_with("to1", "to", lambda a, b: F.abs(a - b) <= step), lambda near: near)
+        pairs = pairs.where(within).where(_box_gap("lo1", "hi1", "lo", "hi", dims) <= eps * eps)
+    return pairs.select("cid", "other", "lo", "hi", "cell_rows", "cell_points")
 
 
 def _salted(side: DataFrame, crowded: DataFrame, keys: list[str], key: str, own: str, other: str) -> DataFrame:

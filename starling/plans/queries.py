@@ -644,6 +644,12 @@ def dbscan_part(spark, sf_dir):
     return dbscan_labels(part_features(spark, sf_dir), DBSCAN_EPS, DBSCAN_MIN).select("row_id", "cluster")
 
 
+@query(f"""WITH RECURSIVE wide AS MATERIALIZED (SELECT vec_id AS row_id, {', '.join(f'embedding[{j + 1}]::DOUBLE AS f{j}' for j in range(64))} FROM embeddings),
+{S.dbscan(1.12, 3, 'wide', 64)} SELECT row_id, cluster FROM lab""")
+def dbscan_embeddings(spark, sf_dir):
+    return dbscan_labels(embedding_features(spark, sf_dir), 1.12, 3).select("row_id", "cluster")
+
+
 @query()
 def hierarchical_ward(spark, sf_dir):
     return hierarchical(part_features(spark, sf_dir), 4).labels.select("row_id", "cluster")

@@ -182,6 +182,27 @@ def test_components_by_rounds_and_at_once(spark, monkeypatch):
         assert got == dict(enumerate(root))
 
 
+def test_dbscan_meets_by_pivots_where_coordinates_do_not_separate(spark):
+    # Corners of a cube in 40 dimensions: each coordinate is 0 or 1 for half the points, pivots tell them apart.
+    rng = np.random.RandomState(2)
+    corners = rng.randint(0, 2, (60, 40)).astype(float)
+    x = (corners[:, None] + rng.uniform(-0.02, 0.02, (60, 5, 40))).reshape(-1, 40)
+    ff = frame_of(spark, x)
+    labels = labels_of(dbscan.dbscan_labels(ff, 0.5, 3))
+    assert (labels == np.repeat(np.arange(60), 5)).all()
+    row = dbscan.candidates(ff, 0.5).first()
+    assert row["near"] <= row["met"] < 0.5 * row["cells"] ** 2
+
+
+def test_dbscan_where_nothing_separates(spark):
+    x = np.random.RandomState(3).normal(size=(120, 30))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    labels = labels_of(dbscan.dbscan_labels(frame_of(spark, x), 1.05, 3))
+    core = (gap <= 1.05).sum(1) >= 3
+    assert ((labels >= 0) == ((gap <= 1.05) & core[None]).any(1)).all() and 0 < core.sum() < 120
+
+
 # ------------------------------------------------------------------ hierarchical
 
 
