@@ -2,7 +2,8 @@
 
 A page becomes blocks of text. Blocks in navigation, headers, footers, sidebars,
 notices, adverts, forms and comments are out, blocks in the page's article are
-in. For every host the tokens of all other visible blocks are put one page after
+in. A word inside a longer class name (``entry-header``) is only a guess at
+chrome, which repeats on the host confirm. For every host the tokens of all other visible blocks are put one page after
 another; a suffix array finds the long token runs that pages share. A run is
 boilerplate if pages of ``MANY_TEXTS`` different texts hold it, and a block that
 such runs cover goes. What the page's own markup leaves open is decided so: it
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +49,8 @@ COVERED = 0.8
 # Tokens in a shard of a host, on average.
 SHARD_TOKENS = 500_000
 
-KEEP, DROP, OPEN = 0, 1, 2
+# What markup says of a block: article, chrome, nothing, perhaps chrome inside an article, perhaps chrome elsewhere.
+KEEP, DROP, OPEN, GUESS_IN, GUESS_OUT = range(5)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe noembed noframes xmp".split())
 HIDDEN = frozenset("script style template noscript iframe noembed noframes xmp svg math canvas object audio video select datalist option textarea button title head".split())
@@ -57,10 +60,12 @@ BLOCKS = frozenset(
     h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul""".split()
 )
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-CHROME_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus
-    footer form header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion
-    related reply replies respond responses share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget""".split()
+# Words of class names and ids: for reader comments and adverts, which are other on every page, and for layout.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond responses".split())
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense promo promotion sponsor sponsored sponsors".split())
+LAYOUT_WORDS = frozenset(
+    """banner breadcrumb breadcrumbs consent cookie cookies footer form header masthead menu modal nav navbar navigation newsletter notice notices
+    notification pager pagination popup related share sharing sidebar sidebars signup skip social subscribe subscription toolbar widget""".split()
 )
 # Ends of elements that the start of another one implies.
 CLOSES = {
@@ -74,37 +79,106 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?
 _SPACE = re.compile(r"\s+")
 
 
-def _chrome(name: str, attrs: str, in_article: bool) -> bool:
+NO, GUESS, YES = 0, 1, 2
+
+
+def _named_chrome(value: str) -> int:
+    """What a class or id says: ``YES`` for a whole name or a word for comments or adverts, ``GUESS`` for a part of a longer name."""
+    found = NO
+    for word in value.split():
+        parts = [p for p in re.split(r"[^a-z]+", word) if p]
+        if any(p in COMMENT_WORDS or p in ADVERT_WORDS for p in parts) or (parts and all(p in LAYOUT_WORDS for p in parts)):
+            return YES
+        if any(p in LAYOUT_WORDS for p in parts):
+            found = GUESS
+    return found
+
+
+def _chrome(name: str, attrs: str, in_article: bool) -> int:
     """Whether an element is no part of the main text, by its name and attributes."""
     if name in CHROME or (name == "header" and not in_article):
-        return True
-    if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return YES
+    if not attrs or name in ("html", "body", "main"):
+        return NO
+    found = NO
     for match in _ATTRIBUTE.finditer(attrs):
         key, value = match[1].lower(), (match[2] or match[3] or match[4] or "").lower()
+        if name == "article":
+            # A reader's comment may be an article; other words say how an article is laid out.
+            if key == "class" and any(re.split(r"[^a-z]+", word)[0] in COMMENT_WORDS for word in value.split()):
+                return YES
+            continue
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return YES
         if key == "role" and value in CHROME_ROLES:
-            return True
-        if key in ("class", "id") and any(w in CHROME_WORDS for w in re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return YES
+        if key in ("class", "id"):
+            found = max(found, _named_chrome(value))
+            if found == YES:
+                return YES
+    return found
+
+
+class _Open:
+    """The open elements, with the places of the names that ends are looked up by."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, name: str, *state) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, *state))
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.places[self.stack.pop()[0]].pop()
+
+    def last(self, name: str) -> int:
+        """The depth of the innermost open element of that name, or -1."""
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def close_implied(self, name: str) -> None:
+        """End the elements that the start of ``name`` ends."""
+        for open_name, starts in CLOSES.items():
+            depth = self.last(open_name) if name in starts else -1
+            if depth >= 0:
+                passed = ("td", "th") if open_name == "tr" else ()
+                if depth > max(self.last(b) for b in BARRIERS if b != open_name and b not in passed):
+                    self.cut(depth)
+
+
+_PAGE_PART = re.compile(r"<(?:(article|main|h1)[\s>]|/form[\s>])", re.I)
+
+
+def _page_forms(source: str) -> list[int]:
+    """The starts of forms' ends and of page parts in order, the latter as negative numbers."""
+    return [-m.start() if m[1] else m.start() for m in _PAGE_PART.finditer(source)]
+
+
+def _holds_page(parts: list[int], at: int) -> bool:
+    """Whether a form that starts at ``at`` has an article, main part or top heading before it ends."""
+    after = bisect_right(parts, at, key=abs)
+    return after < len(parts) and parts[after] < 0
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
-    """The page's visible blocks in order: ``KEEP``, ``DROP`` or ``OPEN``, and the text.
+    """The page's visible blocks in order: what markup says of each (``KEEP`` and so on), and its text.
 
     Character references are decoded and white space runs become one space. A
     ``br`` is white space. Unclosed and misnested tags, comments and pages that
-    end inside a tag or reference are read as far as they go.
+    end inside a tag or reference are read as far as they go, in time linear
+    in the page. A form around the page's article or heading is no chrome.
     """
     source = page or ""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, chrome, article
+    opened = _Open()
     out: list[tuple[int, str]] = []
     text: list[str] = []
+    parts: list[int] | None = None
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[bool, int, bool]:
+        return opened.stack[-1][1:] if opened.stack else (False, NO, False)
 
     def flush() -> None:
         if text:
@@ -112,15 +186,8 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             text.clear()
             hidden, chrome, article = state()
             if words and not hidden:
-                out.append((DROP if chrome else KEEP if article else OPEN, words))
-
-    def close(name: str) -> None:
-        if any(s[0] == name for s in stack):
-            if name in BLOCKS or name in HIDDEN:
-                flush()
-            while stack:
-                if stack.pop()[0] == name:
-                    break
+                kind = DROP if chrome == YES else (GUESS_IN if article else GUESS_OUT) if chrome == GUESS else KEEP if article else OPEN
+                out.append((kind, words))
 
     at, lowered = 0, None
     while True:
@@ -137,31 +204,32 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             continue
         name = name.lower()
         if match["end"]:
-            if name == "p" and not any(s[0] == "p" for s in stack):
+            depth = opened.last(name)
+            if (name == "p" and depth < 0) or (depth >= 0 and (name in BLOCKS or name in HIDDEN)):
                 flush()
-            close(name)
+            if depth >= 0:
+                opened.cut(depth)
             continue
         if name == "br":
             text.append(" ")
             continue
         if name in BLOCKS or name in HIDDEN:
             flush()
-        for open_name in ("p", "li", "dt", "dd", "td", "th", "tr"):
-            if name in CLOSES[open_name]:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == open_name:
-                        del stack[depth:]
-                        break
-                    if stack[depth][0] in BARRIERS and not (open_name == "tr" and stack[depth][0] in ("td", "th")):
-                        break
+        opened.close_implied(name)
         if name in VOID:
             continue
         attrs = match["attrs"] or ""
         if attrs.rstrip().endswith("/") and name in ("svg", "path", "g"):
             continue
         hidden, chrome, article = state()
-        article = article or (name in ("article", "main") and not chrome)
-        chrome = chrome or _chrome(name, attrs, article)
+        said = _chrome(name, attrs, article or (name in ("article", "main") and chrome != YES))
+        if name == "form" and said == YES:
+            parts = _page_forms(source) if parts is None else parts
+            said = NO if _holds_page(parts, match.start()) else YES
+        chrome = max(chrome, said)
+        article = article or (name in ("article", "main") and chrome != YES)
+        if name in ("article", "main") and chrome == GUESS:
+            chrome = NO  # an article inside a part that was only guessed to be chrome
         hidden = hidden or name in HIDDEN
         if name in RAW:
             if lowered is None:
@@ -174,7 +242,7 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
                 stop = source.find(">", end)
                 at = len(source) if stop < 0 else stop + 1
             continue
-        stack.append((name, hidden, chrome, article))
+        opened.push(name, hidden, chrome, article)
     flush()
     return out
 
@@ -384,7 +452,7 @@ def boilerplate(pages: DataFrame) -> DataFrame:
                         own = [digest(utf8(w)) >> 1 for w in text.split()]
                         tokens += own
                         lengths.append(len(own))
-                        numbers.append(i if kind == OPEN else -1)
+                        numbers.append(-1 if kind == DROP else i)
                 if tokens:
                     article = " ".join(article)
                     out.append((host, key, np.array(tokens, np.int64).tobytes(), lengths, numbers, len(tokens), digest(utf8(article)) >> 1, len(article.split())))
@@ -424,7 +492,10 @@ def _main_text(html: pd.Series, gone: pd.Series) -> pd.Series:
     out = []
     for page, numbers in zip(html, gone):
         drop = set() if numbers is None else set(numbers.tolist())
-        out.append("\n".join(text for i, (kind, text) in enumerate(blocks_of(page)) if kind == KEEP or (kind == OPEN and i not in drop)))
+        blocks = blocks_of(page)
+        # Outside an article a guess at chrome stands if the page has an article.
+        out_kinds = (OPEN, GUESS_IN) if any(kind == KEEP for kind, _ in blocks) else (OPEN, GUESS_IN, GUESS_OUT)
+        out.append("\n".join(text for i, (kind, text) in enumerate(blocks) if kind == KEEP or (kind in out_kinds and i not in drop)))
     return pd.Series(out, dtype=object)
 
 

@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -256,3 +257,38 @@ def test_conversations_round_trip(spark):
     assert chat.digests(chat.format_conversations(empty)).count() == 0
     with pytest.raises(ValueError):
         chat.read_back("<|im_start|>user<|sep|>x")
+
+
+def kinds(page):
+    return [(k, t) for k, t in html.blocks_of(page)]
+
+
+def test_class_words_are_guesses_unless_whole():
+    keep, drop, open_, inside, outside = html.KEEP, html.DROP, html.OPEN, html.GUESS_IN, html.GUESS_OUT
+    assert kinds("<main><article><p>Text</p></article><article class='comment odd'><p>Reader</p></article></main>") == [(keep, "Text"), (drop, "Reader")]
+    assert kinds("<article class='post has-comments'><p>Text</article>") == [(keep, "Text")]
+    assert kinds("<article><div class='entry-header'><h1>Title</h1></div><p>Text") == [(inside, "Title"), (keep, "Text")]
+    assert kinds("<article><div class='share-price'>12</div><div class='comment-list'>Hi</div><div class='ad-slot'>Buy</div></article>") == [(inside, "12"), (drop, "Hi"), (drop, "Buy")]
+    assert kinds("<main><div class='sidebar-left-layout content'><p>Body") == [(inside, "Body")]
+    assert kinds("<div class='sidebar-left-layout'><article><p>Body") == [(keep, "Body")]
+    assert kinds("<div class='page-footer'>x</div><div class='footer'>y</div><div class='cookie-banner'>z</div>") == [(outside, "x"), (drop, "y"), (drop, "z")]
+    assert kinds("<form id=aspnetForm><h1>Title</h1><p>Body</form><form>Search</form><h1>No form</h1>") == [(open_, "Title"), (open_, "Body"), (drop, "Search"), (open_, "No form")]
+
+
+def test_guesses_are_confirmed_by_repeats(spark):
+    rng = random.Random(8)
+    word = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    line = word(20)
+    bodies = [(word(12), word(60)) for _ in range(8)]
+    pages = [(i, f"http://h/{i}", f"<article><div class='entry-header'><h1>{t}</h1></div><div class='share-bar'>{line}</div><p>{b}</p></article><div class='page-footer'>{word(30)}</div>") for i, (t, b) in enumerate(bodies)]
+    pages.append((99, "http://other/", f"<div class='header-layout content'><p>{line}</p></div>"))
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {99: line, **{i: f"{t}\n{b}" for i, (t, b) in enumerate(bodies)}}
+
+
+@pytest.mark.parametrize("piece", ["<i>x</b>", "<p><i>x", "<form>x", "<td><b>y", "<ul><li><em>z", "</p>", "<div>", "<a href='", "<!-- "])
+def test_bad_markup_takes_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    started = time.process_time()
+    html.blocks_of(page)
+    assert time.process_time() - started < 20
