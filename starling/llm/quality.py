@@ -22,6 +22,8 @@ from starling.llm.labels import held_out, labelled_sample
 
 # At most this many labelled rows of each class are learned from.
 ROWS_PER_CLASS = 1500
+# Labelled texts of more bytes take no part in learning, so the sample's memory has a bound; scoring takes whole texts.
+LEARN_BYTES = 1 << 17
 EPOCHS = 10
 BATCH = 32
 RATE = 0.01
@@ -173,9 +175,11 @@ class ByteNetwork:
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> ByteNetwork:
     """Learn from at most ``rows_per_class`` labelled rows of each class outside the held-out fold.
 
-    With labels of one class only the model scores that class's value, without labels 0.
+    Of those, texts of more than ``LEARN_BYTES`` bytes are left out. With labels
+    of one class only the model scores that class's value, without labels 0.
     """
     sample, weights = labelled_sample(docs, labels, "quality", rows_per_class, id_col, text_col)
+    sample = sample.where(F.octet_length(F.coalesce("text", F.lit(""))) <= LEARN_BYTES)
     rows = sample.orderBy("u", "label", "text").toPandas()
     if rows["label"].nunique() < 2:
         return ByteNetwork(constant=float(rows["label"].max()) if len(rows) else 0.0)

@@ -30,37 +30,48 @@ SAMPLE_ROWS = 2048
 # Chunks are dealt over a task each, up to so many tasks.
 MAX_TASKS = 20_000
 
+# Marks the data of a pack of vectors whose integers need more than 62 bits.
+WIDE = b"W"
 PACK_SCHEMA = pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
 
 
-def to_integers(vector: np.ndarray) -> np.ndarray:
-    """floor(256 * x) of every component, as longs."""
-    scaled = np.floor(SCALE * vector)
-    if scaled.size and np.abs(scaled).max() >= 2.0**62:
-        raise OverflowError("a component is too large for a long score")
-    return scaled.astype(np.int64)
+def _is_wide(vector: np.ndarray) -> bool:
+    return bool(len(vector)) and float(np.abs(vector).max()) >= 2.0**62 / SCALE
+
+
+def to_integers(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 * x) of every component: longs, or Python integers (an object array) where one needs more bits."""
+    if not vectors.size or np.abs(vectors).max() < 2.0**62 / SCALE:
+        return np.floor(SCALE * vectors).astype(np.int64)
+    # From 2^52 on a double is an integer by itself.
+    wide = [int(x) * SCALE if abs(x) >= 2.0**52 else int(np.floor(SCALE * x)) for x in vectors.ravel().tolist()]
+    return np.array(wide, dtype=object).reshape(vectors.shape)
 
 
 def _packed(ids: list[int], vectors: list) -> pa.RecordBatch:
-    data = to_integers(np.array(vectors, dtype=np.float64).reshape(len(ids), -1))
-    if not data.size or np.abs(data).max() < 2**31:
-        data = data.astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array([data.shape[1]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], schema=PACK_SCHEMA)
+    values = np.array(vectors, dtype=np.float64).reshape(len(ids), -1)
+    data = to_integers(values)
+    if data.dtype == object:
+        raw = WIDE + values.tobytes()
+    else:
+        raw = (data.astype(np.int32) if not data.size or np.abs(data).max() < 2**31 else data).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([values.shape[1]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([raw], pa.binary())], schema=PACK_SCHEMA)
 
 
 def _pack(rows: int):
-    """Rows (vec_id, embedding) to packs of at most ``rows`` vectors of one dimension."""
+    """Rows (vec_id, embedding) to packs of at most ``rows`` vectors of one dimension, those with wide components apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, bool], tuple[list, list]] = {}
         for batch in batches:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, vectors = held.setdefault(len(vector), ([], []))
+                kind = len(vector), _is_wide(np.array(vector))
+                ids, vectors = held.setdefault(kind, ([], []))
                 ids.append(key)
                 vectors.append(vector)
                 if len(ids) >= rows:
                     yield _packed(ids, vectors)
-                    del held[len(vector)]
+                    del held[kind]
         for ids, vectors in held.values():
             yield _packed(ids, vectors)
 
@@ -69,6 +80,8 @@ def _pack(rows: int):
 
 def unpack(dim: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     keys = np.frombuffer(ids, dtype=np.int64)
+    if data[:1] == WIDE and len(data) == 8 * dim * len(keys) + 1:
+        return keys, to_integers(np.frombuffer(data[1:], dtype=np.float64).reshape(len(keys), dim))
     kind = np.int32 if len(data) == 4 * dim * len(keys) else np.int64
     return keys, np.frombuffer(data, dtype=kind).reshape(len(keys), dim)
 
@@ -87,32 +100,32 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
 
 
 def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact; an error if one may not fit a long."""
+    """Integer inner products, exact: longs, or Python integers where one may need more bits."""
     if not vectors.size:
         return np.zeros(len(vectors), np.int64)
-    bound = float(np.abs(vectors.astype(np.float64)).max()) * float(np.abs(query.astype(np.float64)).max()) * vectors.shape[1]
-    if bound < 2.0**53:
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    if bound < 2.0**62:
-        return vectors.astype(np.int64) @ query.astype(np.int64)
-    wide = [sum(int(a) * int(b) for a, b in zip(v, query)) for v in vectors]
-    if any(abs(s) >= 2**63 for s in wide):
-        raise OverflowError("a score does not fit a long")
-    return np.array(wide, dtype=np.int64)
+    if vectors.dtype != object and query.dtype != object:
+        bound = float(np.abs(vectors.astype(np.float64)).max()) * float(np.abs(query.astype(np.float64)).max()) * vectors.shape[1]
+        if bound < 2.0**53:
+            return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+        if bound < 2.0**62:
+            return vectors.astype(np.int64) @ query.astype(np.int64)
+    return np.array([sum(int(a) * int(b) for a, b in zip(v, query)) for v in vectors], dtype=object)
 
 
 class Chunk:
-    """Vectors with their statistics at every level."""
+    """Vectors with their statistics at every level; wide ones have none and are all compared."""
 
     def __init__(self, keys: np.ndarray, vectors: np.ndarray) -> None:
         self.keys, self.vectors = keys, vectors
-        self.norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
-        self.statistics = [segment_statistics(vectors, s) for s in LEVELS]
+        self.bounded = vectors.dtype != object
+        if self.bounded:
+            self.norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
+            self.statistics = [segment_statistics(vectors, s) for s in LEVELS]
 
     def best(self, key: int, query: np.ndarray, floor: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys and scores of the k best rows but ``key``, of those that score ``floor`` or more."""
         at = np.flatnonzero(self.keys != key)
-        if floor is not None:
+        if floor is not None and self.bounded and query.dtype != object:
             length = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
             for stats, segments in zip(self.statistics, LEVELS):
                 own = segment_statistics(query[None, :], segments)[0]
@@ -121,9 +134,14 @@ class Chunk:
                 at = at[stats[at] @ own + slack >= floor]
         scores = exact_scores(self.vectors[at], query)
         if floor is not None:
-            at, scores = at[scores >= floor], scores[scores >= floor]
-        order = np.lexsort((self.keys[at], -scores))[:k]
-        return self.keys[at[order]], scores[order]
+            high = (scores >= floor).astype(bool)
+            at, scores = at[high], scores[high]
+        order = np.lexsort((self.keys[at], -scores)) if scores.dtype != object else np.array(sorted(range(len(at)), key=lambda i: (-scores[i], self.keys[at[i]])), dtype=int)
+        return self.keys[at[order[:k]]], scores[order[:k]]
+
+
+def fits(score: int) -> bool:
+    return -(1 << 63) <= score < 1 << 63
 
 
 def _valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -140,6 +158,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     id, take no part; a query meets the vectors of its own dimension. Rows that
     share a query's id are no candidates of it; of several vectors under one
     query id the smallest asks. Repeated rows are candidates of their own.
+    Components of any finite size are exact; only a result whose score does
+    not fit a long ends the query with an error.
     """
     rows = _valid(vectors, id_col, vector_col)
     pack_type = "dim int, ids binary, data binary"
@@ -162,13 +182,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
             for key, query in zip(keys.tolist(), queries):
                 found = seed.best(key, query, None, k)[1] if seed else ()
                 # the sample's rows have ids of their own only if none repeats
-                floors.append(int(found[-1]) if len(found) == k else None)
+                floors.append(int(found[-1]) if len(found) == k and fits(int(found[-1])) else None)
             yield pa.RecordBatch.from_arrays([*pack.columns, pa.array([floors], block_schema.field("floors").type)], schema=block_schema)
 
     asked = asked.repartition(blocks, F.col("vec_id"))
     questions = cut_lineage(asked.mapInArrow(with_floors, "q_dim int, q_ids binary, q_data binary, floors array<long>"))
     size = questions.agg(F.sum(F.length("q_ids") + F.length("q_data") + 8 * F.size("floors"))).first()[0]
-    out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    out_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("fits", pa.bool_())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, chunk = None, None
@@ -179,14 +199,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
                     last, chunk = (ids, data), Chunk(*unpack(dim, ids, data))
                 q_keys, queries = unpack(dim, q_ids, q_data)
                 found = [(key, *chunk.best(key, query, floor, k)) for key, query, floor in zip(q_keys.tolist(), queries, floors)]
+                scores = [int(x) for f in found for x in f[2]]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)),
-                    pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)), pa.array(np.concatenate([f[2] for f in found]).astype(np.int64)),
+                    pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)),
+                    pa.array([max(-(1 << 63), min(x, (1 << 63) - 1)) for x in scores], pa.int64()), pa.array(list(map(fits, scores)), pa.bool_()),
                 ], schema=out_schema)
 
     chunks = chunks.repartition(max(1, min(chunks.count(), MAX_TASKS)))
     pairs = chunks.crossJoin(measured(questions, size)).where(F.col("dim") == F.col("q_dim"))
-    scored = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    scored = pairs.mapInArrow(search, "query_id long, vec_id long, score long, fits boolean")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    too_wide = F.raise_error(F.concat(F.lit("the score of "), F.col("query_id"), F.lit(" and "), F.col("vec_id"), F.lit(" does not fit a long")))
+    return ranked.select("query_id", "rank", "vec_id", F.when(F.col("fits"), F.col("score")).otherwise(too_wide).alias("score"))

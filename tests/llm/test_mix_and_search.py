@@ -206,8 +206,20 @@ def test_bounds_hold_at_every_level():
         assert (s @ s.T >= exact - 1e-6).all()
         squared = ((x[:, None] - x[None]) ** 2).sum(axis=2)
         assert (((s[:, None] - s[None]) ** 2).sum(axis=2) <= squared + 1e-6).all()
-    with pytest.raises(OverflowError):
-        topk.exact_scores(np.full((1, 4), 2**40), np.full(4, 2**40))
+    # Beyond 62 bits scores are Python's integers.
+    assert topk.exact_scores(np.full((1, 4), 2**40), np.full(4, 2**40)).tolist() == [2**82]
+
+
+def test_large_components_are_exact(spark):
+    """Wide vectors take part; ends with an error only where a returned score fits no long."""
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], 1, 2) for i in range(1, 120) if i % 50]
+    rows += [(0, [2.0**-8, 0.0, 1.0], 1, 2), (50, [0.0, 0.0, 2.0], 1, 2), (100, [2.0**52, 3.5, 2.0**-8], 1, 2)]
+    rows += [(201, [2.0**54, 2.0, 5.0], 1, 2), (202, [2.0**54 + 4, 0.25, 1.0], 1, 2), (203, [-1e300, 0.0, -3.0], 1, 2), (204, [2.0**47 + 0.5, 1.0, 1.0], 1, 2)]
+    frame = spark.createDataFrame([r for r in rows if r[0] != 100], "vec_id long, embedding array<double>, rank int, score int").repartition(3)
+    assert sorted(map(tuple, topk.top_k(frame).collect())) == sorted(brute_top([r for r in rows if r[0] != 100]))
+    with pytest.raises(Exception, match=r"the score of 100 and \d+ does not fit a long"):
+        topk.top_k(spark.createDataFrame(rows, frame.schema)).collect()
 
 
 def test_pipeline_stage_by_stage(spark, tmp_path):

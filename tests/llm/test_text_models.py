@@ -153,3 +153,14 @@ def test_gradients_match_differences():
         down = loss()
         flat[k] = old
         assert abs((up - down) / (2 * step) - grads[name].reshape(-1)[k]) < 0.03 * max(0.05, abs(grads[name].reshape(-1)[k])), name
+
+
+def test_quality_learns_without_the_longest_texts(spark, monkeypatch):
+    rows = [(i, ("good words here " if i % 2 else "#### $$ %% ") * 4, "x") for i in range(1, 80)]
+    labels = spark.createDataFrame([(i, i % 2) for i, *_ in rows] + [(500, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows + [(500, "x " * 400_000, "x")], "doc_id long, text string, label string")
+    monkeypatch.setattr(quality, "LEARN_BYTES", 1000)
+    seen, inner = [], quality.ByteNetwork.fit
+    monkeypatch.setattr(quality.ByteNetwork, "fit", lambda self, texts, *rest: (seen.extend(map(len, texts)), inner(self, texts, *rest))[1])
+    scores = {r.doc_id: r.score for r in quality.scored(docs, labels).collect()}
+    assert max(seen) <= 1000 and len(scores) == 80 and 0 <= scores[500] <= 1
