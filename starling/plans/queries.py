@@ -325,7 +325,7 @@ def gen_mixed(spark, sf_dir):
     return frame.select("row_id", *[rnd(F.col("features")[j]).alias(f"feature_{j}") for j in range(5)], "true_label")
 
 
-def _timeseries_sql(steps: int = 12) -> str:
+def _timeseries_sql(steps: int = 50) -> str:
     at = lambda stop: f"(t * {stop!r} / {steps - 1})"
     noise = S.normal(42, "k", "t")
     return f"""WITH a AS (SELECT c_custkey AS k, {label_sql(4, 'c_custkey')} AS l FROM customer),
@@ -338,9 +338,9 @@ SELECT k AS row_id, {S.r('arg_min(v, t)')} AS first_value, {S.r('arg_max(v, t)')
 
 @query(_timeseries_sql())
 def gen_timeseries(spark, sf_dir):
-    frame = generate.gen_timeseries(spark, ids(spark, sf_dir, "customer", "c_custkey"), steps=12)
+    frame = generate.gen_timeseries(spark, ids(spark, sf_dir, "customer", "c_custkey"))
     return frame.select(
-        "row_id", rnd(F.col("series")[0]).alias("first_value"), rnd(F.col("series")[11]).alias("last_value"),
+        "row_id", rnd(F.col("series")[0]).alias("first_value"), rnd(F.col("series")[49]).alias("last_value"),
         *[rnd(c).alias(c) for c in ("mean", "std", "min", "max", "median")], "true_label",
     )
 
@@ -709,6 +709,13 @@ def elbow_blobs(spark, sf_dir):
     return costs.where(F.col("k") == k).select(F.col("k").cast("int").alias("k"), rnd("inertia", 4).alias("inertia"))
 
 
+@query(f"""WITH {blob_sql('part', 'p_partkey')}, {S.silhouette('named', 2)}, m AS (SELECT g, avg(f0) AS m0, avg(f1) AS m1 FROM named GROUP BY g)
+SELECT 4 AS k, (SELECT {S.r('sum((f0 - m0) ** 2 + (f1 - m1) ** 2)', 4)} FROM named JOIN m USING (g)) AS inertia, {S.r('avg(silhouette)', 4)} AS silhouette FROM sil""")
+def elbow_scores_blobs(spark, sf_dir):
+    scores = evaluate.elbow_scores(blob_features(spark, sf_dir, "part", "p_partkey"), range(3, 6)).where("k = 4")
+    return scores.select("k", rnd("inertia", 4).alias("inertia"), rnd("silhouette", 4).alias("silhouette"))
+
+
 @query(f"WITH {blob_sql('part', 'p_partkey')} {BLOB_LABELS}")
 def ward_blobs(spark, sf_dir):
     return named_by_first_row(hierarchical(blob_features(spark, sf_dir, "part", "p_partkey"), 4).labels)
@@ -794,6 +801,20 @@ def full_run(spark, sf_dir):
     return out.withColumns({"silhouette": rnd("silhouette"), "calinski_harabasz": rnd("calinski_harabasz", 4), "davies_bouldin": rnd("davies_bouldin")})
 
 
+@query(f"""WITH RECURSIVE {S.PART}, {S.dbscan(DBSCAN_EPS, DBSCAN_MIN)}, kept AS MATERIALIZED (SELECT * FROM lab WHERE cluster >= 0), {S.silhouette('kept', 2)}
+SELECT 'part' AS dataset, 'dbscan' AS algorithm, {S.r('avg(silhouette)', 4)} AS silhouette, NULL::VARCHAR AS error FROM sil
+UNION ALL SELECT 'part', 'unheard_of', NULL, 'Unknown algorithm: unheard_of'
+UNION ALL SELECT 'names', 'dbscan', NULL, 'No numeric columns found in the dataset'
+UNION ALL SELECT 'names', 'unheard_of', NULL, 'Unknown algorithm: unheard_of'""")
+def batch_cells(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", *PART_COLUMNS)
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    options = {"dbscan": {"eps": DBSCAN_EPS, "min_samples": DBSCAN_MIN}}
+    summary = run_batch({"part": part, "names": names}, ["dbscan", "unheard_of"], options=options, id_col="p_partkey")
+    silhouette = rnd(F.try_element_at("metrics", F.lit("silhouette_score")), 4)
+    return summary.select("dataset", "algorithm", silhouette.alias("silhouette"), "error")
+
+
 @query()
 def batch_run(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", *PART_COLUMNS)

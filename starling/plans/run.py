@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,16 +173,27 @@ _ALGORITHMS: dict[str, Callable[..., tuple[DataFrame, DataFrame | None, dict[str
 
 def run_batch(
     datasets: Mapping[str, DataFrame], algorithms: Sequence[str], store: Store | None = None,
-    options: Mapping[str, Mapping[str, Any]] | None = None, **common: Any,
+    options: Mapping[str, Mapping[str, Any]] | None = None, parallel: int = 4, **common: Any,
 ) -> DataFrame:
-    """Every data set with every algorithm; a failing cell keeps its error."""
-    rows = []
-    for name, df in datasets.items():
-        for algorithm in algorithms:
-            try:
-                result = run(df, algorithm, store=store, source_name=name, **common, **(options or {}).get(algorithm, {}))
-                numbers = {k: float(v) for k, v in result.metrics.items() if isinstance(v, (int, float))}
-                rows.append((name, algorithm, numbers, None))
-            except Exception as error:  # one failing cell must not end the batch
-                rows.append((name, algorithm, None, str(error)))
-    return next(iter(datasets.values())).sparkSession.createDataFrame(rows, SUMMARY_SCHEMA)
+    """Every data set with every algorithm; a failing cell keeps its error.
+
+    Up to ``parallel`` cells run at a time, each in a job group and, where the
+    session schedules fairly (``spark.scheduler.mode=FAIR``), a pool of its own.
+    """
+    cells = [(name, df, algorithm) for name, df in datasets.items() for algorithm in algorithms]
+    spark = next(iter(datasets.values())).sparkSession
+
+    def cell(name: str, df: DataFrame, algorithm: str) -> tuple:
+        spark.sparkContext.setJobGroup(f"batch {name} {algorithm}", f"{algorithm} on {name}")
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"batch-{name}-{algorithm}")
+        try:
+            result = run(df, algorithm, store=store, source_name=name, **common, **(options or {}).get(algorithm, {}))
+            numbers = {k: float(v) for k, v in result.metrics.items() if isinstance(v, (int, float))}
+            return name, algorithm, numbers, None
+        except Exception as error:  # one failing cell must not end the batch
+            return name, algorithm, None, str(error)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as threads:
+        # The session is handed on: a new thread has no active one of its own.
+        rows = list(threads.map(inheritable_thread_target(spark)(lambda c: cell(*c)), cells))
+    return spark.createDataFrame(rows, SUMMARY_SCHEMA)
