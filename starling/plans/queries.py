@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from starling.functions.vectors import hash_uniform
 from starling.operators import evaluate, prepare, profile, reduce, report, scale, soft
 from starling.operators.dbscan import dbscan_labels
+from starling.operators.divisive import divisive
 from starling.operators.hdbscan import hdbscan, with_core_distances
 from starling.operators.hierarchical import hierarchical
 from starling.operators.kmeans import assign, elbow, first_distinct_rows, inertia, kmeans, kmeans_lloyd, knee
@@ -721,6 +722,11 @@ def ward_blobs(spark, sf_dir):
     return named_by_first_row(hierarchical(blob_features(spark, sf_dir, "part", "p_partkey"), 4).labels)
 
 
+@query(f"WITH {blob_sql('orders', 'o_orderkey')} {BLOB_LABELS}")
+def divisive_blobs(spark, sf_dir):
+    return named_by_first_row(divisive(blob_features(spark, sf_dir, "orders", "o_orderkey"), 4).labels)
+
+
 @query(f"WITH {blob_sql('part', 'p_partkey')} SELECT linkage, row_id, cluster::BIGINT AS cluster FROM named, (VALUES ('average'), ('complete'), ('single')) l(linkage)")
 def linkage_blobs(spark, sf_dir):
     ff = blob_features(spark, sf_dir, "part", "p_partkey")

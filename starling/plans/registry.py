@@ -28,6 +28,7 @@ ALGORITHMS: dict[str, tuple[Parameter, ...]] = {
         Parameter("n_clusters", int, 3, 2, 100),
         Parameter("linkage", str, "ward", choices=("ward", "average", "complete", "single")),
     ),
+    "divisive": (Parameter("n_clusters", int, 3, 2, 100),),
     "spectral": (_CLUSTERS, Parameter("gamma", float, 1.0, 0.1, 10.0)),
     "deep_embedding": (_CLUSTERS, Parameter("latent_dim", int, 10, 2, 100), Parameter("alpha", float, 1.0, 0.1, 10.0)),
     "hdbscan": (Parameter("min_cluster_size", int, 5, 2, 100), Parameter("min_samples", int, None, 1, 50)),

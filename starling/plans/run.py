@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starling.operators.dbscan import dbscan
+from starling.operators.divisive import divisive
 from starling.operators.evaluate import calculate_metrics
 from starling.operators.hdbscan import hdbscan
 from starling.operators.hierarchical import hierarchical
@@ -145,6 +146,11 @@ def _hierarchical(ff, n_clusters=3, **options):
     return fit.labels, None, {"summaries": fit.summaries} if fit.summaries else {}
 
 
+def _divisive(ff, n_clusters=3):
+    fit = divisive(ff, n_clusters)
+    return fit.labels, fit.nodes.where("cluster IS NOT NULL").select("cluster", "center"), {}
+
+
 def _spectral(ff, n_clusters, gamma=1.0, **options):
     fit = spectral(ff, n_clusters, gamma=gamma, **options)
     return fit.labels, None, {"gamma": gamma, "landmarks": fit.landmarks, "exact": fit.exact}
@@ -165,6 +171,7 @@ _ALGORITHMS: dict[str, Callable[..., tuple[DataFrame, DataFrame | None, dict[str
     "kmeans": _kmeans,
     "dbscan": _dbscan,
     "hierarchical": _hierarchical,
+    "divisive": _divisive,
     "spectral": _spectral,
     "hdbscan": _hdbscan,
     "deep_embedding": _deep_embedding,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starling.functions import blocks
-from starling.operators import components, condense, dbscan, evaluate, hdbscan, hierarchical, kmeans, linkage, soft, spectral
+from starling.operators import components, condense, dbscan, divisive, evaluate, hdbscan, hierarchical, kmeans, linkage, soft, spectral
 from starling.plans import queries
 from tests.conftest import frame_of, labels_of, matrix_of
 from tests.plain_condense import plain_condense
@@ -299,6 +299,49 @@ def test_average_linkage_beyond_one_place(golden_ff, monkeypatch):
     assert (labels_of(hierarchical.hierarchical(golden_ff, 5, "average").labels) == expected).all()
 
 
+def plain_split(x):
+    """Two-means of a set from a deviation before and behind the mean of the widest dimension."""
+    j = np.flatnonzero(x.var(axis=0) >= x.var(axis=0).max() * (1 - 1e-9))[0]
+    step = np.eye(x.shape[1])[j] * x[:, j].std()
+    centers = np.stack([x.mean(0) - step, x.mean(0) + step])
+    while True:
+        side = ((x - centers[1]) ** 2).sum(1) < ((x - centers[0]) ** 2).sum(1)
+        means = np.stack([x[~side].mean(0), x[side].mean(0)])
+        if ((means - centers) ** 2).sum() <= 1e-4 * x.var(axis=0).sum():
+            return side
+        centers = means
+
+
+def test_divisive_against_plain_splits(spark, golden_ff):
+    x = matrix_of(golden_ff)
+    leaves = [np.arange(len(x))]
+    while len(leaves) < 6:
+        order = sorted(range(len(leaves)), key=lambda i: -len(leaves[i]))[: 6 - len(leaves)]
+        sides = {i: plain_split(x[leaves[i]]) for i in order}
+        leaves = [part for i, leaf in enumerate(leaves) for part in ((leaf[~sides[i]], leaf[sides[i]]) if i in sides else (leaf,))]
+    want = np.empty(len(x), int)
+    for c, leaf in enumerate(sorted(leaves, key=min)):
+        want[leaf] = c
+    fit = divisive.divisive(golden_ff, 6)
+    assert (labels_of(fit.labels) == want).all() and fit.n_clusters == 6
+    nodes = {r["node"]: r for r in fit.nodes.collect()}
+    assert len(nodes) == 11 and nodes[0]["parent"] is None and nodes[0]["rows"] == 300
+    for node, row in nodes.items():
+        below = [r for r in nodes.values() if r["parent"] == node]
+        assert (row["cluster"] is None) == (len(below) == 2) and (not below or sum(r["rows"] for r in below) == row["rows"])
+        if not below:
+            own = x[want == row["cluster"]]
+            assert np.allclose(row["center"], own.mean(0)) and np.isclose(row["cost"], ((own - own.mean(0)) ** 2).sum())
+
+
+def test_divisive_of_few_points(spark):
+    fit = divisive.divisive(frame_of(spark, [[0.1, 2.0]] * 5 + [[7.3, 2.0]] * 2), 5)
+    assert labels_of(fit.labels).tolist() == [0] * 5 + [1] * 2 and fit.n_clusters == 2
+    assert labels_of(divisive.divisive(frame_of(spark, [[3.0]]), 2).labels).tolist() == [0]
+    with pytest.raises(ValueError):
+        divisive.divisive(frame_of(spark, [[3.0]]).limit(0), 2)
+
+
 def test_linkages_of_few_points(spark):
     for kind in ("average", "complete", "single"):
         assert labels_of(hierarchical.hierarchical(frame_of(spark, [[1.0]] * 3), 2, kind).labels).tolist() == [0, 0, 0]
