@@ -17,7 +17,7 @@ from starling.operators.evaluate import calculate_metrics
 from starling.operators.hdbscan import hdbscan
 from starling.operators.hierarchical import hierarchical
 from starling.operators.kmeans import elbow, kmeans
-from starling.operators.prepare import impute, missing_as_null, numeric_columns, require_complete, to_features
+from starling.operators.prepare import impute, missing_as_null, numeric_columns, require_complete, to_features, width
 from starling.operators.reduce import reduce_if_wide
 from starling.operators.scale import Scaler, fit_scaler
 from starling.operators.soft import deep_embedding
@@ -114,9 +114,12 @@ def run(
             result.details["pca"] = pca
         if store:
             numbers = {k: v for k, v in metrics.items() if isinstance(v, (int, float))}
+            kept = centers
+            if centers is not None and pca is None:  # principal components have no units of the input
+                kept = CenterModel(scaler, centers).centers_raw().withColumnRenamed("center_scaled", "center")
             result.results_id = store.save_results(
-                labelled, algorithm=algorithm, experiment_id=experiment_id, centers=centers, metrics=numbers,
-                parameters=parameters, n_features=len(names),
+                labelled, algorithm=algorithm, experiment_id=experiment_id, centers=kept, metrics=numbers, parameters=parameters,
+                n_features=len(names), data_shape=(labelled.count(), len(df.columns)), processed_columns=width(labelled),
             )
             store.complete_experiment(experiment_id, result.results_id, numbers)
         return result

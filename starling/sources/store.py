@@ -27,7 +27,8 @@ EXPERIMENTS = (
 DATASETS = "id string, name string, path string, n_rows long, columns array<string>, metadata map<string,string>, recorded_at timestamp"
 RESULTS = (
     "id string, experiment_id string, algorithm string, n_clusters long, n_noise long, parameters map<string,string>, "
-    "metrics map<string,double>, n_rows long, n_features int, has_centers boolean, recorded_at timestamp"
+    "metrics map<string,double>, n_rows long, n_features int, has_centers boolean, recorded_at timestamp, "
+    "data_rows long, data_columns int, processed_columns int"
 )
 MODELS = (
     "id string, name string, algorithm string, version string, status string, metrics map<string,double>, "
@@ -113,9 +114,13 @@ class Store:
     def save_results(
         self, labels: DataFrame, *, algorithm: str, experiment_id: str, centers: DataFrame | None = None,
         metrics: Mapping[str, Any] | None = None, parameters: Mapping[str, Any] | None = None, n_features: int | None = None,
+        data_shape: tuple[int, int] | None = None, processed_columns: int | None = None,
     ) -> str:
         """Write assignments (and centres) under a new id, then the result's row.
 
+        ``data_shape`` holds the input's rows and columns, ``processed_columns``
+        the features that were clustered, of as many rows as have a label.
+
         The row comes last, so a reader never finds a result half written.
         """
         results_id = str(uuid.uuid4())
@@ -127,7 +132,8 @@ class Store:
             "id": results_id, "experiment_id": experiment_id, "algorithm": algorithm,
             "n_clusters": metrics.get("n_clusters"), "n_noise": metrics.get("n_noise"), "parameters": _texts(parameters),
             "metrics": _numbers(metrics), "n_rows": metrics.get("n_samples"), "n_features": n_features,
-            "has_centers": centers is not None, "recorded_at": _now(),
+            "has_centers": centers is not None, "recorded_at": _now(), "processed_columns": processed_columns,
+            "data_rows": data_shape[0] if data_shape else None, "data_columns": data_shape[1] if data_shape else None,
         })
         return results_id
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,10 @@ def test_run_stores_results_and_predicts(spark, store, golden, tmp_path):
     assert store.results_summary(result.results_id).first()["n_features"] == 5
     assert store.get_experiment(result.experiment_id)["results_id"] == result.results_id
     assert store.load_results("missing") is None
+    assert (saved["data_rows"], saved["processed_columns"]) == (300, 5) and saved["data_columns"] >= 5
+    for r in saved["centers"].collect():
+        back = [c * s + m for c, s, m in zip(r["center"], result.scaler.divisors, result.scaler.centers)]
+        assert np.allclose(r["center_raw"], back)
     store.export_results(result.results_id, golden, "row_id", str(tmp_path / "out.csv"))
     out = read_table(spark, str(tmp_path / "out.csv"))
     assert out.columns == [*golden.columns, "cluster"] and out.count() == 300
