@@ -32,7 +32,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -362,6 +362,18 @@ def _mark_lists(window: int):
     return lists
 
 
+def _with_first(rows: DataFrame, group: list[str], place: str) -> DataFrame:
+    """Add ``repeated`` (the group has other rows) and ``later`` (it has a row with an earlier key and place).
+
+    Groups are folded before they are shuffled, and the join has one row per
+    group on its other side, so a group with a third of all rows can be split.
+    """
+    at = F.struct("key", place)
+    folded = rows.groupBy(*group).agg(F.count("*").alias("n"), F.min(at).alias("first")).where(F.col("n") > 1).drop("n")
+    joined = rows.join(folded, group, "left")
+    return joined.withColumn("repeated", F.col("first").isNotNull()).withColumn("later", F.coalesce(at > F.col("first"), F.lit(False)))
+
+
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """``(key, starts, stops)``: the word spans to cut from each document.
 
@@ -374,10 +386,10 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
                 yield from _name_rows(chunk)
 
     names = docs.select("key", "text").mapInArrow(name_batches, "name long, check int, key long, pos int, size int, more array<struct<key:long,pos:int>>")
-    alike = Window.partitionBy("name", "check", "block")
-    names = names.withColumn("block", F.signum("size")).withColumn("n", F.count("*").over(alike)).withColumn("r", F.rank().over(alike.orderBy("key", "pos")))
-    shared = (F.col("size") == 0) & ((F.col("n") > 1) | F.col("more").isNotNull())
-    settled = (F.col("size") < 0) | ((F.col("size") > 0) & (F.col("r") > 1))
+    names = cut_lineage(names.withColumn("block", F.signum("size").cast("int")))
+    names = _with_first(names, ["name", "check", "block"], "pos")
+    shared = (F.col("size") == 0) & (F.col("repeated") | F.col("more").isNotNull())
+    settled = (F.col("size") < 0) | ((F.col("size") > 0) & F.col("later"))
     places = F.concat(F.array(F.struct("key", "pos")), F.coalesce("more", F.array().cast("array<struct<key:long,pos:int>>")))
     found = names.where(shared | settled).select(F.explode(places).alias("p"), F.abs("size").alias("size")).select("p.key", "p.pos", "size")
     marks = cut_lineage(found.repartition("key").sortWithinPartitions("key").mapInArrow(_per_key(_mark_lists(window)), "key long, marks binary, starts array<int>, stops array<int>"))
@@ -391,8 +403,8 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
 
     marked = docs.select("key", "text").join(measured(marks.where(F.length("marks") > 0), size), "key").select("key", "text", "marks", "starts", "stops")
     windows = marked.mapInArrow(window_batches, "h1 long, h2 int, key long, start int, stop int")
-    order = Window.partitionBy("h1", "h2", F.col("stop") > 0).orderBy("key", "start")
-    later = windows.withColumn("r", F.rank().over(order)).where((F.col("r") > 1) | (F.col("stop") > 0))
+    windows = cut_lineage(windows.withColumn("block", F.col("stop") > 0))
+    later = _with_first(windows, ["h1", "h2", "block"], "start").where(F.col("later") | F.col("block"))
     spans = later.select("key", "start", F.when(F.col("stop") > 0, F.col("stop")).otherwise(F.col("start") + window).alias("stop"))
     long_spans = marks.select("key", F.explode(F.arrays_zip("starts", "stops")).alias("s")).select("key", F.col("s.starts").alias("start"), (F.col("s.stops") + window - 1).alias("stop"))
     merged = spans.unionByName(long_spans).repartition("key").sortWithinPartitions("key")
