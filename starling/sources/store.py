@@ -1,8 +1,9 @@
 """Datasets, results, experiments and models kept as Parquet tables.
 
-Tables only grow: a change is a new row, and the current state of an id is its
-latest row, found with an aggregate. Bulk data is written per id, so reading
-one result touches that result's files only.
+Tables only grow: a change is a new row in a log of numbered commits
+(:mod:`starling.sources.log`), and the current state of an id is its row of the
+highest version, found with an aggregate. Bulk data is written per id, so
+reading one result touches that result's files only.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from starling.operators.kmeans import assign
 from starling.operators.prepare import to_features
 from starling.operators.scale import Scaler
+from starling.sources.log import VERSION, EventLog
 
 EXPERIMENTS = (
     "id string, algorithm string, filepath string, parameters map<string,string>, started_at timestamp, "
@@ -75,15 +77,13 @@ class Store:
     # -- plumbing
 
     def _append(self, table: str, schema: str, row: dict[str, Any]) -> None:
-        names = [part.strip().split(" ")[0] for part in _columns(schema)]
-        frame = self.spark.createDataFrame([tuple(row.get(n) for n in names)], schema)
-        frame.coalesce(1).write.mode("append").parquet(f"{self.base}/{table}")
+        log = EventLog(self.spark, f"{self.base}/{table}", schema)
+        log.append(self.spark.createDataFrame([tuple(row.get(n) for n in log.schema.names)], log.schema))
 
-    def _table(self, table: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.base}/{table}")
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+    def _latest(self, table: str, schema: str) -> DataFrame:
+        """The row of the highest version per id, in the table's own columns."""
+        log = EventLog(self.spark, f"{self.base}/{table}", schema)
+        return latest(log.read(), order=(VERSION,)).select(*log.schema.names)
 
     # -- datasets
 
@@ -99,7 +99,7 @@ class Store:
         return dataset_id
 
     def list_datasets(self) -> DataFrame:
-        return latest(self._table("datasets", DATASETS))
+        return self._latest("datasets", DATASETS)
 
     def get_dataset(self, dataset_id: str) -> dict[str, Any] | None:
         row = self.list_datasets().where(F.col("id") == dataset_id).first()
@@ -138,7 +138,7 @@ class Store:
         return results_id
 
     def list_results(self) -> DataFrame:
-        return latest(self._table("results", RESULTS))
+        return self._latest("results", RESULTS)
 
     def load_results(self, results_id: str) -> dict[str, Any] | None:
         """Summary fields plus ``assignments`` and ``centers`` frames; None if absent."""
@@ -188,7 +188,7 @@ class Store:
         self._append("experiments", EXPERIMENTS, {**row, "completed_at": _now(), "recorded_at": _now(), **changes})
 
     def list_experiments(self) -> DataFrame:
-        return latest(self._table("experiments", EXPERIMENTS))
+        return self._latest("experiments", EXPERIMENTS)
 
     def get_experiment(self, experiment_id: str) -> dict[str, Any] | None:
         row = self.list_experiments().where(F.col("id") == experiment_id).first()
@@ -208,7 +208,7 @@ class Store:
         return model_id
 
     def list_models(self) -> DataFrame:
-        return live_models(self._table("models", MODELS))
+        return self._latest("models", MODELS).where(F.col("status") != DELETED)
 
     def get_model_metadata(self, model_id: str) -> dict[str, Any] | None:
         row = self.list_models().where(F.col("id") == model_id).first()
@@ -235,19 +235,6 @@ class Store:
         return CenterModel(Scaler.from_frame(scaler), centers)
 
 
-def _columns(schema: str) -> list[str]:
-    """Split a DDL string at its top-level commas."""
-    parts, depth, current = [], 0, ""
-    for ch in schema:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            parts.append(current)
-            current = ""
-        else:
-            current += ch
-    return [*parts, current]
-
-
 class CenterModel:
     """A fitted scaler with cluster centres: labels new rows."""
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from starling.operators.kmeans import assign
 from starling.operators.moments import group_moments
+from starling.sources.log import Folder
 from starling.sources.store import CenterModel
 
 STATE_SCHEMA = "cluster int, center array<double>, n long"
@@ -36,12 +36,17 @@ class StreamingCenters:
 
     The state is k rows. Version b is computed from the newest version before
     b and written under b's own path, so a replayed batch writes the same
-    thing again and counts nothing twice.
+    thing again and counts nothing twice. The newest ``keep`` versions stay;
+    which there are is read from the folder's names, not from the files.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, keep: int = 10):
+        if keep < 2:
+            raise ValueError("keep at least two versions: a batch may be replayed")
         self.spark = spark
         self.path = path.rstrip("/")
+        self.keep = keep
+        self._folder = Folder(spark, self.path)
 
     def start(self, centers: DataFrame) -> None:
         """Version -1: the given centres with no rows seen."""
@@ -51,19 +56,23 @@ class StreamingCenters:
     def _version(self, batch: int) -> str:
         return f"{self.path}/batch={batch}"
 
+    def versions(self) -> list[int]:
+        """The stored versions, a half written one left out."""
+        named = [int(n.removeprefix("batch=")) for n in self._folder.names() if n.startswith("batch=")]
+        return sorted(v for v in named if any(n.endswith(".parquet") for n in Folder(self.spark, self._version(v)).names()))
+
     def before(self, batch: int) -> DataFrame:
-        for version in range(batch - 1, -2, -1):
-            try:
-                return self.spark.read.schema(STATE_SCHEMA).parquet(self._version(version))
-            except AnalysisException:
-                continue
-        raise ValueError(f"no centres stored below {self.path}")
+        """The newest version before ``batch``."""
+        return self._newest([v for v in self.versions() if v < batch])
 
     def latest(self) -> DataFrame:
         """The newest version."""
-        versions = self.spark.read.schema(f"{STATE_SCHEMA}, batch long").option("basePath", self.path).parquet(f"{self.path}/batch=*")
-        last = versions.agg(F.max("batch")).first()[0]
-        return self.spark.read.schema(STATE_SCHEMA).parquet(self._version(last))
+        return self._newest(self.versions())
+
+    def _newest(self, versions: list[int]) -> DataFrame:
+        if not versions:
+            raise ValueError(f"no centres stored below {self.path}")
+        return self.spark.read.schema(STATE_SCHEMA).parquet(self._version(versions[-1]))
 
     def update(self, features: DataFrame, batch: int) -> None:
         """Move each centre to the running mean of all rows it has taken."""
@@ -78,6 +87,8 @@ class StreamingCenters:
             (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"),
         )
         merged.coalesce(1).write.mode("overwrite").parquet(self._version(batch))
+        for old in self.versions()[: -self.keep]:
+            self._folder.delete(f"batch={old}")
 
     @staticmethod
     def _dims(state: DataFrame) -> int:
