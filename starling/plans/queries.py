@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from starling.plans import sql as S
 from starling.plans.run import run, run_batch
 from starling.session import cut_lineage, scratch_path
 from starling.sources import generate
+from starling.sources.log import EventLog
 from starling.sources.store import CenterModel, Store, latest, live_models, write_labelled
 from starling.sources.tables import list_files, read_table
 from starling.streaming.scoring import minibatch_kmeans_stream, score_stream, write_stream
@@ -235,6 +237,18 @@ def model_registry(spark, sf_dir):
     return live_models(event_ledger(spark, sf_dir), order=("ts", "event_id")).select("id", "event_id", "status")
 
 
+@query(f"WITH {LEDGER_SQL} SELECT id, event_id, status FROM last WHERE status <> 'deleted'")
+def ledger_log(spark, sf_dir):
+    """The registry from a log that two writers fill at once, three days of events a commit, compacted on the way."""
+    events = event_ledger(spark, sf_dir)
+    log = EventLog(spark, scratch_path(spark, "ledger"), "id long, event_id long, ts timestamp_ntz, status string", every=4)
+    span = F.floor(F.dayofyear("ts") / 3)
+    parts = sorted(r[0] for r in events.select(span).distinct().collect())  # at most 123
+    with ThreadPoolExecutor(2) as writers:
+        list(writers.map(lambda part: log.append(events.where(span.eqNullSafe(part))), parts))
+    return live_models(log.read(), order=("ts", "event_id")).select("id", "event_id", "status")
+
+
 @query(f"""WITH {S.PART}, {S.LABELLED}, c AS (SELECT cluster, avg(f0) AS f0, avg(f1) AS f1 FROM lab GROUP BY cluster), {S.nearest('c', 'a', 2)}
 SELECT row_id, best.c AS cluster, {S.r('sqrt(best.d)')} AS distance FROM a""")
 def model_save_predict(spark, sf_dir):
@@ -524,6 +538,17 @@ def pca_embeddings(spark, sf_dir):
     return cells(reduced)
 
 
+@query(f"""WITH RECURSIVE {S.FIRST_AXIS} SELECT e.vec_id AS row_id,
+{S.r('abs(list_dot_product(list_transform(range(64), lambda i: e.embedding[i + 1]::DOUBLE - m.mean[i + 1]), axis.v))', 4)} AS size,
+{S.r('axis.ratio', 6)} AS ratio FROM embeddings e, m, axis""")
+def pca_first_axis(spark, sf_dir):
+    """How far each embedding lies along the first component, found without a covariance matrix."""
+    ff = embedding_features(spark, sf_dir)
+    model = reduce.fit_pca_range(ff, 1, oversample=11)
+    ratio = rnd(F.lit(float(model.explained_variance_ratio[0]))).alias("ratio")
+    return model.project(ff).select("row_id", rnd(F.abs(F.col("features")[0]), 4).alias("size"), ratio)
+
+
 @query(f"""WITH {S.EMBEDDING_CELLS} SELECT row_id, {S.r('avg(value)')} AS mean, {S.r('stddev_pop(value)')} AS std, {S.r('min(value)')} AS min,
 {S.r('max(value)')} AS max, {S.r('median(value)')} AS median FROM cells GROUP BY row_id""")
 def row_summary(spark, sf_dir):

@@ -37,6 +37,23 @@ EMBEDDING_CELLS = (
     "cells AS MATERIALIZED (SELECT vec_id AS row_id, label, generate_subscripts(embedding, 1) - 1 AS position, "
     "unnest(embedding)::DOUBLE AS value FROM embeddings)"
 )
+# The first component of the 64 coordinates: the covariance squared sixteen times over, scaled by its trace each
+# time, is the axis times itself. Matrices are lists of 4096 numbers, row by row.
+FIRST_AXIS = f"""{EMBEDDING_CELLS},
+mu AS (SELECT position, avg(value) AS mean FROM cells GROUP BY 1), m AS (SELECT list(mean ORDER BY position) AS mean FROM mu),
+d AS MATERIALIZED (SELECT row_id, position, value - mean AS x FROM cells JOIN mu USING (position)),
+cov AS MATERIALIZED (SELECT a.position AS i, b.position AS j, sum(a.x * b.x) AS c FROM d a JOIN d b USING (row_id) GROUP BY 1, 2),
+first AS (SELECT list(c ORDER BY i, j) AS c, sum(c) FILTER (i = j) AS t FROM cov),
+power(step, p) AS (SELECT 0, list_transform(c, lambda x: x / t) FROM first UNION ALL
+  SELECT step + 1, list_transform(q, lambda x: x / list_sum(list_transform(range(64), lambda i: q[i * 65 + 1])))
+  FROM (SELECT step, list_transform(range(4096), lambda k: list_dot_product(
+    p[(k // 64) * 64 + 1:(k // 64) * 64 + 64], p[(k % 64) * 64 + 1:(k % 64) * 64 + 64])) AS q FROM power WHERE step < 16)),
+last AS (SELECT p, list_position(diag, list_max(diag)) - 1 AS top FROM
+  (SELECT p, list_transform(range(64), lambda i: p[i * 65 + 1]) AS diag FROM power WHERE step = 16)),
+axis AS (SELECT list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS v,
+  list_dot_product(raw, list_transform(range(64), lambda i: list_dot_product(raw, c[i * 64 + 1:i * 64 + 64])))
+  / list_dot_product(raw, raw) / t AS ratio
+  FROM (SELECT p[top * 64 + 1:top * 64 + 64] AS raw FROM last), first)"""
 EMBEDDING_CENTERS = "centers AS MATERIALIZED (SELECT label AS cluster, position, avg(value) AS value FROM cells GROUP BY ALL)"
 EMBEDDING_GAPS = (
     "gaps AS MATERIALIZED (SELECT row_id, cluster, sum((x.value - c.value) * (x.value - c.value)) AS d2 "

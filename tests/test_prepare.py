@@ -199,3 +199,35 @@ def test_columns_without_values_are_refused(spark):
     for scale in ("standard", "robust", "minmax", None):
         with pytest.raises(ValueError, match="empty"):
             run(df, "kmeans", id_col="id", scale=scale, n_clusters=2)
+
+
+def test_components_without_a_covariance_matrix(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 90)) * np.linspace(3, 0.1, 90) + 7.0
+    ff = frame_of(spark, x).repartition(5)
+    # 4 + 5 directions: their three blocks do not span the 90 columns, so several rounds are needed.
+    model, plain = reduce.fit_pca_range(ff, 4, oversample=5), reduce.fit_pca(ff, 4)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.abs(np.abs(model.components @ vectors[:, ::-1][:, :4]) - np.eye(4)).max() < 1e-6
+    assert np.allclose(model.components, plain.components, atol=1e-6)
+    assert np.allclose(model.explained_variance_ratio, values[::-1][:4] / values.sum(), atol=1e-9)
+    few = reduce.fit_pca_range(ff, 90)
+    assert np.allclose(few.components @ few.components.T, np.eye(90), atol=1e-8)
+
+
+def test_components_of_fewer_rows_than_directions(spark, monkeypatch):
+    x = np.random.default_rng(6).normal(size=(6, 80))
+    x[3] = x[2]
+    ff = frame_of(spark, x)
+    model = reduce.fit_pca_range(ff, 3, oversample=4)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.abs(np.abs(model.components @ vectors[:, ::-1][:, :3]) - np.eye(3)).max() < 1e-6
+    same = reduce.fit_pca_range(frame_of(spark, np.ones((4, 80))), 2, oversample=2)
+    assert np.all(same.explained_variance_ratio == 0)
+    with pytest.raises(ValueError, match="two rows"):
+        reduce.fit_pca_range(frame_of(spark, x[:1]), 2)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        reduce.fit_pca_range(frame_of(spark, np.random.default_rng(7).normal(size=(200, 80))), 2, oversample=1, max_rounds=1)
+    monkeypatch.setattr(reduce, "DENSE_COLUMNS", 10)
+    reduced, chosen = reduce.reduce_if_wide(ff, 3)
+    assert matrix_of(reduced).shape == (6, 3) and np.allclose(chosen.components, model.components, atol=1e-6)
