@@ -17,8 +17,8 @@ from starling.functions.vectors import squared_distance_dims
 from starling.operators.moments import UNROLL, group_moments
 from starling.operators.prepare import width, with_width
 
-# Up to this many features the covariance is one matrix on the driver (128 MB).
-DENSE_COLUMNS = 4096
+# Up to this many features the covariance is one matrix on the driver (2 GB).
+DENSE_COLUMNS = 16384
 # Rows of the covariance's product that are summed as one value.
 STRIP = 1024
 _PIECE = 256
