@@ -51,16 +51,17 @@ def row_summary(values: Column) -> list[Column]:
     """mean, std (population), min, max and interpolated median of an array row."""
     n = F.size(values)
     mean = array_sum(values) / n
-    variance = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / n
-    ordered = F.array_sort(values)
-    low = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(ordered, F.floor(n / 2 + 1).cast("int"))
+    # Computed once per row: inside a lambda an expression is evaluated for every element.
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+    variance = once(mean, lambda m: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m))) / n
+    low, high = F.floor((n + 1) / 2).cast("int"), F.floor(n / 2 + 1).cast("int")
+    middle = once(F.array_sort(values), lambda o: (F.element_at(o, low) + F.element_at(o, high)) / 2)
     return [
         mean.alias("mean"),
         F.sqrt(variance).alias("std"),
         F.array_min(values).alias("min"),
         F.array_max(values).alias("max"),
-        ((low + high) / 2).alias("median"),
+        middle.alias("median"),
     ]
 
 

@@ -26,7 +26,10 @@ CENTER_BOX = 10.0
 
 
 def _ids(spark: SparkSession, ids: DataFrame | int) -> DataFrame:
-    return spark.range(ids).select(F.col("id").alias("row_id")) if isinstance(ids, int) else ids.select("row_id")
+    if isinstance(ids, int):
+        return spark.range(ids).select(F.col("id").alias("row_id"))
+    # Ids are few bytes and would stay in few tasks, while a row takes many hashes.
+    return ids.select("row_id").repartition(2 * spark.sparkContext.defaultParallelism)
 
 
 def _positions(n: int) -> Column:
@@ -136,9 +139,9 @@ def gen_timeseries(spark: SparkSession, ids: DataFrame | int, steps: int = 50, s
     frame = _ids(spark, ids).withColumn("true_label", _label(4, seed))
     frame = frame.withColumn("_noise", F.transform(_positions(steps), lambda j: hash_normal(seed, key, j)))
     at = lambda t, stop: t * F.lit(stop / (steps - 1))
-    walk = F.transform(
-        _positions(steps),
-        lambda t: F.aggregate(F.slice("_noise", 1, t + 1), F.lit(0.0), lambda acc, x: acc + x * 0.1),
+    walk = F.aggregate(
+        F.slice("_noise", 2, steps), F.array(F.lit(0.0) + F.col("_noise")[0] * 0.1),
+        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x * 0.1)),
     )
     label = F.col("true_label")
     series = (

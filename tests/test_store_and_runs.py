@@ -174,6 +174,14 @@ def test_generators_do_not_depend_on_partitioning(spark):
     assert wide.columns == ["row_id", "true_label", *[f"feature_{j}" for j in range(10)]]
 
 
+def test_generators_deal_few_partitions_over_the_cores(spark):
+    ids = spark.range(50).withColumnRenamed("id", "row_id").repartition(1)
+    frame = generate.gen_timeseries(spark, ids)
+    assert frame.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    walk = next(r for r in frame.collect() if r["true_label"] == 3)["series"]
+    assert len(walk) == 50 and len({round(b - a, 12) for a, b in zip(walk, walk[1:])}) > 40
+
+
 def test_scratch_can_be_released(spark):
     path = scratch_path(spark, "gone")
     spark.range(3).write.parquet(path)
