@@ -1,11 +1,11 @@
-"""Benchmark decontamination by winnowing, in DataFrame operations only.
+"""Benchmark decontamination by k-grams, in DataFrame operations only.
 
-Both sides hash their k-grams and keep the smallest hash of every window of
-``span - k + 1`` k-grams, so any shared run of ``span`` words leaves a shared
+Documents hash the k-grams at every ``span - k + 1``-th place, the benchmark those at
+every place of its windows, so any shared run of ``span`` words leaves a shared
 fingerprint. Fingerprints are joined; in documents with a hit, the words around
 each hit are extended to whole windows and compared word by word with the
 benchmark's windows. Benchmark items shorter than ``span`` words are one window
-of their own length, with winnowing parameters of their own.
+of their own length, with a step of their own.
 """
 
 from __future__ import annotations
@@ -32,25 +32,30 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _upto(last: Column) -> Column:
-    """0 .. last, empty if last is negative."""
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+def _gram(words: Column, length: int, at: Column) -> Column:
+    """Hash of the k-gram at a place, for windows of ``length`` words."""
+    return F.xxhash64(F.lit(length), F.slice(words, at + 1, min(GRAM, length)))
 
 
-def _grams(words: Column, length: int) -> Column:
-    """Hash of the k-gram at every place, for windows of ``length`` words."""
-    k = min(GRAM, length)
-    return F.transform(_upto(F.size(words) - k), lambda i: F.xxhash64(F.lit(length), F.slice(words, i + 1, k)))
+def _places(words: Column, length: int, step: int = 1) -> Column:
+    """Every ``step``-th place that holds a k-gram."""
+    last = F.size(words) - min(GRAM, length)
+    return F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
-def _fingerprints(words: Column, length: int) -> Column:
-    """Distinct smallest k-gram hashes over all windows of ``length`` words."""
-    width = length - min(GRAM, length) + 1
+def _step(length: int) -> int:
+    """Of so many places in a row, all within a window of ``length`` words, one is a multiple of this."""
+    return length - min(GRAM, length) + 1
+
 
-    def least(grams: Column) -> Column:
-        return F.transform(_upto(F.size(grams) - width), lambda j: F.array_min(F.slice(grams, j + 1, width)))
+def _marks(words: Column, length: int) -> Column:
+    """Distinct k-gram hashes of all places: those a benchmark window may be met by."""
+    return F.array_distinct(F.transform(_places(words, length), lambda i: _gram(words, length, i)))
 
-    return F.array_distinct(_let(_grams(words, length), least))
+
+def _fingerprints(words: Column, length: int) -> Column:
+    """Distinct k-gram hashes of the places that are multiples of the step: every window holds one."""
+    return F.array_distinct(F.transform(_places(words, length, _step(length)), lambda i: _gram(words, length, i)))
 
 
 def _windows(words: Column, length: int, at: Column) -> Column:
@@ -107,7 +112,7 @@ def contamination(
 
 def _hits(keyed: DataFrame, targets: DataFrame, lengths: list[int]) -> DataFrame:
     """Occurrences ``(key_id, key_hash, start, length, item_id)`` of the target windows."""
-    parts = [targets.where(F.col("length") == n).select(F.explode(_fingerprints(F.split("window", " "), n)).alias("print")) for n in lengths]
+    parts = [targets.where(F.col("length") == n).select(F.explode(_marks(F.split("window", " "), n)).alias("print")) for n in lengths]
     marks = parts[0]
     for part in parts[1:]:
         marks = marks.unionByName(part)
@@ -121,8 +126,8 @@ def _hits(keyed: DataFrame, targets: DataFrame, lengths: list[int]) -> DataFrame
     def starts(n: int) -> Column:
         """Starts of the windows that hold a hit k-gram."""
         reach, last = n - min(GRAM, n), F.size("words") - n
-        hit = lambda grams: F.filter(_upto(F.size(grams) - 1), lambda i: F.array_contains(F.col("prints"), grams[i]))
-        around = F.transform(_let(_grams(F.col("words"), n), hit), lambda p: F.sequence(F.greatest(p - reach, F.lit(0)), p))
+        hit = F.filter(_places(F.col("words"), n, _step(n)), lambda i: F.array_contains("prints", _gram(F.col("words"), n, i)))
+        around = F.transform(hit, lambda p: F.sequence(F.greatest(p - reach, F.lit(0)), p))
         return F.filter(F.array_distinct(F.flatten(around)), lambda s: s <= last)
 
     windows = F.concat(*(_windows(F.col("words"), n, starts(n)) for n in lengths))
