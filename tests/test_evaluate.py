@@ -120,3 +120,17 @@ def test_elbow_scores(golden_ff):
     rows = evaluate.elbow_scores(golden_ff, [2, 3], n_init=3).orderBy("k").collect()
     assert [r["k"] for r in rows] == [2, 3] and rows[0]["inertia"] > rows[1]["inertia"]
     assert rows[1]["silhouette"] == pytest.approx(0.4533, abs=3e-4)
+
+
+def test_labellings_share_distances_and_one_sum_leaves_a_block(spark, golden_ff, monkeypatch):
+    def refused(*_):
+        raise AssertionError("pairs of small blocks are shuffled")
+
+    monkeypatch.setattr(evaluate, "large_blocks", lambda rows, width: 40)
+    monkeypatch.setattr(evaluate, "TILE", (16, 32))
+    twice = golden_ff.unionByName(golden_ff.withColumn("row_id", F.col("row_id") + 1000).where("row_id < 1050"))
+    fits = {k: points for k, (_, points, _) in evaluate.fit_each_k(twice, [2, 3, 5], n_init=2).items()}
+    expected = [evaluate.silhouette(evaluate.assign(twice, evaluate.centers_frame(spark, points))) for points in fits.values()]
+    monkeypatch.setattr(evaluate, "block_pairs", refused)
+    rows = evaluate.elbow_scores(twice, [2, 3, 5], n_init=2).orderBy("k").collect()
+    assert [r["silhouette"] for r in rows] == pytest.approx(expected, abs=1e-12)
