@@ -1,13 +1,15 @@
 """Spectral clustering with an RBF affinity: exact for any number of rows, or through landmark rows.
 
 The affinity of many points is never held: products with it come from pairs of
-bounded blocks on the executors, and a block Davidson iteration (residuals of
+bounded blocks on the executors, or in one or two columns from boxes that stand
+for their points to rounding error, and a block Davidson iteration (residuals of
 the leading Ritz vectors widen a basis that is a column of the point table)
 needs only inner products of the basis in one place.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +27,11 @@ from starling.session import cut_lineage
 MAX_LANDMARKS = 2000
 # Vectors sought besides the wanted ones, blocks of vectors in the widest basis, and products with the affinity at most.
 EXTRA, BASIS_BLOCKS, MAX_PRODUCTS = 4, 8, 300
+# Points of at most two columns meet through boxes of side 1 / sqrt(gamma), if so few hold them all: in such a box 16
+# Chebyshev nodes a column carry the Gaussian with an error below 1e-12 of its largest value.
+MAX_BOXES, NODES, BOXED_DIMS, BOXED_ROWS = 400, 16, 2, 4096
+# Up to this many points all pairs meet, which is as fast.
+BOXED_FROM = 50_000
 # Largest norm of S v - value v for a unit vector v; the largest eigenvalue is 1.
 RESIDUAL = 1e-6
 
@@ -41,7 +48,8 @@ def spectral(ff: DataFrame, k: int = 8, gamma: float = 1.0, landmarks: int | Non
     """k-means on the leading eigenvectors of the normalised affinity.
 
     The eigenvectors are those of all distinct points; above ``MAX_LANDMARKS``
-    of them each product with the affinity takes one quadratic, block-wise pass.
+    of them each product with the affinity takes one quadratic, block-wise pass, or
+    a linear one where few boxes hold all points (see ``_occupied``).
     With ``landmarks`` they are taken on a hash sample of so many distinct
     points and carried over to all rows (Nystroem extension): one m x m
     eigenproblem of bounded size and one pass over the rows.
@@ -69,8 +77,10 @@ def spectral(ff: DataFrame, k: int = 8, gamma: float = 1.0, landmarks: int | Non
     return SpectralFit(labels, fit.n_clusters, used, exact)
 
 
-def _affinity_times(points: DataFrame, columns: str, width: int, gamma: float) -> DataFrame:
+def _affinity_times(points: DataFrame, columns: str, width: int, gamma: float, boxes: np.ndarray | None = None) -> DataFrame:
     """``(row_id, product)``: the affinity of all pairs times the array column ``columns`` of ``width`` numbers."""
+    if boxes is not None:
+        return _boxed_times(points, columns, width, gamma, boxes)
 
     def product(left: Block, right: Block) -> pd.DataFrame:
         x, y = right["features"][:, :-width], right["features"][:, -width:]
@@ -83,6 +93,89 @@ def _affinity_times(points: DataFrame, columns: str, width: int, gamma: float) -
     return parts.groupBy("row_id").agg(F.array(*[F.sum(f"y{j}") for j in range(width)]).alias("product"))
 
 
+def _occupied(points: DataFrame, gamma: float) -> np.ndarray | None:
+    """The boxes that hold points, or None where pairs of points have to be met."""
+    odd = F.exists("features", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) * float(np.sqrt(gamma)) > 1e9))
+    odd = F.coalesce((F.size("features") > BOXED_DIMS) | (F.size("features") < 1) | odd, F.lit(True))
+    if gamma <= 0 or points.where(odd).limit(1).count():
+        return None
+    corner = F.transform("features", lambda x: F.floor(x * F.lit(float(np.sqrt(gamma)))))
+    rows = points.select(corner.alias("box")).distinct().limit(MAX_BOXES + 1).collect()
+    return np.array(sorted(r["box"] for r in rows), dtype=float) if 0 < len(rows) <= MAX_BOXES else None
+
+
+def _carried(x: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Values of the nodes' interpolation polynomials at the rows ``x`` of a box, all in units of its side."""
+    degrees = np.arange(NODES)
+    at = np.cos((degrees + 0.5) * np.pi / NODES)
+    spread = np.cos(np.arccos(at)[None, :] * degrees[:, None]) * np.where(degrees == 0, 1.0, 2.0)[:, None] / NODES
+    carried = np.ones((len(x), 1))
+    for j in range(x.shape[1]):
+        inside = np.clip(2.0 * (x[:, j] - box[j]) - 1.0, -1.0, 1.0)
+        values = np.cos(np.arccos(inside)[:, None] * degrees[None, :]) @ spread
+        carried = (carried[:, :, None] * values[:, None, :]).reshape(len(x), -1)
+    return carried
+
+
+def _meet_boxes(moments: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """The affinity of all boxes' nodes times ``moments`` (boxes, nodes, columns): every pair of boxes counts."""
+    dims, out = boxes.shape[1], np.zeros_like(moments)
+    nodes = (np.cos((np.arange(NODES) + 0.5) * np.pi / NODES) + 1.0) / 2.0
+    kernel = lambda shift: np.exp(-((nodes[:, None] - nodes[None, :] - shift) ** 2))
+    known = {shift: kernel(shift) for shift in {float(s) for column in boxes.T for s in np.unique(column[:, None] - column[None, :])}}
+    shaped = moments.reshape(len(boxes), *[NODES] * dims, -1)
+    for i, box in enumerate(boxes):
+        for other, there in enumerate(boxes):
+            value = shaped[other]
+            for j in range(dims):
+                value = np.moveaxis(np.tensordot(known[float(there[j] - box[j])], value, axes=(1, j)), 0, j)
+            out[i] += value.reshape(out[i].shape)
+    return out
+
+
+def _boxed_times(points: DataFrame, columns: str, width: int, gamma: float, boxes: np.ndarray) -> DataFrame:
+    """As ``_affinity_times``, linear in the points: boxes gather weights at their nodes, meet, and hand them back (fast Gauss transform)."""
+    unit, size = float(np.sqrt(gamma)), NODES ** boxes.shape[1]
+    place = {tuple(box): i for i, box in enumerate(boxes.tolist())}
+
+    def by_box(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        x = np.stack(batch["features"].to_numpy()) * unit
+        own = np.array([place[tuple(corner)] for corner in np.floor(x).tolist()])
+        order = np.argsort(own, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            for at in range(0, len(rows), BOXED_ROWS):
+                some = rows[at : at + BOXED_ROWS]
+                yield own[some[0]], some, _carried(x[some], boxes[own[some[0]]])
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        moments = np.zeros((len(boxes), size, width))
+        for batch in batches:
+            if len(batch):
+                y = np.stack(batch[columns].to_numpy())
+                for i, rows, carried in by_box(batch):
+                    moments[i] += carried.T @ y[rows]
+        used = np.flatnonzero(moments.any(axis=(1, 2)))
+        if len(used):
+            yield pd.DataFrame({"box": np.repeat(used, size), "node": np.tile(np.arange(size), len(used)), "y": list(moments[used].reshape(-1, width))})
+
+    parts = points.select("features", columns).mapInPandas(gather, "box int, node int, y array<double>")
+    summed = parts.groupBy("box", "node").agg(*[F.sum(F.col("y")[j]).alias(f"y{j}") for j in range(width)]).toPandas()
+    moments = np.zeros((len(boxes), size, width))
+    moments[summed["box"], summed["node"]] = summed[[f"y{j}" for j in range(width)]].to_numpy()
+    met = _meet_boxes(moments, boxes)
+
+    def hand_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                product = np.zeros((len(batch), width))
+                for i, rows, carried in by_box(batch):
+                    product[rows] = carried @ met[i]
+                yield pd.DataFrame({"row_id": batch["row_id"], "product": list(product)})
+
+    id_type = points.schema["row_id"].dataType.simpleString()
+    return points.select("row_id", "features").mapInPandas(hand_back, f"row_id {id_type}, product array<double>")
+
+
 def _inner_products(frame: DataFrame) -> np.ndarray:
     """Inner products of all columns of basis and image, folded in the tasks."""
 
@@ -103,7 +196,8 @@ def _inner_products(frame: DataFrame) -> np.ndarray:
 def _exact_coordinates(points: DataFrame, k: int, gamma: float, seed: int) -> DataFrame:
     """``(features, coordinates)``: the k leading eigenvectors of the normalised affinity of all points."""
     points = points.withColumnRenamed("id", "row_id")
-    degree = _affinity_times(points.withColumn("w", F.array(F.col("n").cast("double"))), "w", 1, gamma)
+    boxes = _occupied(points, gamma) if points.count() > BOXED_FROM else None
+    degree = _affinity_times(points.withColumn("w", F.array(F.col("n").cast("double"))), "w", 1, gamma, boxes)
     points = points.join(degree, "row_id").withColumn("degree", F.col("product")[0]).drop("product")
     width = k + EXTRA
     # The square root of the weighted degrees is an eigenvector of the value 1.
@@ -114,7 +208,7 @@ def _exact_coordinates(points: DataFrame, k: int, gamma: float, seed: int) -> Da
     fixed = points.select("row_id", "features", "n", "scale")
     for _ in range(MAX_PRODUCTS):
         scaled = fixed.join(state.select("row_id", "fresh"), "row_id").withColumn("fresh", F.transform("fresh", lambda v: v * F.col("scale")))
-        product = _affinity_times(scaled.select("row_id", "features", "fresh"), "fresh", width, gamma)
+        product = _affinity_times(scaled.select("row_id", "features", "fresh"), "fresh", width, gamma, boxes)
         state = cut_lineage(
             state.join(product, "row_id").join(fixed.select("row_id", "scale"), "row_id").select(
                 "row_id", F.concat("basis", "fresh").alias("basis"),
