@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from starling.functions import space
-from starling.operators import hdbscan
-from tests.conftest import frame_of
+from starling.operators import hdbscan, hierarchical
+from tests.conftest import frame_of, labels_of
 
 
 def refuse(*args, **kwargs):
@@ -31,3 +31,19 @@ def test_spanning_tree_without_all_pairs(spark, monkeypatch, kind):
     got = hdbscan.tree_edges(points).orderBy("gap", "a", "b").toPandas()
     assert (got[["a", "b"]].to_numpy() == expected[["a", "b"]].to_numpy()).all()
     assert (got["gap"] == expected["gap"]).all()
+
+
+@pytest.mark.parametrize("kind", ["groups", "uneven"])
+def test_ward_without_all_pairs(spark, monkeypatch, kind):
+    rng = np.random.default_rng(6)
+    x = {
+        "groups": np.vstack([rng.uniform(0, 1, (100, 2)) + c for c in ([0, 0], [0, 3], [4, 0])]),
+        "uneven": np.exp(rng.normal(0, 1, (300, 2))),
+    }[kind]
+    ff = frame_of(spark, x).persist()
+    expected = [labels_of(hierarchical.hierarchical(ff, k).labels) for k in (3, 7)]
+    monkeypatch.setattr(space, "LEAF_ROWS", 32)
+    monkeypatch.setattr(hierarchical, "LOCAL_CLUSTERS", 100)
+    monkeypatch.setattr(hierarchical, "block_pairs", refuse)
+    for k, labels in zip((3, 7), expected):
+        assert (labels_of(hierarchical.hierarchical(ff, k).labels) == labels).all()
