@@ -14,17 +14,21 @@ spots out of the pairwise work:
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starling.functions.blocks import Block, block_pairs, large_blocks
 from starling.functions.ranks import with_dense_index
 from starling.functions.sampling import broadcast_if_small, hash_sample
 from starling.functions.vectors import dot, squared_distance, squared_distance_dims, total
 from starling.operators.components import connected_components
 from starling.operators.evaluate import label_counts
+from starling.operators.hdbscan import forest
 from starling.operators.moments import group_boxes
 from starling.operators.prepare import width
 from starling.session import cut_lineage
@@ -36,6 +40,10 @@ PRUNES = 0.9
 # Pivots, and the cells they are chosen from: a choice that only steers which pairs are compared.
 PIVOTS, PIVOT_SAMPLE = 8, 1000
 SPELLED_DIMS = 16
+# More cells than this of many columns, of which the measures leave more than this share of the pairs, meet as blocks.
+FEW_CELLS, MEETS = 4096, 0.05
+# Pairs of points compared at a time, and how near eps, relative to the squares, a pair is measured again by direct differences.
+TILE_PAIRS, CLOSE = 2_000_000, 1e-9
 # Pairs of boxes are split further while one of them stands for more point pairs.
 POINT_PAIRS = 250_000
 SPLIT = 4
@@ -68,6 +76,9 @@ def dbscan_labels(ff: DataFrame, eps: float, min_samples: int) -> DataFrame:
         raise ValueError("eps must be positive")
     dims = width(ff)
     points, cells = _points_and_cells(ff, dims, _cell_side(eps, dims))
+    if dims > SPELLED_DIMS and cells.count() > FEW_CELLS and _keyed(cells, dims, eps)[3] > MEETS:
+        placed = _labels_by_blocks(points.select(F.col("pid").alias("row_id"), "features", "weight"), dims, eps, min_samples)
+        return ff.join(placed, "features").select(*ff.columns, "cluster")
     near = cut_lineage(_near_cells(cells, dims, eps))
     points = cut_lineage(_mark_core(points, near, dims, eps, min_samples))
     core_cells = cut_lineage(
@@ -84,6 +95,91 @@ def dbscan_labels(ff: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return ff.join(placed, "features").select(*ff.columns, "cluster")
 
 
+def _within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Which pairs are within eps: by one product, and by direct differences where that is too close to tell."""
+    own, their = (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)[None, :]
+    over = own + their - 2.0 * (x @ y.T) - eps * eps
+    near = over <= 0.0
+    i, j = np.nonzero(np.abs(over) <= CLOSE * (own + their + eps * eps))
+    if len(i):
+        near[i, j] = _direct(x[i], y[j]) <= eps * eps
+    return near
+
+
+def _direct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        gap = x[:, j] - y[:, j]
+        out += gap * gap
+    return out
+
+
+def _tiles(left: Block, right: Block, eps: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows of ``left``, some at a time, and which of ``right`` are within eps of them."""
+    step = max(1, TILE_PAIRS // max(len(right["row_id"]), 1))
+    for at in range(0, len(left["row_id"]), step):
+        yield slice(at, at + step), _within(left["features"][at : at + step], right["features"], eps)
+
+
+def _labels_by_blocks(points: DataFrame, dims: int, eps: float, min_samples: int) -> DataFrame:
+    """``(features, cluster)`` where no cell can be told from another: blocks of points meet in tasks.
+
+    Only counts, a few links for each pair of blocks and the borders' clusters leave the tasks, never pairs of points.
+    """
+    points = cut_lineage(points.where("features IS NOT NULL"))
+    id_type = points.schema["row_id"].dataType.simpleString()
+    size = large_blocks(points.count(), dims + 2)
+
+    def neighbours(left: Block, right: Block) -> pd.DataFrame:
+        rows = np.zeros(len(left["row_id"]), dtype=np.int64)
+        for s, near in _tiles(left, right, eps):
+            near[left["row_id"][s, None] == right["row_id"][None, :]] = False
+            rows[s] = near.astype(float) @ right["weight"]
+        return pd.DataFrame({"row_id": left["row_id"], "rows": rows})
+
+    counted = block_pairs(points, points, neighbours, f"row_id {id_type}, rows long", size).groupBy("row_id").agg(F.sum("rows").alias("rows"))
+    points = cut_lineage(points.join(counted, "row_id").withColumn("core", F.col("rows") + F.col("weight") >= min_samples).drop("rows"))
+    core = points.where("core").select("row_id", "features")
+
+    def links(left: Block, right: Block) -> pd.DataFrame:
+        ends = [np.zeros(0, dtype=np.int64)] * 2
+        if left["row_id"].min() <= right["row_id"].min():
+            for s, near in _tiles(left, right, eps):
+                i, j = np.nonzero(near & (left["comp"][s, None] != right["comp"][None, :]))
+                ends = [np.concatenate([e, x]) for e, x in zip(ends, (left["comp"][s][i], right["comp"][j]))]
+                kept = forest(*ends, np.zeros(len(ends[0])))
+                ends = [e[kept] for e in ends]
+        return pd.DataFrame({"a": ends[0], "b": ends[1]})
+
+    def own_links(block: pd.DataFrame) -> pd.DataFrame:
+        own = {"row_id": block["row_id"].to_numpy(), "features": np.array(block["features"].to_list(), dtype=float).reshape(len(block), -1)}
+        return links(*[own | {"comp": own["row_id"]}] * 2)
+
+    # Linked inside their blocks first, the points of a block are few components for the other blocks.
+    dealt = core.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(max(1, math.ceil(core.count() / size)))))
+    inner = cut_lineage(dealt.groupBy("block").applyInPandas(own_links, f"a {id_type}, b {id_type}"))
+    nodes = core.select(F.col("row_id").alias("node"))
+    named = connected_components(inner, nodes).select(F.col("node").alias("row_id"), F.col("component").alias("comp"))
+    core = cut_lineage(core.join(named, "row_id"))
+    outer = cut_lineage(block_pairs(core, core, links, f"a {id_type}, b {id_type}", size).distinct())
+    parts = cut_lineage(connected_components(inner.unionByName(outer), nodes))
+    order = with_dense_index(parts.select("component").distinct(), ["component"], "cluster")
+    numbers = parts.join(order, "component").select(F.col("node").alias("row_id"), F.col("cluster").cast("int").alias("cluster"))
+    core = cut_lineage(core.select("row_id", "features").join(numbers, "row_id"))
+
+    def borders(left: Block, right: Block) -> pd.DataFrame:
+        lowest = np.full(len(left["row_id"]), np.iinfo(np.int32).max, dtype=np.int32)
+        for s, near in _tiles(left, right, eps):
+            lowest[s] = np.where(near, right["cluster"][None, :], lowest[s, None]).min(axis=1)
+        found = lowest < np.iinfo(np.int32).max
+        return pd.DataFrame({"row_id": left["row_id"][found], "cluster": lowest[found]})
+
+    outside = points.where("not core").select("row_id", "features")
+    found = block_pairs(outside, core, borders, f"row_id {id_type}, cluster int", size).groupBy("row_id").agg(F.min("cluster").alias("cluster"))
+    placed = outside.join(found, "row_id", "left").select("features", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
+    return cut_lineage(core.select("features", "cluster").unionByName(placed))
+
+
 def _cell_side(eps: float, dims: int) -> float:
     # A hair below eps / sqrt(d), so rounding cannot push a diagonal above eps.
     return eps / math.sqrt(dims) * (1 - 1e-9)
@@ -123,8 +219,8 @@ def _box_reach(lo1, hi1, lo2, hi2, dims: int) -> Column:
     return total([s * s for s in spans])
 
 
-def _keyed(cells: DataFrame, dims: int, eps: float) -> tuple[DataFrame, list[str], float]:
-    """Cells with bucket columns to meet by, their distances to the pivots ``to``, and the buckets' width.
+def _keyed(cells: DataFrame, dims: int, eps: float) -> tuple[DataFrame, list[str], float, float]:
+    """Cells with bucket columns to meet by, their distances to the pivots ``to``, the buckets' width, and some share of pairs left.
 
     Neither a coordinate of a box's middle nor the middle's distance from a
     fixed pivot can differ by more than the middles' own distance, and middles
@@ -144,8 +240,9 @@ def _keyed(cells: DataFrame, dims: int, eps: float) -> tuple[DataFrame, list[str
     met = F.col("n") * (F.col("n") + F.when(beside[1] == F.col("bucket") - 1, 2 * beside[0]).otherwise(0.0))
     left = counts.withColumn("met", met).groupBy("measure").agg(F.sum("met").alias("met"), F.sum("n").alias("n")).orderBy("met", "measure").limit(GRID_DIMS).collect()
     chosen = [r["measure"] for i, r in enumerate(left) if i == 0 or r["met"] < PRUNES * r["n"] ** 2]
+    share = math.prod(r["met"] / r["n"] ** 2 for r in left if r["measure"] in chosen)
     keys = [f"c{i}" for i in range(len(chosen))]
-    return cells.withColumns({k: F.col("buckets")[j] for k, j in zip(keys, chosen)}).drop("middle", "radius", "buckets"), keys, step
+    return cells.withColumns({k: F.col("buckets")[j] for k, j in zip(keys, chosen)}).drop("middle", "radius", "buckets"), keys, step, share
 
 
 def _pivots(points: np.ndarray) -> np.ndarray:
@@ -173,7 +270,7 @@ def _near_cells(cells: DataFrame, dims: int, eps: float, count: bool = False) ->
     """
     if not cells.limit(1).count():
         return cells.select("cid", F.col("cid").alias("other"), "lo", "hi", "cell_rows", "cell_points")
-    cells, keys, step = _keyed(cells, dims, eps)
+    cells, keys, step, _ = _keyed(cells, dims, eps)
     cells = cut_lineage(cells)
     moves = F.array(F.lit(-1), F.lit(0), F.lit(1))
     right = cells.select(F.col("cid").alias("other"), "lo", "hi", "cell_rows", "cell_points", "to", *keys)

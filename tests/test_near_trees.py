@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from starling.functions import space
-from starling.operators import hdbscan, hierarchical
+from starling.operators import dbscan, hdbscan, hierarchical, linkage
 from tests.conftest import frame_of, labels_of
+from tests.test_clustering import brute_dbscan
 
 
 def refuse(*args, **kwargs):
@@ -47,3 +48,30 @@ def test_ward_without_all_pairs(spark, monkeypatch, kind):
     monkeypatch.setattr(hierarchical, "block_pairs", refuse)
     for k, labels in zip((3, 7), expected):
         assert (labels_of(hierarchical.hierarchical(ff, k).labels) == labels).all()
+
+
+@pytest.mark.parametrize("kind", ["average", "complete"])
+def test_linkage_rounds_within_leaves(spark, monkeypatch, kind):
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.uniform(0, 1, (100, 2)) + c for c in ([0, 0], [0, 3], [4, 0])])
+    ff = frame_of(spark, x).persist()
+    expected = [labels_of(hierarchical.hierarchical(ff, k, linkage=kind).labels) for k in (3, 7)]
+    monkeypatch.setattr(linkage, "LEAF_POINTS", 40, raising=False)
+    monkeypatch.setattr(linkage, "LOCAL_CLUSTERS", 120)
+    monkeypatch.setattr(linkage, "_merged", refuse)
+    for k, labels in zip((3, 7), expected):
+        assert (labels_of(hierarchical.hierarchical(ff, k, linkage=kind).labels) == labels).all()
+
+
+def test_dbscan_by_blocks_where_nothing_separates(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 20))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = np.vstack([x, x[:40], x[:40]])
+    x[10] = x[11] + np.eye(20)[0] * 0.75
+    ff = frame_of(spark, x)
+    monkeypatch.setattr(dbscan, "FEW_CELLS", 0, raising=False)
+    monkeypatch.setattr(dbscan, "TILE_PAIRS", 3000, raising=False)
+    monkeypatch.setattr(dbscan, "_near_cells", refuse)
+    for eps, least in ((0.95, 3), (0.8, 3)):
+        assert (labels_of(dbscan.dbscan_labels(ff, eps, least)) == brute_dbscan(x, eps, least)).all()
