@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from starling.functions.blocks import block_pairs, distances
 from starling.functions.vectors import hash_uniform, squared_distance_to
+from starling.operators.cells import Tally, packed
 from starling.operators.moments import group_moments, within_squares
 from starling.operators.prepare import width
 
@@ -26,6 +27,10 @@ START_ROUNDS, START_FACTOR = 4, 4
 VALUES_PER_TASK = 2_000_000
 # Rows that are compared with one run's centres at a time, so that their distances stay in a core's cache.
 FOLD_ROWS = 2048
+# Distances to starting candidates that are held at a time.
+GAPS = 32_768
+# Rows are packed by neighbourhood if so many of them meet so many centres per round, in no more columns than boxes separate.
+PACKED_ROWS, PACKED_CENTERS, PACKED_DIMS = 50_000, 200, 8
 
 
 def centers_frame(spark: SparkSession, centers: Sequence[Sequence[float]]) -> DataFrame:
@@ -172,7 +177,7 @@ def fit_each_k(
     All starts of all k share their passes: a round scans the rows once, moves
     every run that has not settled, and brings back k x d sums per run.
     """
-    data = ff.select("row_id", "features").persist()
+    data, packs = ff.select("row_id", "features").persist(), None
     try:
         dims, n = width(data), data.count()
         if not n:
@@ -194,7 +199,13 @@ def fit_each_k(
         if not np.isfinite(scatter):
             raise ValueError("features hold missing or infinite values")
         spread = scatter / (n * dims)
-        candidates, weights = _start_candidates(data, rows, tasks, n, max(ks), middle, scatter, seed)
+        tally = None
+        if n >= PACKED_ROWS and n_init * sum(ks) >= PACKED_CENTERS and dims <= PACKED_DIMS:
+            packs, tasks = packed(data, n, middle)
+            rows, tally = packs.persist(), Tally
+        candidates, weights = _start_candidates(data, rows, tasks, n, max(ks), middle, scatter, seed, tally)
+        if packs is not None:
+            data.unpersist()
         runs = [(k, _plus_plus(candidates, weights, k, np.random.default_rng(seed + i))) for k in ks for i in range(n_init)]
         centers = [start - middle for _, start in runs]
         rounds = [0] * len(runs)
@@ -202,7 +213,7 @@ def fit_each_k(
         for _ in range(max_iter):
             if not moving:
                 break
-            for i, (sums, counts, _) in _round(rows, tasks, {i: centers[i] for i in moving}, middle).items():
+            for i, (sums, counts, _) in _round(rows, tasks, {i: centers[i] for i in moving}, middle, tally).items():
                 moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centers[i])
                 shift = float(((moved - centers[i]) ** 2).sum())
                 if not np.isfinite(shift):
@@ -210,9 +221,11 @@ def fit_each_k(
                 centers[i], rounds[i] = moved, rounds[i] + 1
                 if shift <= tol * spread:
                     moving.discard(i)
-        costs = {i: cost for i, (_, _, cost) in _round(rows, tasks, dict(enumerate(centers)), middle).items()}
+        costs = {i: cost for i, (_, _, cost) in _round(rows, tasks, dict(enumerate(centers)), middle, tally).items()}
     finally:
         data.unpersist()
+        if packs is not None:
+            packs.unpersist()
     best = {}
     for k in ks:
         i = min((i for i, (run_k, _) in enumerate(runs) if run_k == k), key=lambda i: (costs[i], i))
@@ -221,7 +234,7 @@ def fit_each_k(
     return best
 
 
-def _start_candidates(data: DataFrame, rows: DataFrame, tasks: int, n: int, k: int, middle: np.ndarray, scatter: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _start_candidates(data: DataFrame, rows: DataFrame, tasks: int, n: int, k: int, middle: np.ndarray, scatter: float, seed: int, tally: type[Tally] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows to draw starting centres from, and how many rows are nearest to each.
 
     k-means|| (Bahmani et al., 2012) over all rows: a row joins with a chance in
@@ -239,11 +252,8 @@ def _start_candidates(data: DataFrame, rows: DataFrame, tasks: int, n: int, k: i
 
         @F.pandas_udf("double")
         def gap(features: pd.Series) -> pd.Series:
-            x = np.stack(features.to_numpy())
-            out = np.full(len(x), np.inf)
-            for point in near.value:
-                np.minimum(out, ((x - point) ** 2).sum(axis=1), out=out)
-            return pd.Series(out)
+            x, step = np.stack(features.to_numpy()), max(1, GAPS // len(near.value))
+            return pd.Series(np.concatenate([distances(x[at : at + step], near.value, squared=True).min(axis=1) for at in range(0, len(x), step)] or [[]]), dtype=float)
 
         measured = data.select("features", gap("features").alias("gap"), hash_uniform(seed, F.col("row_id"), F.lit("start"), F.lit(turn)).alias("u"))
         if turn < START_ROUNDS:
@@ -258,8 +268,8 @@ def _start_candidates(data: DataFrame, rows: DataFrame, tasks: int, n: int, k: i
         if found:
             candidates = np.unique(np.vstack([candidates, np.array(found, dtype=float).reshape(-1, dims)]), axis=0)
         if turn + 1 < START_ROUNDS:
-            cost = _round(rows, tasks, {0: candidates - middle}, middle)[0][2]
-    _, counts, _ = _round(rows, tasks, {0: candidates - middle}, middle)[0]
+            cost = _round(rows, tasks, {0: candidates - middle}, middle, tally)[0][2]
+    _, counts, _ = _round(rows, tasks, {0: candidates - middle}, middle, tally)[0]
     return candidates[counts > 0], counts[counts > 0]
 
 
@@ -274,11 +284,12 @@ def _plus_plus(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.rand
 
 
 def _round(
-    data: DataFrame, tasks: int, centers: dict[int, np.ndarray], middle: np.ndarray
+    data: DataFrame, tasks: int, centers: dict[int, np.ndarray], middle: np.ndarray, tally: type[Tally] | None = None
 ) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
     """Per run: sums of the rows by nearest centre, their counts, and the cost.
 
-    Each task folds its rows into one small table per run before the shuffle.
+    Each task folds its rows into one small table per run before the shuffle;
+    with ``tally`` the data are packs of rows.
     """
     result: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
     dims = len(middle)
@@ -286,14 +297,14 @@ def _round(
     for i, points in [*centers.items(), (-1, None)]:
         if points is None or (sum(len(p) for p in batch.values()) + len(points)) * dims > SHIPPED_VALUES:
             if batch:
-                result.update(_shared_pass(data, tasks, batch, middle))
+                result.update(_shared_pass(data, tasks, batch, middle, tally))
             batch = {}
         if points is not None:
             batch[i] = points
     return result
 
 
-def _shared_pass(data, tasks, centers, middle):
+def _shared_pass(data, tasks, centers, middle, tally):
     dims = len(middle)
     stacked = np.vstack(list(centers.values()))
     ends = np.cumsum([len(p) for p in centers.values()])
@@ -301,7 +312,24 @@ def _shared_pass(data, tasks, centers, middle):
     # Squared distance less a row's own length, as one product with (row, 1).
     products = [(np.column_stack([-2.0 * p, (p**2).sum(axis=1)]), low, high) for p, (_, low, high) in zip(centers.values(), slices)]
 
+    def cells(table, costs):
+        rows, columns = np.nonzero(table)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([rows, np.arange(len(slices))]), pa.int32()),
+                pa.array(np.concatenate([columns, np.full(len(slices), -1)]), pa.int32()),
+                pa.array(np.concatenate([table[rows, columns], costs])),
+            ],
+            ["row", "position", "value"],
+        )
+
     def fold(batches):
+        if tally is not None:
+            counted = tally(stacked, ends)
+            for batch in batches:
+                counted.add(batch)
+            yield cells(counted.table[:-1].T, np.add.reduceat(counted.table[-1], [low for _, low, _ in slices]))
+            return
         table = np.zeros((len(stacked), dims + 1))
         costs = np.zeros(len(slices))
         for batch in batches:
@@ -317,23 +345,15 @@ def _shared_pass(data, tasks, centers, middle):
                         nearest = closeness.argmin(axis=0) == np.arange(high - low)[:, None]
                     table[low:high] += nearest.astype(float) @ x
                     costs[s] += np.maximum(own + least, 0.0).sum()
-        rows, columns = np.nonzero(table)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([rows, np.arange(len(slices))]), pa.int32()),
-                pa.array(np.concatenate([columns, np.full(len(slices), -1)]), pa.int32()),
-                pa.array(np.concatenate([table[rows, columns], costs])),
-            ],
-            ["row", "position", "value"],
-        )
+        yield cells(table, costs)
 
     folded = data.mapInArrow(fold, "row int, position int, value double")
     # Bounded by the centres: (d + 1) values per centre and a cost per run. The
     # tables of very few tasks are added up right here instead of in a shuffle.
     if tasks * stacked.size > SHIPPED_VALUES:
         folded = folded.groupBy("row", "position").agg(F.sum("value").alias("value"))
-    cells = folded.toArrow()
-    row, position, value = (np.asarray(cells.column(c)) for c in ("row", "position", "value"))
+    found = folded.toArrow()
+    row, position, value = (np.asarray(found.column(c)) for c in ("row", "position", "value"))
     table, costs = np.zeros((len(stacked), dims + 1)), np.zeros(len(slices))
     inner = position >= 0
     np.add.at(table, (row[inner], position[inner]), value[inner])
