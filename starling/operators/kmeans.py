@@ -250,10 +250,13 @@ def _start_candidates(data: DataFrame, rows: DataFrame, tasks: int, n: int, k: i
             break
         near = data.sparkSession.sparkContext.broadcast(candidates)
 
-        @F.pandas_udf("double")
-        def gap(features: pd.Series) -> pd.Series:
-            x, step = np.stack(features.to_numpy()), max(1, GAPS // len(near.value))
-            return pd.Series(np.concatenate([distances(x[at : at + step], near.value, squared=True).min(axis=1) for at in range(0, len(x), step)] or [[]]), dtype=float)
+        @F.arrow_udf("double")
+        def gap(features: pa.Array) -> pa.Array:
+            x, step = features.flatten().to_numpy(zero_copy_only=False).reshape(len(features), dims), max(1, GAPS // len(near.value))
+            out = np.empty(len(x))
+            for at in range(0, len(x), step):
+                out[at : at + step] = distances(x[at : at + step], near.value, squared=True).min(axis=1)
+            return pa.array(out)
 
         measured = data.select("features", gap("features").alias("gap"), hash_uniform(seed, F.col("row_id"), F.lit("start"), F.lit(turn)).alias("u"))
         if turn < START_ROUNDS:
