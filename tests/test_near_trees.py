@@ -75,3 +75,35 @@ def test_dbscan_by_blocks_where_nothing_separates(spark, monkeypatch):
     monkeypatch.setattr(dbscan, "_near_cells", refuse)
     for eps, least in ((0.95, 3), (0.8, 3)):
         assert (labels_of(dbscan.dbscan_labels(ff, eps, least)) == brute_dbscan(x, eps, least)).all()
+
+
+def test_leaves_stay_alike_where_only_the_first_levels_are_shifted():
+    x = np.random.default_rng(10).uniform(0, 1, (20_000, 2))
+    rows = np.bincount(space.planes(x[:4000], 7, 0.64, 2).leaf(x))
+    assert rows.max() < 4 * len(x) / 128
+
+
+@pytest.mark.parametrize("rows, heavy", [(10**3, 1), (10**6, 3), (10**8, 5000)])
+def test_folded_distances_are_exact_sums(rows, heavy):
+    rng = np.random.default_rng(11)
+    x, n, root = rng.uniform(0, 5, (900, 2)), rng.integers(1, heavy + 1, 900), np.sort(rng.integers(0, 20, 900))
+    root[:300] = 0
+    bits = 62 - 2 * int(np.ceil(np.log2(rows + 1)))
+    measure = linkage.Measure("average", 2.0**-48, min(26, bits), -(-52 // min(26, bits)))
+    block, at = linkage._sorted({"root": root, "features": x, "n": n})
+    parts = linkage._folded(block, at, block, at, measure)
+    steps = np.floor(linkage.distances(x, x) / measure.unit).astype(np.int64).astype(object) * (n[:, None] * n[None, :])
+    expected = np.add.reduceat(np.add.reduceat(steps, at, axis=0), at, axis=1)
+    assert (sum(p.astype(object) << (measure.bits * (len(parts) - 1 - i)) for i, p in enumerate(parts)) == expected).all()
+    assert all(p.max() < 1 << measure.bits for p in parts[1:])  # one form for equal sums
+
+
+def test_corners_keep_what_is_farthest(spark):
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(size=(300, 2)), [[20.0 + i, 20.0 + j] for i in range(15) for j in range(20)]])
+    members = spark.createDataFrame([(i, 300 * (i // 300), a.tolist()) for i, a in enumerate(x)], "id long, root long, features array<double>")
+    kept = np.array(sorted(r["id"] for r in linkage._corners(members).collect()))
+    assert len(kept) < 120 and {0, 300} <= set(kept)
+    for own in (x[:300], x[300:]):
+        mine = x[kept[(kept < 300) == (own[0, 0] < 10)]]
+        assert (linkage.distances(x, own).max(axis=1) == linkage.distances(x, mine).max(axis=1)).all()
