@@ -43,7 +43,9 @@ SPELLED_DIMS = 16
 # More cells than this of many columns, of which the measures leave more than this share of the pairs, meet as blocks.
 FEW_CELLS, MEETS = 4096, 0.05
 # Pairs of points compared at a time, and how near eps, relative to the squares, a pair is measured again by direct differences.
-TILE_PAIRS, CLOSE = 2_000_000, 1e-9
+TILE_PAIRS, CLOSE = 250_000, 1e-9
+# The share of the blocks that points meet first which lack neighbours in their own.
+FIRST_BLOCKS = 8
 # Pairs of boxes are split further while one of them stands for more point pairs.
 POINT_PAIRS = 250_000
 SPLIT = 4
@@ -97,10 +99,15 @@ def dbscan_labels(ff: DataFrame, eps: float, min_samples: int) -> DataFrame:
 
 def _within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
     """Which pairs are within eps: by one product, and by direct differences where that is too close to tell."""
-    own, their = (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)[None, :]
-    over = own + their - 2.0 * (x @ y.T) - eps * eps
+    squares = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :]
+    over = x @ y.T
+    over *= -2.0
+    over += squares
+    over -= eps * eps
     near = over <= 0.0
-    i, j = np.nonzero(np.abs(over) <= CLOSE * (own + their + eps * eps))
+    squares += eps * eps
+    squares *= CLOSE
+    i, j = np.nonzero(np.abs(over, out=over) <= squares)
     if len(i):
         near[i, j] = _direct(x[i], y[j]) <= eps * eps
     return near
@@ -125,10 +132,15 @@ def _labels_by_blocks(points: DataFrame, dims: int, eps: float, min_samples: int
     """``(features, cluster)`` where no cell can be told from another: blocks of points meet in tasks.
 
     Only counts, a few links for each pair of blocks and the borders' clusters leave the tasks, never pairs of points.
+    Points that have enough neighbours in some blocks need no others to be core, and points of one component need no
+    links among each other, so all blocks are met only by points that lack neighbours or lie outside the largest component.
     """
     points = cut_lineage(points.where("features IS NOT NULL"))
     id_type = points.schema["row_id"].dataType.simpleString()
-    size = large_blocks(points.count(), dims + 2)
+    total = points.count()
+    size = large_blocks(total, dims + 2)
+    count = max(1, math.ceil(total / size))
+    dealt = lambda turn: F.pmod(F.xxhash64("row_id", F.lit(turn)), F.lit(count))
 
     def neighbours(left: Block, right: Block) -> pd.DataFrame:
         rows = np.zeros(len(left["row_id"]), dtype=np.int64)
@@ -137,13 +149,27 @@ def _labels_by_blocks(points: DataFrame, dims: int, eps: float, min_samples: int
             rows[s] = near.astype(float) @ right["weight"]
         return pd.DataFrame({"row_id": left["row_id"], "rows": rows})
 
-    counted = block_pairs(points, points, neighbours, f"row_id {id_type}, rows long", size).groupBy("row_id").agg(F.sum("rows").alias("rows"))
-    points = cut_lineage(points.join(counted, "row_id").withColumn("core", F.col("rows") + F.col("weight") >= min_samples).drop("rows"))
+    def own_block(block: pd.DataFrame) -> Block:
+        features = np.array(block["features"].to_list(), dtype=float).reshape(len(block), -1)
+        return {c: features if c == "features" else block[c].to_numpy() for c in block.columns}
+
+    enough = F.col("rows") + F.col("weight") >= min_samples
+    points = points.withColumn("block", dealt(0))
+    at_home = points.groupBy("block").applyInPandas(lambda block: neighbours(*[own_block(block)] * 2), f"row_id {id_type}, rows long")
+    points = cut_lineage(points.join(at_home.groupBy("row_id").agg(F.sum("rows").alias("rows")), "row_id").withColumn("core", enough).withColumn("rows", F.lit(0).cast("long")))
+    first = math.ceil(count / FIRST_BLOCKS)
+    for low, high in ((0, first), (first, count)) if count > 1 else ():
+        lacking, others = points.where("not core").select("row_id", "features"), points.where(F.col("block").between(low, high - 1))
+        if low < high and lacking.limit(1).count():
+            counted = block_pairs(lacking, others.select("row_id", "features", "weight"), neighbours, f"row_id {id_type}, rows long", size)
+            counted = counted.groupBy("row_id").agg(F.sum("rows").alias("more"))
+            points = points.join(counted, "row_id", "left").withColumn("rows", F.col("rows") + F.coalesce("more", F.lit(0))).drop("more")
+            points = cut_lineage(points.withColumn("core", F.col("core") | enough))
     core = points.where("core").select("row_id", "features")
 
-    def links(left: Block, right: Block) -> pd.DataFrame:
+    def links(left: Block, right: Block, twice: bool = False) -> pd.DataFrame:
         ends = [np.zeros(0, dtype=np.int64)] * 2
-        if left["row_id"].min() <= right["row_id"].min():
+        if not twice or left["row_id"].min() <= right["row_id"].min():
             for s, near in _tiles(left, right, eps):
                 i, j = np.nonzero(near & (left["comp"][s, None] != right["comp"][None, :]))
                 ends = [np.concatenate([e, x]) for e, x in zip(ends, (left["comp"][s][i], right["comp"][j]))]
@@ -152,17 +178,24 @@ def _labels_by_blocks(points: DataFrame, dims: int, eps: float, min_samples: int
         return pd.DataFrame({"a": ends[0], "b": ends[1]})
 
     def own_links(block: pd.DataFrame) -> pd.DataFrame:
-        own = {"row_id": block["row_id"].to_numpy(), "features": np.array(block["features"].to_list(), dtype=float).reshape(len(block), -1)}
+        own = own_block(block)
         return links(*[own | {"comp": own["row_id"]}] * 2)
 
-    # Linked inside their blocks first, the points of a block are few components for the other blocks.
-    dealt = core.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(max(1, math.ceil(core.count() / size)))))
-    inner = cut_lineage(dealt.groupBy("block").applyInPandas(own_links, f"a {id_type}, b {id_type}"))
+    # Linked inside their blocks first, dealt in two ways, most points of a component are one for the other blocks.
+    ends = f"a {id_type}, b {id_type}"
+    blocks_of = [core.withColumn("block", dealt(turn)) for turn in ((0, 1) if count > 1 else (0,))]
+    inner = [c.groupBy("block").applyInPandas(own_links, ends) for c in blocks_of]
+    inner = cut_lineage(inner[0] if count == 1 else inner[0].unionByName(inner[1]))
     nodes = core.select(F.col("row_id").alias("node"))
-    named = connected_components(inner, nodes).select(F.col("node").alias("row_id"), F.col("component").alias("comp"))
-    core = cut_lineage(core.join(named, "row_id"))
-    outer = cut_lineage(block_pairs(core, core, links, f"a {id_type}, b {id_type}", size).distinct())
-    parts = cut_lineage(connected_components(inner.unionByName(outer), nodes))
+    parts = cut_lineage(connected_components(inner, nodes))
+    if count > 1:
+        core = cut_lineage(core.join(parts.select(F.col("node").alias("row_id"), F.col("component").alias("comp")), "row_id"))
+        largest = core.groupBy("comp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "comp").first()
+        rest = core.where(F.col("comp") != largest["comp"]) if largest else core
+        if rest.limit(1).count():
+            many = 2 * largest["n"] < core.count()
+            outer = block_pairs(core if many else rest, core, lambda left, right: links(left, right, many), ends, size)
+            parts = cut_lineage(connected_components(cut_lineage(inner.unionByName(outer.distinct())), nodes))
     order = with_dense_index(parts.select("component").distinct(), ["component"], "cluster")
     numbers = parts.join(order, "component").select(F.col("node").alias("row_id"), F.col("cluster").cast("int").alias("cluster"))
     core = cut_lineage(core.select("row_id", "features").join(numbers, "row_id"))
@@ -175,6 +208,8 @@ def _labels_by_blocks(points: DataFrame, dims: int, eps: float, min_samples: int
         return pd.DataFrame({"row_id": left["row_id"][found], "cluster": lowest[found]})
 
     outside = points.where("not core").select("row_id", "features")
+    if not outside.limit(1).count():
+        return core.select("features", "cluster")
     found = block_pairs(outside, core, borders, f"row_id {id_type}, cluster int", size).groupBy("row_id").agg(F.min("cluster").alias("cluster"))
     placed = outside.join(found, "row_id", "left").select("features", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))
     return cut_lineage(core.select("features", "cluster").unionByName(placed))

@@ -77,6 +77,18 @@ def test_dbscan_by_blocks_where_nothing_separates(spark, monkeypatch):
         assert (labels_of(dbscan.dbscan_labels(ff, eps, least)) == brute_dbscan(x, eps, least)).all()
 
 
+def test_dbscan_meets_all_blocks_only_where_points_need_them(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 20)) * 0.1
+    lone = np.vstack([x, x[:1] + np.eye(20)[0] * 3, np.full((60, 20), 9.0) + rng.normal(size=(60, 20)) * 0.1])
+    monkeypatch.setattr(dbscan, "FEW_CELLS", 0)
+    monkeypatch.setattr(dbscan, "MEETS", 0.0)
+    monkeypatch.setattr(dbscan, "large_blocks", lambda rows, width: 60)
+    assert (labels_of(dbscan.dbscan_labels(frame_of(spark, lone), 0.9, 4)) == brute_dbscan(lone, 0.9, 4)).all()
+    monkeypatch.setattr(dbscan, "block_pairs", refuse)
+    assert (labels_of(dbscan.dbscan_labels(frame_of(spark, x), 0.9, 4)) == brute_dbscan(x, 0.9, 4)).all()
+
+
 def test_leaves_stay_alike_where_only_the_first_levels_are_shifted():
     x = np.random.default_rng(10).uniform(0, 1, (20_000, 2))
     rows = np.bincount(space.planes(x[:4000], 7, 0.64, 2).leaf(x))
